@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common, vec
+from .common import Memo
 
 #: Distinct pieces in a generation of a worker's cache; a bound of memory, without effect on results.
 CACHE_PIECES = 250_000
@@ -166,26 +167,6 @@ class Leaves:
         return [flat[a:b] for a, b in zip((ends - n * 4).tolist(), ends.tolist(), strict=True)]
 
 
-class Memo:
-    """A cache of two generations: when the new one is full it becomes the old one, and what is used again moves over."""
-
-    def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
-
-    def lack(self, keys) -> list:
-        """Makes room, and returns those of the distinct keys that aren't there."""
-        if len(self.new) >= self.most:
-            self.old, self.new = self.new, {}
-        out = []
-        for k in keys - self.new.keys():
-            got = self.old.get(k)
-            if got is None:
-                out.append(k)
-            else:
-                self.new[k] = got
-        return out
-
-
 class Codec:
     """Texts to ids as little-endian 32-bit integers, and back.
 

@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def size_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a frame's bytes; for a scan, the files' size. Starts no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def chunk_count(df: DataFrame, per: int = CHUNK_BYTES) -> int:
@@ -62,3 +62,23 @@ def chunked(df: DataFrame, n: int, *cols: str) -> DataFrame:
     """The columns with a chunk number, dealt out by it; the same frame read twice in a plan is shuffled once (reused exchange)."""
     parts = max(1, min(n, max(12, n // 3)))
     return df.select("doc_id", *cols, F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("chunk")).repartition(parts, "chunk")
+
+
+class Memo:
+    """A cache of two generations: when the new one is full it becomes the old one, and what is used again moves over."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def lack(self, keys) -> list:
+        """Makes room, and returns those of the distinct keys that aren't there."""
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        out = []
+        for k in keys - self.new.keys():
+            got = self.old.get(k)
+            if got is None:
+                out.append(k)
+            else:
+                self.new[k] = got
+        return out

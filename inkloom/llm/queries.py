@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe_monoid, phrase_index
+from . import arrow_tokens, bpe_monoid, phrase_index
 
 
 def queries() -> dict:
     return {
+        "op2_arrow_tokens": arrow_tokens.query,
         "op9_bpe_monoid": bpe_monoid.query,
         "op10_phrase_index": phrase_index.query,
     }
