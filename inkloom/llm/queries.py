@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import arrow_tokens, bpe_monoid, phrase_index
+from . import arrow_tokens, bpe_monoid, langmix, phrase_index, quality_lines
 
 
 def queries() -> dict:
     return {
+        "op1_quality_lines": quality_lines.query,
         "op2_arrow_tokens": arrow_tokens.query,
+        "op7_langmix": langmix.query,
         "op9_bpe_monoid": bpe_monoid.query,
         "op10_phrase_index": phrase_index.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_phrase_index": phrase_index.SQL}
+    return {"op1_quality_lines": quality_lines.SQL, "op10_phrase_index": phrase_index.SQL}
