@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import arrow_tokens, bpe_monoid, langmix, phrase_index, quality_lines
+from . import arrow_tokens, bpe_monoid, langmix, phrase_index, quality_lines, radix_suffix, rlz_dedup
 
 
 def queries() -> dict:
     return {
         "op1_quality_lines": quality_lines.query,
         "op2_arrow_tokens": arrow_tokens.query,
+        "op3_rlz_dedup": rlz_dedup.query,
         "op7_langmix": langmix.query,
+        "op8_radix_suffix": radix_suffix.query,
         "op9_bpe_monoid": bpe_monoid.query,
         "op10_phrase_index": phrase_index.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_lines": quality_lines.SQL, "op10_phrase_index": phrase_index.SQL}
+    return {"op1_quality_lines": quality_lines.SQL, "op3_rlz_dedup": rlz_dedup.SQL, "op10_phrase_index": phrase_index.SQL}
