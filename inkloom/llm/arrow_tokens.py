@@ -46,22 +46,34 @@ class WordEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.type = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo = common.Memo(CACHE_WORDS)
+        self.memo, self.parts = common.Memo(CACHE_WORDS), common.Memo(CACHE_WORDS)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [t.replace("\n", " ").split(" ") if t else () for t in texts]
-        short: set[str] = set()
+        seen: set[str] = set()
         for s in split:
-            short.update(s)
-        long = {x for x in short if len(x) > 64}
-        new = self.memo.lack(short - long)
-        got = dict(zip(long, self._ids(list(long)), strict=True))
-        self.memo.new.update(zip(new, self._ids(new), strict=True))
+            seen.update(s)
+        long = {x for x in seen if len(x) > 64}
+        new = [(w, self._cut(w)) for w in self.memo.lack(seen - long)]
+        parts = list(self.parts.lack({x for _, cut in new for x in cut}))
+        self.parts.new.update(zip(parts, self._ids(parts), strict=True))
+        part = self.parts.new
+        self.memo.new.update((w, part[c[0]] if len(c) == 1 else part[c[0]] + part[c[1]]) for w, c in new)
         get = self.memo.new.__getitem__
         if long:
+            got = dict(zip(long, self._ids(list(long)), strict=True))
             get = lambda x, g=self.memo.new.get: g(x) if x not in got else got[x]
         return [np.frombuffer(b"".join(map(get, s)), self.type) for s in split]
 
+    @staticmethod
+    def _cut(word: str) -> tuple[str, ...]:
+        """Letters and the marks after them are always separate for the library; ASCII letters count as their lower case."""
+        core = word.rstrip(".,;:!?")
+        if not core.isalpha():
+            return (word,)
+        low = core.lower() if core.isascii() else core
+        return (low,) if len(core) == len(word) else (low, word[len(core) :])
+
     def _ids(self, words: list[str]) -> Iterator[bytes]:
         for at in range(0, len(words), 10_000):
             for e in self.tok.encode_batch_fast(words[at : at + 10_000], add_special_tokens=False):
