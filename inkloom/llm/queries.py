@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import arrow_tokens, bpe_monoid, langmix, phrase_index, quality_lines, radix_suffix, rlz_dedup, suffix_tree_lm
+from . import arrow_tokens, bpe_monoid, count_rtree, langmix, phrase_index, quality_lines, radix_suffix, rlz_dedup, suffix_tree_lm
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_quality_lines": quality_lines.query,
         "op2_arrow_tokens": arrow_tokens.query,
         "op3_rlz_dedup": rlz_dedup.query,
+        "op4_count_rtree": count_rtree.query,
         "op6_suffix_tree_lm": suffix_tree_lm.query,
         "op7_langmix": langmix.query,
         "op8_radix_suffix": radix_suffix.query,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_lines": quality_lines.SQL, "op3_rlz_dedup": rlz_dedup.SQL, "op10_phrase_index": phrase_index.SQL}
+    return {"op1_quality_lines": quality_lines.SQL, "op3_rlz_dedup": rlz_dedup.SQL, "op4_count_rtree": count_rtree.SQL, "op10_phrase_index": phrase_index.SQL}
