@@ -188,6 +188,37 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 1,
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without a test phrase, one pass for each block of the test set; all columns stay."""
+    common.batches(docs.sparkSession)
+    bench = benchmark.select(F.col("item_id").cast("long"), "text")
+    n = -(-(bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes) or 1
+    at = docs.columns.index("text")
+
+    def keep(p: Phrases):
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in it:
+                for part in vec.slices(batch):
+                    yield part.filter(pa.array(hits(part.column(at), p) == 0))
+
+        return run
+
+    for b in range(n):
+        p = Phrases([tuple(r) for r in bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()], width)
+        docs = docs.mapInArrow(keep(p), docs.schema)
+    return docs
+
+
+def hits(col: pa.Array, p: Phrases) -> np.ndarray:
+    """The number of exact matches in each text."""
+    raw, off = vec.buffers(col)
+    raw = vec.lower(raw)
+    starts, ends, first = vec.words(raw, off, vec.ALNUM)
+    own = vec.owner(first)
+    _, at, _, _ = search(p, term_ids(p.vocab, vec.span_hashes(raw, starts, ends)), own, 0, 0)
+    return np.bincount(own[at], minlength=len(col))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     found = find(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))

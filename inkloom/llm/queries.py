@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import arrow_tokens, bpe_monoid, count_rtree, langmix, phrase_index, quality_lines, radix_suffix, rlz_dedup, suffix_tree_lm
+from . import arrow_tokens, bpe_monoid, count_rtree, html_layout, langmix, phrase_index, quality_lines, radix_suffix, rlz_dedup, suffix_tree_lm
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_arrow_tokens": arrow_tokens.query,
         "op3_rlz_dedup": rlz_dedup.query,
         "op4_count_rtree": count_rtree.query,
+        "op5_html_layout": html_layout.query,
         "op6_suffix_tree_lm": suffix_tree_lm.query,
         "op7_langmix": langmix.query,
         "op8_radix_suffix": radix_suffix.query,
