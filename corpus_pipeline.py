@@ -16,8 +16,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from inkloom.llm import bpe_monoid, common, count_rtree, phrase_index, quality_lines, rlz_dedup  # noqa: E402
 from inkloom.session import shipped  # noqa: E402
 
-#: Near duplicates: five-word shingles, similarity of 80 in 100; the keys' share must exceed 1 - 0.8.
-NEAR = {"size": 5, "num": 80, "den": 100, "prefix": 0.26}
+#: Near duplicates: five-word shingles, similarity of 80 in 100.
+NEAR = {"size": 5, "num": 80, "den": 100}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,16 +12,12 @@ point and a node bounds it for all points below; what the bound leaves is
 verified on the sets. Pairs that are already connected aren't compared, and a
 block gives only links of a spanning forest.
 
-The rest. Similar sets (J >= t) may share none of those hashes, so this is made
-exact: of each set the PREFIX share of least hashes are keys. Let n, m be the
-sizes and i = ceil(t / (1 + t) * (n + m)) the least overlap; at most n - i of the
-first set's keys are missing from the second, and the other way round, so at
-least min(p - (n - i), q - (m - i)) of their p and q keys are common. Keys that
-two classes share give pairs, but only of classes without a common block; pairs
-with fewer common keys than that are dropped; the others are verified on their
-sets, by the count bound first. Keys in more than HOT classes are set aside:
-they only count for classes with so many of them that a similar pair might
-share nothing else, and the demand on other pairs is lowered accordingly.
+The rest. Similar sets (J >= t) lack a common least hash of the first ROUTES
+functions with probability (1 - t) ** ROUTES. MORE further functions give
+blocks in which only points are sent, and only of classes that aren't connected
+yet; pairs that their bounds leave are verified on the sets. What then remains
+unseen is a pair without a common least hash of all ROUTES + MORE functions: at
+most (1 - t) ** 10, 6e-9 at the threshold of 0.85 and less above it.
 
 Links are joined to components by rounds of large and small stars.
 
@@ -43,9 +39,9 @@ from pyspark.sql import functions as F
 from . import common, vec
 
 SIZE, NUM, DEN = 4, 85, 100
-ROUTES, PREFIX, HOT = 3, 0.2, 256
+ROUTES, MORE, GROUPS = 3, 7, 128
 LEAF = 16
-_SALT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
+_SALT = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) & (1 << 64) - 1) for i in range(1, ROUTES + MORE + 2)]
 
 
 def shingles(raw: np.ndarray, off: np.ndarray, size: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -78,12 +74,12 @@ def describe(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """(size, hash of the set, least hashes) of each set."""
     n = np.diff(first)
     sig = np.zeros(len(n), np.uint64)
-    low = np.zeros((len(n), ROUTES), np.uint64)
+    low = np.zeros((len(n), ROUTES + MORE), np.uint64)
     some = np.flatnonzero(n)
     if len(some):
         at = first[:-1][some]
-        sig[some] = vec.mix(np.add.reduceat(vec.mix(value ^ _SALT[3]), at) + n[some].astype(np.uint64))
-        for r in range(ROUTES):
+        sig[some] = vec.mix(np.add.reduceat(vec.mix(value ^ _SALT[-1]), at) + n[some].astype(np.uint64))
+        for r in range(ROUTES + MORE):
             low[some, r] = np.minimum.reduceat(vec.mix(value ^ _SALT[r]), at)
     return n, sig.view(np.int64), low.view(np.int64)
 
@@ -168,11 +164,17 @@ def _sets(df: DataFrame, size: int, columns: list[str], out: str, f) -> DataFram
 
 
 def describe_docs(docs: DataFrame, size: int) -> DataFrame:
+    """Per row: doc_id, size and hash of its set, its least hashes, and its point: 32-bit counts of GROUPS groups."""
+
     def f(part, value, first):
         n, sig, low = describe(value, first)
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(sig), *(pa.array(low[:, r].copy()) for r in range(ROUTES))], names=["doc_id", "n", "sig", *(f"m{r}" for r in range(ROUTES))])
+        own = np.repeat(np.arange(part.num_rows), n)
+        point = np.bincount(own * GROUPS + (value & np.uint64(GROUPS - 1)).astype(np.int64), minlength=part.num_rows * GROUPS)
+        wide = point.astype("<u4").reshape(part.num_rows, GROUPS)
+        lows = pa.FixedSizeListArray.from_arrays(pa.array(low.ravel()), ROUTES + MORE).cast(pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(sig), lows, pa.array([x.tobytes() for x in wide], pa.binary())], names=["doc_id", "n", "sig", "lows", "point"])
 
-    return _sets(docs, size, ["doc_id"], "doc_id long, n long, sig long, " + ", ".join(f"m{r} long" for r in range(ROUTES)), f)
+    return _sets(docs, size, ["doc_id"], "doc_id long, n long, sig long, lows array<long>, point binary", f)
 
 
 def _spread(docs: DataFrame, wanted: DataFrame, size: int, by: str) -> DataFrame:
@@ -212,114 +214,29 @@ def block_links(docs: DataFrame, members: DataFrame, size: int, num: int, den: i
     return spread.groupBy("bucket").applyInArrow(join, "a long, b long")
 
 
-class Pairs:
-    """Pairs of the classes under each key, that share no block and may be similar; rows must be sorted by key."""
-
-    def __init__(self, key, doc, n, low, num: int, den: int):
-        self.out: list[np.ndarray] = []
-        head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))) if len(key) else np.zeros(1, np.int64)
-        for lo, hi in zip(head[:-1].tolist(), head[1:].tolist(), strict=True):
-            d = doc[lo:hi]
-            d = d[np.argsort(n[d], kind="stable")]
-            size = n[d]
-            # a similar set is at most den / num times as large
-            end = np.searchsorted(size, size * den // num, side="right")
-            count = end - np.arange(len(d)) - 1
-            for a in range(0, len(d), 512):
-                c = count[a : a + 512]
-                x, y = np.repeat(np.arange(a, a + len(c)), c), vec.ranges(np.arange(a, a + len(c)) + 1, c)
-                x, y = d[x], d[y]
-                ok = (low[x] != low[y]).all(axis=1)
-                if ok.any():
-                    self.out.append(np.stack([x[ok], y[ok]], axis=1))
-
-    def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(a, b, number of keys under which the pair stands)."""
-        p = np.concatenate([np.zeros((0, 2), np.int64), *self.out])
-        top = int(p.max(initial=0)) + 1
-        pair, k = np.unique(p.min(axis=1) * top + p.max(axis=1), return_counts=True) if len(p) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return pair // top, pair % top, k
-
-
-_PAIRS = "a long, b long, n long, m long, k long, key long, l0 long, l1 long, l2 long"
-
-
-def _pairs_table(sig, n, a, b, k) -> pa.Table:
-    z = pa.nulls(len(a), pa.int64())
-    return pa.table({"a": np.where(sig[a] < sig[b], sig[a], sig[b]), "b": np.where(sig[a] < sig[b], sig[b], sig[a]), "n": np.where(sig[a] < sig[b], n[a], n[b]), "m": np.where(sig[a] < sig[b], n[b], n[a]), "k": k.astype(np.int64), "key": z, "l0": z, "l1": z, "l2": z})
-
-
-def key_pairs(docs: DataFrame, size: int, num: int, den: int, buckets: int, prefix: float, hot: int) -> DataFrame:
-    """(a, b, n, m): pairs of classes without a common block that share enough keys to be similar."""
-
-    def send(part, value, first):
-        n, sig, low = describe(value, first)
-        keep = np.zeros(len(n), bool)
-        keep[np.unique(sig, return_index=True)[1]] = True
-        keep &= n > 0
-        some = np.flatnonzero(keep)
-        take = np.minimum(n[some], np.floor(prefix * n[some]).astype(np.int64) + 1)
-        at, doc = vec.ranges(first[:-1][some], take), np.repeat(some, take)
-        b = (vec.mix(value[at] ^ _SALT[3]) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(b, kind="stable")
-        at, doc, names = at[order], doc[order], np.arange(buckets)
-        cut = np.searchsorted(b[order], np.arange(buckets + 1))
-        rows = []
-        for x, lo, hi in zip(names.tolist(), cut[:-1], cut[1:], strict=True):
-            if hi > lo:
-                own, idx = np.unique(doc[lo:hi], return_inverse=True)
-                rows.append((x, value[at[lo:hi]].tobytes(), idx.astype(np.int32).tobytes(), np.concatenate([sig[own][:, None], n[own][:, None], low[own]], axis=1).tobytes()))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "keys", "idx", "classes"])
-
-    def gather(t: pa.Table) -> pa.Table:
-        get = lambda c, d: [np.frombuffer(x.as_py(), d) for x in t.column(c)]
-        classes = [x.reshape(-1, 2 + ROUTES) for x in get("classes", np.int64)]
-        base = np.concatenate(([0], np.cumsum([len(x) for x in classes])))
-        every = np.concatenate(classes)
-        key, doc = np.concatenate(get("keys", np.uint64)), np.concatenate([x + b for x, b in zip(get("idx", np.int32), base[:-1], strict=True)])
-        _, first, inv = np.unique(every[:, 0], return_index=True, return_inverse=True)
-        every, doc = every[first], inv[doc]
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-        key, doc = key[new], doc[new]
-        _, inv, k = np.unique(key, return_inverse=True, return_counts=True)
-        k = k[inv]
-        sig, n, low = every[:, 0], every[:, 1], every[:, 2:]
-        mid = (k > 1) & (k <= hot)
-        out = _pairs_table(sig, n, *Pairs(key[mid], doc[mid], n, low, num, den).counted())
-        h = k > hot
-        d = doc[h]
-        z = pa.nulls(int(h.sum()), pa.int64())
-        more = pa.table({"a": sig[d], "b": z, "n": n[d], "m": z, "k": z, "key": key[h].view(np.int64), **{f"l{r}": low[d, r] for r in range(3)}})
-        return pa.concat_tables([out, more])
-
-    sent = _sets(docs, size, [], "bucket int, keys binary, idx binary, classes binary", send)
-    found = common.cut(sent.groupBy("bucket").applyInArrow(gather, _PAIRS))
-    often = found.where("b IS NULL")
-    mine = often.groupBy(F.col("a").alias("sig")).agg(F.count("*").alias("hot"))
-    # with fewer hot keys than any similar pair must share, some shared key isn't hot
-    size_p = F.expr(f"least(n, CAST(floor({prefix}D * n) AS BIGINT) + 1)")
-    one = size_p - F.col("n") + F.expr(f"({num} * n + {den - 1}) DIV {den}")
-    two = F.expr(f"CAST(floor(n * (1 - (1 - {prefix}D) * {den} / {num})) AS BIGINT) - 1")
-    heavy = mine.join(often.alias("o"), F.expr("sig = o.a")).where(F.col("hot") >= F.greatest(F.lit(1), F.least(one, two))).select("o.*")
+def near_points(rows: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
+    """(a, b): pairs of unconnected classes of a block whose points allow them to be similar. rows: block, sig, label, n, point."""
 
     def meet(t: pa.Table) -> pa.Table:
-        key, sig = t.column("key").to_numpy(), t.column("a").to_numpy()
-        sig, first, doc = np.unique(sig, return_index=True, return_inverse=True)
-        n, low = t.column("n").to_numpy()[first], np.stack([t.column(f"l{r}").to_numpy()[first] for r in range(3)], axis=1)
-        order = np.argsort(key, kind="stable")
-        return _pairs_table(sig, n, *Pairs(key[order], doc[order], n, low, num, den).counted())
+        block, sig, label, n = (t.column(c).to_numpy() for c in ("block", "sig", "label", "n"))
+        order = np.lexsort((n, block))
+        cut_at = np.flatnonzero(np.concatenate(([True], block[order][1:] != block[order][:-1], [True])))
+        raw = t.column("point").combine_chunks()
+        out = np.zeros((0, 2), np.int64)
+        for lo, hi in zip(cut_at[:-1], cut_at[1:], strict=True):
+            i = order[lo:hi]
+            tree = RTree(np.stack([np.frombuffer(raw[int(x)].as_buffer(), "<u4") for x in i]).astype(np.int32), n[i])
+            found = []
+            for q in range(len(i) - 1):
+                live = label[i] != label[i[q]]
+                live[: q + 1] = False
+                if live.any():
+                    x = tree.search(q, live, num, den)
+                    found.append(np.stack([np.minimum(sig[i[x]], sig[i[q]]), np.maximum(sig[i[x]], sig[i[q]])], axis=1))
+            out = np.unique(np.concatenate([out, *found]), axis=0)
+        return pa.table({"a": out[:, 0].copy(), "b": out[:, 1].copy()})
 
-    hot_pairs = heavy.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").applyInArrow(meet, _PAIRS)
-    both = found.where("b IS NOT NULL").unionByName(hot_pairs).groupBy("a", "b").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.sum("k").alias("k"))
-    i = F.expr(f"({num} * (n + m) + {num + den - 1}) DIV {num + den}")
-    p, q = size_p, F.expr(f"least(m, CAST(floor({prefix}D * m) AS BIGINT) + 1)")
-    both = both.join(mine.select(F.col("sig").alias("a"), F.col("hot").alias("ha")), "a", "left").join(mine.select(F.col("sig").alias("b"), F.col("hot").alias("hb")), "b", "left")
-    free = F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))
-    return both.where(F.col("k") >= F.greatest(F.lit(1), F.least(p - (F.col("n") - i), q - (F.col("m") - i)) - free)).select("a", "b")
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(buckets))).groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -342,22 +259,31 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def join(docs: DataFrame, size: int = SIZE, num: int = NUM, den: int = DEN, prefix: float = PREFIX, hot: int = HOT) -> DataFrame:
+def join(docs: DataFrame, size: int = SIZE, num: int = NUM, den: int = DEN) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, sig (its class), component_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = max(4, common.chunk_count(docs) // 2)
     told = common.cut(describe_docs(docs, size))
-    lows = [f"m{r}" for r in range(ROUTES)]
-    classes = common.cut(told.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in lows)))
-    routes = classes.select("sig", "rep", F.explode(F.array(*(F.xxhash64(F.lit(r), c) for r, c in enumerate(lows)))).alias("block"))
-    busy = routes.groupBy("block").agg(F.count("*").alias("k")).where("k > 1").select("block")
-    pairs = common.cut(key_pairs(docs, size, num, den, buckets, prefix, hot))
-    ends = pairs.select(F.xxhash64(F.lit("pair"), "a", "b").alias("block"), F.explode(F.array("a", "b")).alias("sig"))
-    members = routes.join(busy, "block").select("sig", "rep", "block").unionByName(ends.join(classes.select("sig", "rep"), "sig").select("sig", "rep", "block"))
-    links = block_links(docs, members, size, num, den, buckets)
-    name = lambda c: classes.select(F.col("sig").alias(c), F.col("rep").alias(f"rep_{c}"))
-    linked = links.join(name("a"), "a").join(name("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    found = components(linked).withColumnRenamed("id", "rep")
+    classes = common.cut(told.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first(F.struct("n", "lows", "point")).alias("x")).select("sig", "rep", "x.*"))
+    routes = classes.select("sig", "rep", F.posexplode("lows").alias("r", "low")).select("sig", "rep", "r", F.xxhash64("r", "low").alias("block"))
+
+    def linked(members: DataFrame) -> DataFrame:
+        links = block_links(docs, members, size, num, den, buckets)
+        name = lambda c: classes.select(F.col("sig").alias(c), F.col("rep").alias(f"rep_{c}"))
+        return links.join(name("a"), "a").join(name("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+
+    mine = routes.where(F.col("r") < ROUTES)
+    busy = mine.groupBy("block").agg(F.count("*").alias("k")).where("k > 1").select("block")
+    stars = common.cut(components(linked(mine.join(busy, "block"))))
+    label = routes.where(F.col("r") >= ROUTES).join(stars.withColumnRenamed("id", "rep"), "rep", "left").select("sig", "block", F.coalesce("component", "rep").alias("label"))
+    mixed = label.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("block")
+    rows = label.join(mixed, "block").join(classes.select("sig", "n", "point"), "sig")
+    pairs = common.cut(near_points(rows, num, den, buckets))
+    if not pairs.isEmpty():
+        ends = pairs.select(F.xxhash64(F.lit("pair"), "a", "b").alias("block"), F.explode(F.array("a", "b")).alias("sig"))
+        more = linked(ends.join(classes.select("sig", "rep"), "sig"))
+        stars = components(stars.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+    found = stars.withColumnRenamed("id", "rep")
     home = classes.select("sig", "rep").join(found, "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
     return told.join(home, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), "sig", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
