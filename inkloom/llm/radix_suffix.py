@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from . import common, vec, windows
 
-#: Windows of 50 bytes; grams of 16 bytes sample them.
-SIZE, GRAM = 50, 16
+#: Windows of 50 bytes; grams of 24 bytes sample them.
+SIZE, GRAM = 50, 24
 CHUNK = 2 << 20
 SCHEMA = "doc_id long, n_bytes long, n_removed long, starts array<int>, ends array<int>, kept binary"
 
@@ -51,7 +51,7 @@ def groups(raw: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.n
     return at, group
 
 
-def resolve(anchors: np.ndarray, count: np.ndarray, ids: np.ndarray, content: bytes, size: int) -> np.ndarray:
+def resolve(count: np.ndarray, ids: np.ndarray, content: bytes, size: int) -> np.ndarray:
     raw = np.frombuffer(content, np.uint8)
     begin = np.cumsum(count + size - 1) - (count + size - 1)
     at = vec.ranges(begin, count)

@@ -57,7 +57,7 @@ def factors(prints: np.ndarray, count: np.ndarray, ids: np.ndarray, block: Block
     return found[head], np.diff(np.append(head, len(found))), ref[found[head]]
 
 
-def resolve(anchors: np.ndarray, count: np.ndarray, ids: np.ndarray, content: bytes, size: int) -> np.ndarray:
+def resolve(count: np.ndarray, ids: np.ndarray, content: bytes, size: int) -> np.ndarray:
     prints = np.frombuffer(content, np.uint64)
     start, length, _ = factors(prints, count, ids, Block(prints, np.repeat(ids, count)))
     hit = np.zeros(len(prints), bool)

@@ -34,7 +34,36 @@ from . import common, vec
 #: From this many chunks on, the windows of an anchor are dealt out singly.
 HOT_CHUNKS = 48
 LAST = np.iinfo(np.int64).max
-SEGMENTS = "chunk int, bucket int, anchors binary, starts binary, sizes binary, docs binary, content binary, known binary"
+_48 = np.uint64((1 << 48) - 1)
+SEGMENTS = "chunk int, bucket int, starts binary, sizes binary, docs binary, content binary, known binary"
+
+
+def pack(x: np.ndarray) -> bytes:
+    return pack_bytes(np.ascontiguousarray(x).tobytes())
+
+
+def pack_bytes(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True) if raw else b""
+
+
+def unpack_bytes(b: bytes) -> bytes:
+    return pa.decompress(b[8:], int.from_bytes(b[:8], "little"), "zstd", asbytes=True) if b else b""
+
+
+def unpack(b: bytes, dtype) -> np.ndarray:
+    return np.frombuffer(unpack_bytes(b), dtype)
+
+
+def narrow(x: np.ndarray) -> bytes:
+    """48-bit values in six bytes each."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def wide(b: bytes) -> np.ndarray:
+    six = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(six), 8), np.uint8)
+    out[:, :6] = six
+    return out.view("<u8").ravel()
 
 
 class Units:
@@ -58,7 +87,7 @@ class Units:
             grams, self.prints = vec.grams(h, k), vec.grams(h, size)
         self.count = int(self.first[-1])
         self.own = vec.owner(self.first).astype(np.int32)
-        low = vec.sliding_min(grams, size - k + 1)
+        low = vec.sliding_min(grams, size - k + 1) & _48
         del grams
         at = np.flatnonzero(vec.whole(self.own, size))
         low, own = low[at], self.own[at]
@@ -91,13 +120,13 @@ def _send(key: tuple, t: pa.Table, kind: str, size: int, k: int, buckets: int) -
     anchors = anchors[order]
     return pa.table({
         "chunk": pa.array([key[0].as_py()] * len(names), pa.int32()), "bucket": pa.array(names, pa.int32()),
-        "keys": pa.array([anchors[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()),
+        "keys": pa.array([narrow(anchors[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()),
     })
 
 
 def _shared(t: pa.Table) -> pa.Table:
     """Of each chunk's anchors, those that another chunk has too, and in how many."""
-    keys = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("keys")]
+    keys = [wide(x.as_py()) for x in t.column("keys")]
     values, n = np.unique(np.concatenate(keys), return_counts=True)
     values, n = values[n > 1], n[n > 1]
     out = []
@@ -105,7 +134,7 @@ def _shared(t: pa.Table) -> pa.Table:
         at = np.searchsorted(values, x)
         ok = at < len(values)
         ok[ok] = values[at[ok]] == x[ok]
-        out.append((x[ok].tobytes(), np.minimum(n[at[ok]], 65535).astype(np.uint16).tobytes()))
+        out.append((narrow(x[ok]), np.minimum(n[at[ok]], 65535).astype(np.uint16).tobytes()))
     return pa.table({"chunk": t.column("chunk"), "keys": pa.array([a for a, _ in out], pa.binary()), "n": pa.array([b for _, b in out], pa.binary())})
 
 
@@ -134,8 +163,8 @@ def _segments(key: tuple, t: pa.Table, flags: pa.Table, kind: str, size: int, k:
     if t.num_rows == 0:
         return pa.table({n: pa.array([], pa.int32() if n in ("chunk", "bucket") else pa.binary()) for n in _NAMES})
     u = Units(t, kind, size, k)
-    join = lambda c, d: np.concatenate([np.zeros(0, d), *(np.frombuffer(x.as_py(), d) for x in flags.column(c))])
-    known, n = join("keys", np.uint64), join("n", np.uint16)
+    known = np.concatenate([np.zeros(0, np.uint64), *(wide(x.as_py()) for x in flags.column("keys"))])
+    n = np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(x.as_py(), np.uint16) for x in flags.column("n"))])
     order = np.argsort(known)
     known, n = known[order], n[order]
     at = np.searchsorted(known, u.anchor)
@@ -157,7 +186,7 @@ def _segments(key: tuple, t: pa.Table, flags: pa.Table, kind: str, size: int, k:
     pos, run = vec.ranges(u.run_start[runs], u.run_size[runs]), np.repeat(runs, u.run_size[runs])
     ids = u.ids[u.run_own[run]]
     here = _least(u.prints[pos], ids) < ids
-    out = [(key[0].as_py(), key[0].as_py() % buckets, b"", b"", b"", b"", b"", spans(np.sort(pos[here])))]
+    out = [(key[0].as_py(), key[0].as_py() % buckets, b"", b"", b"", b"", spans(np.sort(pos[here])))]
     go = ~here & far[run]
     pos, run, ids = pos[go], run[go], ids[go]
     new = np.ones(len(pos), bool)
@@ -167,10 +196,10 @@ def _segments(key: tuple, t: pa.Table, flags: pa.Table, kind: str, size: int, k:
     start, count, run = pos[head], np.diff(np.append(head, len(pos))), run[head]
     route = np.where(hot[run], u.prints[start], u.anchor[run])
     order, names, at = _deal(route, buckets)
-    start, count, ids, route = start[order], count[order], ids[head][order], route[order]
+    start, count, ids = start[order], count[order], ids[head][order]
     for b, lo, hi in zip(names.tolist(), at[:-1], at[1:], strict=True):
         s, c = start[lo:hi], count[lo:hi]
-        out.append((key[0].as_py(), b, route[lo:hi].tobytes(), s.astype(np.int32).tobytes(), c.astype(np.int32).tobytes(), ids[lo:hi].tobytes(), u.content(s, c), b""))
+        out.append((key[0].as_py(), b, pack(np.diff(s, prepend=0).astype(np.int32)), pack(c.astype(np.int32)), pack(ids[lo:hi]), pack_bytes(u.content(s, c)), b""))
     cols = list(zip(*out, strict=True))
     return pa.table({n: pa.array(c, pa.int32() if n in ("chunk", "bucket") else pa.binary()) for n, c in zip(_NAMES, cols, strict=True)})
 
@@ -180,12 +209,12 @@ _NAMES = [x.split()[0] for x in SEGMENTS.split(", ")]
 
 def _resolve(t: pa.Table, size: int, resolver: Callable) -> pa.Table:
     """The windows of each chunk that an earlier document has, as spans."""
-    rows = [np.frombuffer(x.as_py(), np.int32) for x in t.column("starts")]
-    cat = lambda c, d: np.concatenate([np.frombuffer(x.as_py(), d) for x in t.column(c)])
+    rows = [np.cumsum(unpack(x.as_py(), np.int32)) for x in t.column("starts")]
+    cat = lambda c, d: np.concatenate([unpack(x.as_py(), d) for x in t.column(c)])
     start, count, ids = np.concatenate(rows).astype(np.int64), cat("sizes", np.int32).astype(np.int64), cat("docs", np.int64)
     row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    content = b"".join(x.as_py() for x in t.column("content"))
-    hit = resolver(cat("anchors", np.uint64), count, ids, content, size) if len(start) else np.zeros(0, bool)
+    content = b"".join(unpack_bytes(x.as_py()) for x in t.column("content"))
+    hit = resolver(count, ids, content, size) if len(start) else np.zeros(0, bool)
     pos, who = vec.ranges(start, count)[hit], np.repeat(row, count)[hit]
     cut = np.searchsorted(who, np.arange(len(rows) + 1))
     found = [spans(np.sort(pos[a:b])) + k.as_py() for a, b, k in zip(cut[:-1], cut[1:], t.column("known"), strict=True)]
