@@ -11,7 +11,8 @@ from ..config import LABELS, Settings
 from ..plans import boxes as plan
 from ..plans.dialect import SPARK
 
-HOPS = 4  # doublings: chains of up to 2 ** HOPS fragments; widths grow by half per link, so they are shorter
+#: A parent is half as wide again at least, and only lines of less than two line heights have one, so chains are shorter than this.
+HOPS = 18
 
 
 def layer(spark: SparkSession, name: str, lines: str | None = None, settings: Settings | None = None) -> DataFrame:
@@ -29,21 +30,22 @@ def inherit(lines: DataFrame, parents: DataFrame) -> DataFrame:
     The root's label wins for the whole chain; the confidence is that of the
     nearest ancestor that had this label already, at most 0.7 beyond itself.
     """
-    up = parents.select("page_id", "seq", F.col("parent").alias("top"), F.lit(1).alias("dist"))
-    for _ in range(HOPS):
-        a, b = up.alias("a"), up.alias("b")
-        more = a.join(b, F.expr("a.page_id = b.page_id AND a.top = b.seq")).select("a.page_id", "a.seq", "b.top", F.expr("a.dist + b.dist").alias("dist"))
-        up = up.union(more).groupBy("page_id", "seq", "top").agg(F.min("dist").alias("dist"))
-    had = lines.select("page_id", F.col("seq").alias("top"), F.col("label").alias("l"), F.col("conf").alias("c"))
-    chain = up.join(had, ["page_id", "top"]).groupBy("page_id", "seq").agg(
-        F.max_by("l", "dist").alias("root_label"), F.collect_list(F.struct("dist", "l", "c")).alias("chain")
-    )
-    taken = lines.join(chain, ["page_id", "seq"], "left").withColumn("near", F.expr("array_min(filter(chain, x -> x.l = root_label))"))
+    tied = lines.select("page_id", "seq", "label", "conf").join(parents, ["page_id", "seq"], "left")
+    pages = tied.groupBy("page_id").agg(F.collect_list(F.struct("seq", F.struct("parent", "label", "conf"))).alias("all"), F.max("parent").alias("some")).where("some IS NOT NULL")
+    walk = F.expr(f"aggregate(sequence(1, {HOPS}), array(seq), (a, i) -> IF(m[element_at(a, -1)].parent IS NULL, a, concat(a, array(m[element_at(a, -1)].parent))))")
+    chain = (
+        tied.where("parent IS NOT NULL").select("page_id", "seq")
+        .join(pages.select("page_id", F.map_from_entries("all").alias("m")), "page_id")
+        .withColumn("chain", walk)
+        .select("page_id", "seq", F.expr("m[element_at(chain, -1)].label").alias("root_label"), F.expr("transform(slice(chain, 2, size(chain)), x -> m[x])").alias("up"))
+        .select("page_id", "seq", "root_label", F.expr("element_at(filter(up, x -> x.label = root_label), 1).conf").alias("near"))
+    )
+    taken = lines.join(chain, ["page_id", "seq"], "left")
     change = F.expr("root_label IS NOT NULL AND root_label <> label")
     return taken.select(
         *(c for c in lines.columns if c not in ("label", "conf", "reason")),
         F.when(change, F.col("root_label")).otherwise(F.col("label")).alias("label"),
-        F.when(change, F.expr("least(near.c, 0.7D)")).otherwise(F.col("conf")).alias("conf"),
+        F.when(change, F.expr("least(near, 0.7D)")).otherwise(F.col("conf")).alias("conf"),
         F.when(change, F.concat(F.lit(plan.FRAGMENT), "root_label")).otherwise(F.col("reason")).alias("reason"),
     )
 

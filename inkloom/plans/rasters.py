@@ -99,7 +99,7 @@ def tokens(d: Dialect) -> str:
     if d.spark:
         words = f"SELECT doc_id AS page_id, pos, tok FROM (SELECT doc_id, filter(split(text, '{BLANK}'), x -> x <> '') AS a FROM documents) z LATERAL VIEW posexplode(a) t AS pos, tok".replace("\\", "\\\\")
     else:
-        words = f"SELECT doc_id AS page_id, unnest(range(0, len(a))) AS pos, unnest(a) AS tok FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '{BLANK}'), x -> x <> '') AS a FROM documents) z"
+        words = f"SELECT doc_id AS page_id, unnest(range(0, len(a))) AS pos, unnest(a) AS tok FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '{BLANK}'), lambda x: x <> '') AS a FROM documents) z"
     return f"SELECT page_id, CAST(pos AS BIGINT) AS pos, tok, (page_id * 31 + pos * 17) % 101 * {d.num(1)} AS conf FROM ({words}) z"
 
 
