@@ -20,7 +20,7 @@ def stats(t):
 
 def test_counts_and_frequent_lines(spark):
     body = lambda i: " ".join(f"word{i}_{j}" for j in range(14))
-    rows = [(i, f"{body(i)}\n  Subscribe   NOW to our letter\n{body(-i)}", "a") for i in range(30)]
+    rows = [(i, f"{body(i)}\n  Subscribe   NOW to our letter\n{body(i + 500)}", "a") for i in range(30)]
     rows += [(100 + i, f"subscribe now to our letter\n{body(1000 + i)}", "b") for i in range(3)]  # not frequent in its host
     rows += [(200, "subscribe now to our letter\n" * 9 + body(7), "a"), (201, None, "a"), (202, "", None), (203, "é #a\n\n#a é\né #a\n \n" * 9, None), (204, "x y\t" * 4000, "b"), (None, body(5), "a"), (7, body(9), "a"), (7, body(9), "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS key", "2 AS line", "3 AS host").repartition(3)
@@ -38,7 +38,7 @@ def test_counts_and_frequent_lines(spark):
     new = quality_lines.apply(df)
     assert new.columns == df.columns
     texts = {r.doc_id: r.text for r in new.collect()}
-    assert 200 not in texts and texts[3] == f"{body(3)}\n{body(-3)}" and texts[101] == rows[31][1]
+    assert 200 not in texts and texts[3] == f"{body(3)}\n{body(503)}" and texts[101] == rows[31][1]
     assert quality_lines.apply(df.limit(0)).count() == 0
 
 
@@ -55,7 +55,7 @@ def test_layout():
     assert x("<ul><li>x<li>y<ol start=3><li>1<li>2</ol></ul>") == "* x\n* y\n  3. 1\n  4. 2"
     assert x("<table><tr><td>a<td>bbb<tr><td>cccc<td>d</table>") == "a     bbb\ncccc  d"
     assert x("<table><tr><th colspan=2>head<th>x<tr><td>1<td>2<td>3</table>") == "head  x\n1  2  3"
-    assert x("a<div hidden>h</div><p style='display: none'>i</p><script>if(a<b)'</p>'</script><!-- c -->b") == "a\nb"
+    assert x("a<div hidden>h</div><p style='display: none'>i</p><script>if(a<b)'</p>'</script><!-- c -->b") == "ab"
     assert x("<pre>  k\n   l</pre>t<br>u") == "k\n   l\n\nt\nu" or x("<pre>  k\n   l</pre>t<br>u") == "  k\n   l\n\nt\nu"
     assert x("<select><option>o1<option selected>o2</select>") == "o2"
     assert x("<dl><dt>T<dd>D</dl>") == "T\n    D"
