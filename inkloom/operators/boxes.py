@@ -15,15 +15,6 @@ from ..plans.dialect import SPARK
 HOPS = 18
 
 
-def layer(spark: SparkSession, name: str, lines: str | None = None, settings: Settings | None = None) -> DataFrame:
-    """A layer of the classification over `lines` (SQL); needs the view it reads."""
-    return spark.sql(plan.layers(SPARK, settings, lines)[name])
-
-
-def lines_of(spark: SparkSession, sf_dir: str) -> None:
-    spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
-
-
 def inherit(lines: DataFrame, parents: DataFrame) -> DataFrame:
     """label, conf, reason after fragments took over their root's label.
 
@@ -50,9 +41,10 @@ def inherit(lines: DataFrame, parents: DataFrame) -> DataFrame:
     )
 
 
-def classified(spark: SparkSession, lines: str | None = None, settings: Settings | None = None) -> DataFrame:
-    base = layer(spark, "labelled", lines, settings)
-    return inherit(base, spark.sql(plan.parents(SPARK, plan.layers(SPARK, settings, lines)["labelled"])))
+def classified(spark: SparkSession, lines: str | None = None, settings: Settings | None = None, own_context: bool = False) -> DataFrame:
+    """Labelled lines of `lines` (SQL; the box adapter by default, which needs the view lineitem)."""
+    text = plan.layers(SPARK, settings, lines, own_context)["labelled"]
+    return inherit(spark.sql(text), spark.sql(plan.parents(SPARK, text)))
 
 
 def region_pitch(lines: DataFrame) -> DataFrame:

@@ -187,9 +187,11 @@ SELECT page_id, seq, parent FROM (
 WHERE k = 1"""
 
 
-def layers(d: Dialect, c: Settings | None = None, lines: str | None = None) -> dict[str, str]:
+def layers(d: Dialect, c: Settings | None = None, lines: str | None = None, own_context: bool = False) -> dict[str, str]:
+    """All layers over `lines` (the box adapter by default); with own_context, the lines have their page's context as columns."""
     c = c or Settings()
-    out = {"featured": featured(d, context(d, lines or adapter(d)))}
+    base = lines or adapter(d)
+    out = {"featured": featured(d, base if own_context else context(d, base))}
     out["stats"] = stats(d, out["featured"])
     out["kept"] = kept(d, out["stats"])
     out["filler"] = filler(d, c, out["kept"])

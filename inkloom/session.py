@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -32,3 +33,12 @@ def shipped(f):
         return f(ship(spark), *args)
 
     return run
+
+
+def staged(df):
+    """The frame written once to the shared folder (spark.checkpoint.dir; a temporary one where it is unset) and read back, for results that are dear to make and read often."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="inkloom-")
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
