@@ -20,7 +20,7 @@ import base64
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from . import common, vec
 from .common import Memo
 
 #: Distinct pieces in a generation of a worker's cache; a bound of memory, without effect on results.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 100_000
 #: Bytes up to which a part is encoded by plain merging instead of being halved.
 LEAF_BYTES = 16
 _NONE = 1 << 60
@@ -70,7 +70,7 @@ class Monoid:
         key = (a, b)
         got = self.pairs.get(key)
         if got is None:
-            if len(self.pairs) > 500_000:
+            if len(self.pairs) > 200_000:
                 self.pairs.clear()
             got = self.pairs[key] = _merge(self.ranks, a + b) == [a, b]
         return got
@@ -179,15 +179,24 @@ class Codec:
         self.ranks = read_ranks(path)
         self.find = regex.compile(pattern).findall
         self.wide = re.compile(r"\s ").search
-        self.monoid, self.leaves = Monoid(self.ranks), Leaves(self.ranks)
-        self.pieces, self.parts = Memo(CACHE_PIECES), Memo(CACHE_PIECES)
-        by_id = [b""] * self.leaves.size
+        self.monoid = Monoid(self.ranks)
+        self.forget()
+        by_id = [b""] * (max(self.ranks.values()) + 1)
         for b, i in self.ranks.items():
             by_id[i] = b
         self.bytes = np.frombuffer(b"".join(by_id), np.uint8)
         self.ends = np.cumsum([len(x) for x in by_id])
         self.sizes = np.array([len(x) for x in by_id], np.int64)
 
+    @cached_property
+    def leaves(self) -> Leaves:
+        return Leaves(self.ranks)
+
+    def forget(self) -> None:
+        """Drops what is kept of texts, so that an idle worker holds little."""
+        self.pieces, self.parts = Memo(CACHE_PIECES), Memo(CACHE_PIECES)
+        self.monoid.pairs.clear()
+
     def _fill(self, pieces: set[str]) -> None:
         """Encodes the distinct pieces that aren't kept: short ones together, others each by the tree."""
         short = []
@@ -258,7 +267,7 @@ def decode_ids(ids: pa.ListArray, c: Codec) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(size[off - off[0]].astype(np.int32).tobytes()), pa.py_buffer(c.decode(flat).tobytes())])
 
 
-def _map(df: DataFrame, source: str, column: str, kind: T.DataType, f) -> DataFrame:
+def _map(df: DataFrame, source: str, column: str, kind: T.DataType, f, end=lambda: None) -> DataFrame:
     """The frame with one more column, made of `source` batch by batch."""
     common.batches(df.sparkSession)
 
@@ -267,13 +276,14 @@ def _map(df: DataFrame, source: str, column: str, kind: T.DataType, f) -> DataFr
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([*part.columns, f(part.column(part.schema.get_field_index(source)))], names=[*part.schema.names, column])
+        end()
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(column, kind)]))
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds the column `ids` (array of int); a column of that name is replaced."""
-    return _map(df.drop(ids), text, ids, T.ArrayType(T.IntegerType()), lambda col: encode_texts(col.to_pylist(), codec(path, pattern)))
+    return _map(df.drop(ids), text, ids, T.ArrayType(T.IntegerType()), lambda col: encode_texts(col.to_pylist(), codec(path, pattern)), lambda: codec(path, pattern).forget())
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
