@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 4 << 20
 #: Parquet text takes about this share of the text's own bytes.
 PARQUET_SHARE = 0.5
+#: Estimates above this are none.
+UNKNOWN = 1 << 50
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +26,11 @@ def size_bytes(df: DataFrame) -> int:
 
 
 def chunk_count(df: DataFrame, per: int = CHUNK_BYTES) -> int:
-    """So many chunks that each holds about `per` bytes of text; grows with the input."""
-    return int(max(1, min(size_bytes(df) / PARQUET_SHARE / per, 4_000_000)))
+    """So many chunks that each holds about `per` bytes of text; grows with the input. Measures the texts where the optimizer has no estimate (rows from Python, joins)."""
+    size = size_bytes(df) / PARQUET_SHARE
+    if size > UNKNOWN:
+        size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return int(max(1, size / per))
 
 
 def shared_dir(spark: SparkSession) -> str:
