@@ -112,3 +112,18 @@ def latin(d: Dialect) -> str:
 SELECT page_id, CASE WHEN letters = 0 THEN {n(0)} ELSE greatest({n(0)}, least({n(1)}, weighted / 100 / letters * ({n(1)} * letters / total) * least({n(1)}, letters / {n(8)}))) END AS latin_ocr
 FROM (SELECT page_id, CAST(sum(length(tok)) AS BIGINT) AS total, CAST(coalesce(sum(CASE WHEN k >= 2 AND hit THEN k END), 0) AS BIGINT) AS letters, coalesce(sum(CASE WHEN k >= 2 AND hit THEN k * conf END), 0) AS weighted
       FROM (SELECT page_id, tok, conf, CAST({letters} AS BIGINT) AS k, {match} AS hit FROM ({tokens(d)}) z) z GROUP BY page_id) z"""
+
+
+def pitch(d: Dialect, ch: int = 2) -> str:
+    """Line distance of each page from the autocorrelation of its row profile, less a moving mean; in whole numbers, so both engines agree."""
+    k = max(3, 3 * ch) | 1
+    frame = f"OVER (PARTITION BY page_id ORDER BY y ROWS BETWEEN {k // 2} PRECEDING AND {k // 2} FOLLOWING)"
+    rows = f"SELECT page_id, y, CAST({k} * ink - sum(ink) {frame} AS BIGINT) AS r, count(*) OVER (PARTITION BY page_id) AS n FROM ({profile(d)}) z"
+    lo, hi = int(0.9 * ch), 4 * ch
+    curve = f"SELECT a.page_id, b.y - a.y AS step, CAST(sum(a.r * b.r) AS BIGINT) AS v, max(a.n) AS n FROM ({rows}) a JOIN ({rows}) b ON a.page_id = b.page_id AND b.y - a.y BETWEEN 0 AND {hi - 1} GROUP BY a.page_id, b.y - a.y"
+    near = "OVER (PARTITION BY page_id ORDER BY step)"
+    seg = f"SELECT *, lag(v) {near} AS before, lead(v) {near} AS after FROM (SELECT *, max(CASE WHEN step = 0 THEN v END) OVER (PARTITION BY page_id) AS v0 FROM ({curve}) z) z WHERE step >= {lo} AND step < least(n - 1, {hi}) AND n >= {k}"
+    peaks = f"SELECT *, max(v) OVER (PARTITION BY page_id) AS top FROM ({seg}) z WHERE v >= before AND v >= after AND 20 * v > v0"
+    return f"""
+SELECT p.page_id, coalesce(CAST(step AS DOUBLE), {d.num(1.6 * ch)}) AS pitch FROM (SELECT DISTINCT page_id FROM ({profile(d)}) z) p
+LEFT JOIN (SELECT page_id, min(step) AS step FROM ({peaks}) z WHERE 10 * v >= 6 * top GROUP BY page_id) q ON p.page_id = q.page_id"""

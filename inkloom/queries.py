@@ -193,6 +193,10 @@ def catalogue() -> dict[str, tuple[Query, str | None]]:
         "skew_wmedian": _plain(skew, "lineitem"),
         "draw_list": _plain(draw_list, "lineitem"),
         "row_merge": (row_merge, None),
+        "speck_filter": _layered("featured", lambda d: f"SELECT {KEY}, greatest(w, h) >= {d.num(6)} AND ink_px >= {d.num(5.76)} AND NOT ((x1 <= 1 OR y1 <= 1 OR x2 >= 999 OR y2 >= 1559) AND greatest(w, h) > 3 * least(w, h) AND greatest(w, h) > 40) AS stays"),
+        "component_filter": _layered("featured", lambda d: f"SELECT {KEY}, ink_px >= 12 AND NOT (h > {d.num(0.2)} * 1560 AND w < {d.num(0.2)} * h) AS stays"),
+        "outside_lines": _layered("featured", lambda d: f"SELECT {KEY}, source = 'outside' AND w > 3 * h AND w > 4 * char_h AS stays"),
+        "strip_autocorr_pitch": _plain(rasters.pitch, "documents"),
         "ink_runs": _plain(rasters.runs, "documents"),
         "hclose_runs": _plain(lambda d: rasters.closed(d, 3), "documents"),
         "hopen_rulings": _plain(lambda d: rasters.opened(d, 12), "documents"),
