@@ -22,23 +22,21 @@ from pyspark.sql import functions as F
 
 from . import common, vec, windows
 
-#: Windows of 50 bytes; grams of 24 bytes sample them.
-SIZE, GRAM = 50, 24
+#: Windows of 50 bytes; grams of 24 bytes sample them, grams of 12 bytes deal them out.
+SIZE, GRAM, ROUTE = 50, 24, 12
 CHUNK = 2 << 20
 SCHEMA = "doc_id long, n_bytes long, n_removed long, starts array<int>, ends array<int>, kept binary"
 
 
 def groups(raw: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(suffixes, group of each) of the suffixes at `at` that are equal through `size` bytes to another, group by group. Each must have `size` bytes."""
-    pad = np.concatenate([raw, np.zeros(8, np.uint8)]).astype(np.uint64)
-    word = np.zeros(len(raw) + 1, np.uint64)
-    for j in range(8):
-        word = (word << np.uint64(8)) | pad[j : j + len(word)]
+    pad = np.concatenate([raw, np.zeros(8, np.uint8)])
+    word = np.ndarray(len(raw) + 1, ">u8", pad, strides=(1,))  # the eight bytes from each position, as they lie
     group = np.zeros(len(at), np.int64)
     for depth in range(0, size, 8):
         if not len(at):
             break
-        digit = word[at + depth]
+        digit = word[at + depth].astype(np.uint64)
         if size - depth < 8:
             digit = digit >> np.uint64(8 * (8 - (size - depth)))
         order = np.lexsort((digit, group)) if depth else np.argsort(digit, kind="stable")
@@ -56,7 +54,7 @@ def resolve(count: np.ndarray, ids: np.ndarray, content: bytes, size: int) -> np
     begin = np.cumsum(count + size - 1) - (count + size - 1)
     at = vec.ranges(begin, count)
     seg = np.repeat(np.arange(len(count)), count)
-    number = np.zeros(len(raw) + 1, np.int64)
+    number = np.zeros(len(raw) + 1, np.int32)
     number[at] = np.arange(len(at))
     hit = np.zeros(len(at), bool)
     at, group = groups(raw, at, size)
@@ -91,7 +89,7 @@ def finish(key: tuple, t: pa.Table, hits: pa.Table, size: int) -> pa.Table:
 
 def dedup(docs: DataFrame, size: int = SIZE, chunks: int | None = None, chunk_bytes: int = CHUNK) -> DataFrame:
     """Per document: bytes, bytes removed, the maximal removed runs, and what is kept."""
-    return windows.find(docs, "bytes", size, min(GRAM, max(1, size // 2)), resolve, finish, SCHEMA, chunk_bytes, chunks=chunks)
+    return windows.find(docs, "bytes", size, min(GRAM, max(1, size // 2)), resolve, finish, SCHEMA, chunk_bytes, chunks=chunks, route_k=min(ROUTE, max(1, size // 2)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

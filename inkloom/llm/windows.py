@@ -10,8 +10,9 @@ shuffle of texts serves three readings of it:
 2. Windows of anchors that no one else has are done. The others are compared
    within the chunk; what an earlier document of the chunk has is decided
    there, so of any window, however common, a chunk sends on one document's
-   copy. These go, in runs of one anchor (single windows where many chunks have
-   the anchor), to buckets in which a resolver compares content.
+   copy. These go, in runs of one anchor, or of one minimiser of shorter grams
+   (single windows where many chunks have the anchor), to buckets in which a
+   resolver compares content.
 3. The windows found in earlier documents come back to their chunk, where the
    units they cover are marked.
 
@@ -34,7 +35,7 @@ from . import common, vec
 #: From this many chunks on, the windows of an anchor are dealt out singly.
 HOT_CHUNKS = 48
 LAST = np.iinfo(np.int64).max
-_48 = np.uint64((1 << 48) - 1)
+_40 = np.uint64((1 << 40) - 1)
 SEGMENTS = "chunk int, bucket int, starts binary, sizes binary, docs binary, content binary, known binary"
 
 
@@ -55,21 +56,21 @@ def unpack(b: bytes, dtype) -> np.ndarray:
 
 
 def narrow(x: np.ndarray) -> bytes:
-    """48-bit values in six bytes each."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """40-bit values in five bytes each."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
 
 def wide(b: bytes) -> np.ndarray:
-    six = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(six), 8), np.uint8)
-    out[:, :6] = six
+    five = np.frombuffer(b, np.uint8).reshape(-1, 5)
+    out = np.zeros((len(five), 8), np.uint8)
+    out[:, :5] = five
     return out.view("<u8").ravel()
 
 
 class Units:
     """The units, windows and anchors of a chunk's texts."""
 
-    def __init__(self, t: pa.Table, kind: str, size: int, k: int):
+    def __init__(self, t: pa.Table, kind: str, size: int, k: int, route_k: int = 0):
         self.kind, self.size = kind, size
         self.raw, self.off = vec.buffers(t.column("text"))
         ids = t.column("doc_id")
@@ -77,17 +78,17 @@ class Units:
         if kind == "bytes":
             self.first = self.off
             n = len(self.raw)
-            at = np.arange(max(0, n - k + 1))
-            grams = vec.span_hashes(self.raw, at, at + k)
-            at = at[: max(0, n - size + 1)]
-            self.prints = vec.span_hashes(self.raw, at, at + size)
+            over = lambda m: (lambda at: vec.span_hashes(self.raw, at, at + m))(np.arange(max(0, n - m + 1)))
+            if route_k:
+                self.route = vec.sliding_min(over(route_k), size - route_k + 1)
+            grams, self.prints = over(k), over(size)
         else:
             self.starts, self.ends, self.first = vec.words(self.raw, self.off)
             h = vec.span_hashes(self.raw, self.starts, self.ends)
             grams, self.prints = vec.grams(h, k), vec.grams(h, size)
         self.count = int(self.first[-1])
         self.own = vec.owner(self.first).astype(np.int32)
-        low = vec.sliding_min(grams, size - k + 1) & _48
+        low = vec.sliding_min(grams, size - k + 1) & _40
         del grams
         at = np.flatnonzero(vec.whole(self.own, size))
         low, own = low[at], self.own[at]
@@ -159,10 +160,10 @@ def spans(at: np.ndarray) -> bytes:
     return np.stack([at[head], np.diff(np.append(head, len(at)))], axis=1).astype(np.int32).tobytes()
 
 
-def _segments(key: tuple, t: pa.Table, flags: pa.Table, kind: str, size: int, k: int, buckets: int) -> pa.Table:
+def _segments(key: tuple, t: pa.Table, flags: pa.Table, kind: str, size: int, k: int, route_k: int, buckets: int) -> pa.Table:
     if t.num_rows == 0:
         return pa.table({n: pa.array([], pa.int32() if n in ("chunk", "bucket") else pa.binary()) for n in _NAMES})
-    u = Units(t, kind, size, k)
+    u = Units(t, kind, size, k, route_k)
     known = np.concatenate([np.zeros(0, np.uint64), *(wide(x.as_py()) for x in flags.column("keys"))])
     n = np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(x.as_py(), np.uint16) for x in flags.column("n"))])
     order = np.argsort(known)
@@ -189,12 +190,14 @@ def _segments(key: tuple, t: pa.Table, flags: pa.Table, kind: str, size: int, k:
     out = [(key[0].as_py(), key[0].as_py() % buckets, b"", b"", b"", b"", spans(np.sort(pos[here])))]
     go = ~here & far[run]
     pos, run, ids = pos[go], run[go], ids[go]
+    order = np.argsort(pos)
+    pos, run, ids = pos[order], run[order], ids[order]
+    route = np.where(hot[run], u.prints[pos], u.route[pos] if route_k else u.anchor[run])
     new = np.ones(len(pos), bool)
     if len(pos):
-        new[1:] = (pos[1:] != pos[:-1] + 1) | (run[1:] != run[:-1]) | hot[run[1:]]
+        new[1:] = (pos[1:] != pos[:-1] + 1) | (route[1:] != route[:-1]) | (u.own[pos[1:]] != u.own[pos[:-1]])
     head = np.flatnonzero(new)
-    start, count, run = pos[head], np.diff(np.append(head, len(pos))), run[head]
-    route = np.where(hot[run], u.prints[start], u.anchor[run])
+    start, count, route = pos[head], np.diff(np.append(head, len(pos))), route[head]
     order, names, at = _deal(route, buckets)
     start, count, ids = start[order], count[order], ids[head][order]
     for b, lo, hi in zip(names.tolist(), at[:-1], at[1:], strict=True):
@@ -230,16 +233,16 @@ def covered(u_count: int, hits: pa.Table, size: int) -> np.ndarray:
     return np.cumsum(d)[:-1] > 0
 
 
-def find(docs: DataFrame, kind: str, size: int, k: int, resolver: Callable, finish: Callable, schema: str, chunk_bytes: int, rest: bool = False, chunks: int | None = None) -> DataFrame:
+def find(docs: DataFrame, kind: str, size: int, k: int, resolver: Callable, finish: Callable, schema: str, chunk_bytes: int, rest: bool = False, chunks: int | None = None, route_k: int = 0) -> DataFrame:
     """finish(table of a chunk's rows, its hits) for all chunks. With rest, rows have all other columns in a struct `rest`."""
     spark = docs.sparkSession
     common.batches(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("rest")] if rest else []))
     n = chunks or common.chunk_count(base, chunk_bytes)
-    buckets = max(4, n * chunk_bytes >> 22)
+    buckets, finer = max(4, n * chunk_bytes >> 22), max(4, n * chunk_bytes >> 21)
     dealt = common.chunked(base, n, "text", *(["rest"] if rest else []))
     sent = dealt.groupBy("chunk").applyInArrow(lambda key, t: _send(key, t, kind, size, k, buckets), "chunk int, bucket int, keys binary")
     shared = sent.groupBy("bucket").applyInArrow(_shared, "chunk int, keys binary, n binary")
-    parts = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(lambda key, t, flags: _segments(key, t, flags, kind, size, k, buckets), SEGMENTS)
+    parts = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(lambda key, t, flags: _segments(key, t, flags, kind, size, k, route_k, finer), SEGMENTS)
     hits = parts.groupBy("bucket").applyInArrow(lambda t: _resolve(t, size, resolver), "chunk int, hits binary")
     return dealt.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(lambda key, t, found: finish(key, t, found, size), schema)
