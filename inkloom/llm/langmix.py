@@ -4,10 +4,12 @@ Each language is a distribution over byte trigrams (hashed to BINS bins, add-hal
 smoothing), counted over all labelled training rows: tasks add up counts, which
 are summed by slices, so what reaches the driver and the tasks is one table of
 languages x BINS whatever the number of rows. A document is a mixture: expectation
-maximisation estimates the proportions of all languages from its trigrams; then
-the sets of its 1, 2, ... foremost languages are fitted, and the set with the
-highest likelihood less PENALTY / 2 * ln(n) for each language beyond the first
-is selected. The foremost language of the set is predicted.
+maximisation estimates the proportions of all languages from its trigrams, and
+an upper bound of any mixture's likelihood. Then sets of 1, 2, ... languages are
+fitted: the best set so far with each other language that could win by its
+gradient, and the foremost languages. The set with the highest likelihood less
+PENALTY / 2 * ln(n) for each language beyond the first is selected. The foremost
+language of the set is predicted.
 
 Defined results: a null text, or one without a letter, or an empty training set
 gives `und` with score 0; null labels are not learned from; a null doc_id counts
@@ -28,7 +30,12 @@ from . import common, vec
 BITS = 16
 BINS = 1 << BITS
 SLICE = 1 << 12
-ROUNDS = 10
+#: Rounds between two looks at the bound, and of a document that doesn't converge; its bound holds all the same.
+ROUNDS, MOST_ROUNDS = 10, 1000
+#: Fits end so near (nats) to the highest likelihood.
+TOLERANCE = 0.05
+#: Likelihoods (languages x entries) of one block of set fits.
+FIT_ENTRIES = 1 << 22
 #: Weight of the penalty; above 1, as neighbouring trigrams aren't independent.
 PENALTY = 6.0
 #: Languages x bins x 8 bytes must fit in a worker.
@@ -102,19 +109,53 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
     return {k: np.log((model[k] + 0.5) / (model[k].sum() + 0.5 * BINS)) for k in sorted(model)}
 
 
-def fit(p: np.ndarray, count: np.ndarray, own: np.ndarray, first: np.ndarray, pi: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Expectation maximisation for many documents: (proportions, log likelihood relative to p's scale). p: likelihoods by language and entry; entries of document i start at first[i]."""
-    total = np.add.reduceat(count, first)
-    like = None
-    for r in range(rounds + 1):
-        w = p * pi[:, own]
-        s = np.maximum(w.sum(axis=0), 1e-30)
-        if r == rounds:
-            like = np.add.reduceat(count * np.log(s), first)
-            break
-        w *= count / s
-        pi = np.add.reduceat(w, first, axis=1) / total
-    return pi, like
+def fit(p: np.ndarray, count: np.ndarray, size: np.ndarray, pi: np.ndarray, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expectation maximisation for many documents: (proportions, log likelihood relative to p's scale, upper bound of it for any proportions).
+
+    p: likelihoods by language and entry; document i has the next size[i] entries. A document is done when its bound is
+    within TOLERANCE of its likelihood, or not above its floor. The bound: by Jensen's inequality no proportions gain
+    more than n ln(max g / n), where g is the gradient, and n the number of trigrams.
+    """
+    pi = pi.astype(np.float64)
+    like, upper = np.zeros(len(size)), np.zeros(len(size))
+    live, now = np.arange(len(size)), pi
+    for r in range(MOST_ROUNDS + 1):
+        first = np.concatenate(([0], np.cumsum(size)[:-1]))
+        own = np.repeat(np.arange(len(size)), size)
+        s = np.maximum((p * now.astype(np.float32)[:, own]).sum(axis=0), 1e-30)
+        g = np.add.reduceat(p * (count / s), first, axis=1, dtype=np.float64)
+        if r % ROUNDS == 0:
+            n = np.add.reduceat(count, first, dtype=np.float64)
+            got = np.add.reduceat(count * np.log(s), first, dtype=np.float64)
+            most = got + n * np.log(np.maximum(g.max(axis=0) / n, 1))
+            pi[:, live], like[live], upper[live] = now, got, most
+            on = most - got > TOLERANCE
+            if floor is not None:
+                on &= most > floor[live]
+            if not on.any():
+                break
+            if not on.all():
+                entry = np.repeat(on, size)
+                p, count = p[:, entry], count[entry]
+                live, size, now, g, n = live[on], size[on], now[:, on], g[:, on], n[on]
+        now = now * g / n
+        now /= now.sum(axis=0)
+    return pi, like, upper
+
+
+def fit_sets(p: np.ndarray, count: np.ndarray, first: np.ndarray, size: np.ndarray, doc: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each (document, set of k languages): (proportions, log likelihood, gradient for all languages). Fitted in blocks of FIT_ENTRIES."""
+    pi, like, grad = np.zeros(sets.shape), np.zeros(len(doc)), np.zeros((len(doc), len(p)))
+    block = np.cumsum(size[doc]) // max(1, FIT_ENTRIES // len(p))
+    for mine in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(block)) + 1):
+        n = size[doc[mine]]
+        at, own = vec.ranges(first[doc[mine]], n), np.repeat(np.arange(len(mine)), n)
+        q = p[sets[mine].T[:, own], at]
+        got, like[mine], _ = fit(q, count[at], n, np.full((sets.shape[1], len(mine)), 1 / sets.shape[1]))
+        pi[mine] = got.T
+        s = np.maximum((q * got.astype(np.float32)[:, own]).sum(axis=0), 1e-30)
+        grad[mine] = np.add.reduceat(p[:, at] * (count[at] / s), np.concatenate(([0], np.cumsum(n)[:-1])), axis=1, dtype=np.float64).T
+    return pi, like, grad
 
 
 def infer(col: pa.Array, table: np.ndarray, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
@@ -128,32 +169,52 @@ def infer(col: pa.Array, table: np.ndarray, penalty: float = PENALTY) -> tuple[n
     if not len(here):
         return shares, known
     first = np.searchsorted(own, np.arange(len(here)))
+    size = np.diff(np.append(first, len(own)))
     lp = table[:, bins]
     top = lp.max(axis=0)
     p = np.exp(lp - top).astype(np.float32)
     count = n.astype(np.float32)
-    single = np.add.reduceat(np.log(np.maximum(p, 1e-30)) * count, first, axis=1)
-    pi, like = fit(p, count, own, first, np.full((langs, len(here)), 1 / langs, np.float32))
-    fine = penalty / 2 * np.log(np.add.reduceat(count, first) + 1)
+    single = np.add.reduceat(np.log(np.maximum(p, 1e-30)) * count, first, axis=1, dtype=np.float64)
+    words = np.add.reduceat(count, first, dtype=np.float64)
+    fine = penalty / 2 * np.log(words + 1)
     best, best_like = single.argmax(axis=0), single.max(axis=0)
-    out = np.zeros_like(pi)
+    out = np.zeros(single.shape)
     out[best, np.arange(len(here))] = 1
+    pi, _, upper = fit(p, count, size, np.full((langs, len(here)), 1 / langs), best_like + fine)
     order = np.argsort(-pi, axis=0, kind="stable")
-    live = np.flatnonzero(like - fine > best_like)  # no set can do better elsewhere: all languages together have the highest likelihood
+    # the set that grows, its likelihood and gradient
+    chain, chain_like = best[:, None], best_like.copy()
+    live = np.flatnonzero(upper - fine > best_like)  # elsewhere no set can do better: upper is above the likelihood of any
+    grad = np.zeros((len(here), langs))
+    if len(live):
+        grad[live] = fit_sets(p, count, first, size, live, chain[live])[2]
     for k in range(2, langs + 1):
         if not len(live):
             break
-        mask = np.zeros((langs, len(live)), np.float32)
-        mask[order[:k, live], np.arange(len(live))] = 1
-        start = mask * np.maximum(pi[:, live], 1e-3)
-        size = np.diff(np.append(first, len(own)))[live]
-        at = vec.ranges(first[live], size)
-        mine, begin = np.repeat(np.arange(len(live)), size), np.concatenate(([0], np.cumsum(size)[:-1]))
-        got, l = fit(p[:, at], count[at], mine, begin, start / start.sum(axis=0))
-        score = l - (k - 1) * fine[live]
+        g = grad[live]
+        bound = words[live, None] * np.log(np.maximum(np.maximum(g, g[np.arange(len(live))[:, None], chain[live]].max(axis=1)[:, None]) / words[live, None], 1))
+        free = np.ones(g.shape, bool)
+        free[np.arange(len(live))[:, None], chain[live]] = False
+        tried = free & (chain_like[live, None] + bound - (k - 1) * fine[live, None] > best_like[live, None])
+        tried[np.arange(len(live)), np.where(free, g, -1).argmax(axis=1)] = True
+        i, j = np.nonzero(tried)
+        doc = np.concatenate([live[i], live])
+        sets = np.concatenate([np.column_stack([chain[live[i]], j]), order[:k, live].T])
+        by = np.argsort(doc, kind="stable")
+        doc, sets = doc[by], sets[by]
+        got, l, slope = fit_sets(p, count, first, size, doc, sets)
+        by = np.lexsort((-l, doc))
+        by = by[np.searchsorted(doc[by], live)]  # the most likely set of each document
+        grown = np.zeros((len(here), k), np.int64)
+        grown[live], chain_like[live], grad[live] = sets[by], l[by], slope[by]
+        chain = grown
+        score = l[by] - (k - 1) * fine[live]
         up = score > best_like[live]
-        out[:, live[up]], best_like[live[up]] = got[:, up], score[up]
-        live = live[like[live] - k * fine[live] > best_like[live]]
+        won = live[up]
+        out[:, won] = 0
+        out[chain[won], won[:, None]] = got[by][up]
+        best_like[won] = score[up]
+        live = live[upper[live] - k * fine[live] > best_like[live]]
     shares[:, here] = out
     return shares, known
 

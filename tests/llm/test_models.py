@@ -3,6 +3,8 @@ import math
 import random
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from inkloom.llm import langmix, suffix_tree_lm
@@ -70,3 +72,34 @@ def test_languages(spark):
     assert by[104].lang_pred in parts and len(got) == len(rows)
     none = langmix.train(spark.createDataFrame([], "text string, lang string"))
     assert langmix.predict(spark.createDataFrame(rows[:1], "doc_id long, held_out boolean, text string"), none).first().lang_pred == "und"
+
+
+@pytest.mark.parametrize("langs", [4, 20])
+def test_best_pairs_of_languages_are_found(langs):
+    """Against a fit of each pair to its maximum, on texts with a small second language."""
+    r = np.random.default_rng(3)
+    words = np.array(["".join(r.choice(list("abcdefghijklmnop"), 5)) for _ in range(300)])
+    common = r.dirichlet(np.full(300, 0.3))
+    use = np.array([0.5 * common + 0.5 * r.dirichlet(np.full(300, 0.3)) for _ in range(langs)])
+    make = lambda k, n: " ".join(r.choice(words, n, p=use[k]))
+    table = np.zeros((langs, langmix.BINS))
+    for k in range(langs):
+        _, bins, n = langmix.features(pa.array([make(k, 20_000)]))
+        table[k, bins] = n
+    table = np.log((table + 0.5) / (table.sum(axis=1, keepdims=True) + 0.5 * langmix.BINS))
+    texts = []
+    for share in np.linspace(0.03, 0.2, 30):
+        a, b = r.choice(langs, 2, replace=False)
+        texts.append(make(a, int(800 * (1 - share))) + " " + make(b, int(800 * share)))
+    shares, _ = langmix.infer(pa.array(texts), table)
+    pairs = 0
+    for i, t in enumerate(texts):
+        _, bins, n = langmix.features(pa.array([t]))
+        lp = table[:, bins]
+        fine = langmix.PENALTY / 2 * np.log(n.sum() + 1)
+        value = lambda w: (n * np.log(w @ np.exp(lp - lp.max(axis=0)))).sum() - (np.count_nonzero(w) - 1) * fine  # noqa: E731, B023
+        single = max(value(np.eye(langs)[k]) for k in range(langs))
+        best = max(value((1 - x) * np.eye(langs)[k] + x * np.eye(langs)[j]) for k in range(langs) for j in range(langs) if j != k for x in (0.03, 0.06, 0.1, 0.15, 0.2))
+        pairs += best > single
+        assert value(shares[:, i] / shares[:, i].sum()) >= max(single, best) - 0.1, i
+    assert pairs >= 10
