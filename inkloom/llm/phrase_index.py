@@ -5,8 +5,9 @@ test set, the sorted list of word positions where the slice has it. A test
 phrase is looked up from its rarest term in that slice: the term's positions,
 less its offset in the phrase, are the candidate starts, and the lists of the
 other terms, adjusted by their offsets, are intersected with them in order of
-rarity. Nothing of the documents is shuffled; the test set is sent to the
-tasks, in blocks of at most BLOCK_BYTES of text, whose size is checked.
+rarity. Matches by proximity, which may lack `misses` terms, start from the
+misses + 1 rarest, each shifted by up to `slop` words either way. Nothing of the
+documents is shuffled; the test set is sent to the tasks, in blocks of at most BLOCK_BYTES of text, whose size is checked.
 
 Defined results: null and empty texts have no words and no hits; a null
 item_id marks hits but is not listed; repeated rows give a row each (with more
@@ -78,14 +79,20 @@ def search(p: Phrases, ids: np.ndarray, own: np.ndarray, slop: int, misses: int)
     width = p.terms.shape[1]
     df = np.where(p.terms >= 0, count[p.terms], np.iinfo(np.int64).max)
     order = np.argsort(df, axis=1, kind="stable")
-    missing = (df == 0).sum(axis=1)
-    rarest = order[np.arange(len(df)), np.minimum(missing, p.size - 1)]  # the rarest term that occurs
-    n = count[p.terms[np.arange(len(df)), rarest]]
-    n[missing > misses] = 0
-    win = np.repeat(np.arange(len(df)), n)
-    start = where[vec.ranges(ptr[p.terms[np.arange(len(df)), rarest]], n)] - rarest[win]
+    # at most `misses` terms are out of place, so of any misses + 1 one is within slop of its place: each start comes from one of the rarest
+    seeds = []
+    for j in range(min(misses + 1, width)):
+        col = order[:, j]
+        term = p.terms[np.arange(len(df)), col]
+        n = np.where((term >= 0) & ((df == 0).sum(axis=1) <= misses), count[term], 0)
+        win = np.repeat(np.arange(len(df)), n)
+        at = where[vec.ranges(ptr[term], n)] - col[win]
+        seeds += [(win, at - s) for s in range(-slop, slop + 1)]
+    win, start = (np.concatenate(x) for x in zip(*seeds, strict=True))
     ok = (start >= 0) & (start + p.size[win] <= len(ids))
     win, start = win[ok], start[ok]
+    if len(seeds) > 1:
+        win, start = np.divmod(np.unique(win * len(ids) + start), len(ids))
     ok = own[start] == own[start + p.size[win] - 1]
     win, start = win[ok], start[ok]
     bad = np.zeros(len(win), np.int64)  # terms not within slop

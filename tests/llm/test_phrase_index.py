@@ -52,6 +52,37 @@ def test_proximity(spark):
     assert not any(x.near_items for x in m.find(d.where("doc_id > 1"), b, width=7, slop=0, misses=0).collect())
 
 
+def near(docs, bench, width, slop, misses):
+    out = []
+    for d, t in docs:
+        w, items = WORD.findall(lower(t)), set()
+        for item, b in bench:
+            p = WORD.findall(lower(b))
+            for g in (p[k : k + width] for k in range(max(1, len(p) - width + 1) if p else 0)):
+                for i in range(len(w) - len(g) + 1):
+                    bad = sum(x not in w[max(0, i + j - slop) : i + j + slop + 1] for j, x in enumerate(g))
+                    if bad <= misses and bad < len(g):
+                        items.add(item)
+        out.append((d, sorted(items)))
+    return sorted(out)
+
+
+def test_proximity_where_the_replaced_word_occurs_elsewhere(spark):
+    d, b = frames(spark, [(1, "a b c zz e f g"), (2, "x d x"), (3, "a a a b b b c c e e f f g g x x")], [(7, "a b c d e f g")])
+    got = {x.doc_id: x.near_items for x in m.find(d.coalesce(1), b, width=7).collect()}
+    assert got == {1: [7], 2: [], 3: []}
+
+
+def test_proximity_brute_force(spark):
+    r = random.Random(4)
+    make = lambda n: " ".join(r.choice("abcdefgh") for _ in range(n))
+    docs, bench = [(i, make(r.randint(0, 30))) for i in range(60)], [(i, make(r.randint(1, 7))) for i in range(12)]
+    d, b = frames(spark, docs, bench)
+    for slop, misses in ((0, 1), (1, 0), (1, 1), (2, 2)):
+        got = sorted((x.doc_id, sorted(x.near_items)) for x in m.find(d.coalesce(2), b, width=5, slop=slop, misses=misses).collect())
+        assert got == near(docs, bench, 5, slop, misses), (slop, misses)
+
+
 def test_empty_tables(spark):
     d, b = frames(spark, [(1, "a b")], [(7, "a b")])
     assert [tuple(x)[1:3] for x in m.find(d, b.limit(0)).collect()] == [(2, 0)]
