@@ -48,6 +48,14 @@ def test_scores(spark, prose):
     assert sum(r.n_context for r in out) > 0.5 * sum(r.n_tokens for r in out)
 
 
+def test_contexts_do_not_depend_on_the_size_of_the_corpus(spark):
+    r = random.Random(8)
+    rows = [(i, " ".join(f"f{r.randrange(1000)}" for _ in range(1000)) + " alpha beta" * (i < 40), False) for i in range(600)]
+    df = spark.createDataFrame([*rows, (1000, "alpha beta", True)], "doc_id long, text string, held boolean").repartition(4)
+    got = suffix_tree_lm.scores(df, chunks=3).where("doc_id = 1000").first()
+    assert got.n_context > 0 and got.score > got.base_score + 3
+
+
 def test_no_training_rows(spark):
     df = spark.createDataFrame([(1, "a b", True), (2, None, True)], "doc_id long, text string, held boolean")
     got = {r.doc_id: r for r in suffix_tree_lm.scores(df).collect()}
