@@ -66,7 +66,7 @@ def batches(spark: SparkSession) -> None:
 def chunked(df: DataFrame, n: int, *cols: str) -> DataFrame:
     """The columns with a chunk number, dealt out by it; the same frame read twice in a plan is shuffled once (reused exchange)."""
     parts = max(1, min(n, max(12, n // 3)))
-    return df.select("doc_id", *cols, F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("chunk")).repartition(parts, "chunk")
+    return df.select("doc_id", *cols, F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n)).cast("int").alias("chunk")).repartition(parts, "chunk")
 
 
 class Memo:

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_lines": quality_lines.SQL, "op3_rlz_dedup": rlz_dedup.SQL, "op4_count_rtree": count_rtree.SQL, "op10_phrase_index": phrase_index.SQL}
+    return {"op1_quality_lines": quality_lines.SQL, "op3_rlz_dedup": rlz_dedup.SQL, "op4_count_rtree": count_rtree.SQL, "op8_radix_suffix": radix_suffix.SQL, "op10_phrase_index": phrase_index.SQL}

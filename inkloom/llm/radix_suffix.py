@@ -6,7 +6,10 @@ the suffixes within the groups that the passes before have left equal, and
 suffixes alone in their group drop out. What is equal after the last pass are
 exactly the repeated windows, and bytes of those that also start in a document
 with a smaller doc_id are removed. windows.py deals out the suffixes that can
-repeat at all.
+repeat at all, and this sort decides on every one of them by its bytes.
+
+`longest_repeat` is the longest stretch of bytes in windows that another
+document has, be it earlier or later.
 
 Defined results: null and empty texts, and texts shorter than a window, lose
 nothing; rows of one doc_id don't remove each other's bytes; repeated rows give
@@ -22,76 +25,83 @@ from pyspark.sql import functions as F
 
 from . import common, vec, windows
 
-#: Windows of 50 bytes; grams of 24 bytes sample them, grams of 12 bytes deal them out.
-SIZE, GRAM, ROUTE = 50, 24, 12
-CHUNK = 2 << 20
-SCHEMA = "doc_id long, n_bytes long, n_removed long, starts array<int>, ends array<int>, kept binary"
+#: Windows of 50 bytes; grams of 24 bytes sample them.
+SIZE, GRAM = 50, 24
+SCHEMA = "doc_id long, n_bytes long, n_removed long, longest_repeat long, starts array<int>, ends array<int>, kept binary"
 
 
 def groups(raw: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(suffixes, group of each) of the suffixes at `at` that are equal through `size` bytes to another, group by group. Each must have `size` bytes."""
-    pad = np.concatenate([raw, np.zeros(8, np.uint8)])
-    word = np.ndarray(len(raw) + 1, ">u8", pad, strides=(1,))  # the eight bytes from each position, as they lie
-    group = np.zeros(len(at), np.int64)
-    for depth in range(0, size, 8):
-        if not len(at):
-            break
-        digit = word[at + depth].astype(np.uint64)
-        if size - depth < 8:
-            digit = digit >> np.uint64(8 * (8 - (size - depth)))
-        order = np.lexsort((digit, group)) if depth else np.argsort(digit, kind="stable")
-        at, group, digit = at[order], group[order], digit[order]
-        new = np.ones(len(at), bool)
-        new[1:] = (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])
-        group = np.cumsum(new)
-        several = np.bincount(group)[group] > 1
+    word = vec.eights(raw).view(">u8") if len(raw) else np.zeros(1, ">u8")  # the eight bytes from each position, most significant first
+    group = np.zeros(len(at), np.uint64)
+    depth = 0
+    while depth < size and len(at):
+        # the bits that the groups' numbers leave free hold the next bytes, so that one sort of 64-bit keys is a pass
+        n = min(8 - (int(group[-1]).bit_length() + 7) // 8, size - depth)
+        key = word[at + depth].astype(np.uint64) >> np.uint64(8 * (8 - n))
+        if depth:
+            key |= group << np.uint64(8 * n)
+        order = np.argsort(key)
+        at, key = at[order], key[order]
+        group = np.cumsum(np.concatenate(([False], key[1:] != key[:-1]))).astype(np.uint64)
+        several = (np.bincount(group.astype(np.int64)) > 1)[group.astype(np.int64)]
         at, group = at[several], group[several]
+        depth += n
     return at, group
 
 
-def resolve(count: np.ndarray, ids: np.ndarray, content: bytes, size: int) -> np.ndarray:
+def resolve(count: np.ndarray, lo: np.ndarray, hi: np.ndarray, content: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The earliest and the last document of each window: of those in its group of equal suffixes."""
     raw = np.frombuffer(content, np.uint8)
-    begin = np.cumsum(count + size - 1) - (count + size - 1)
-    at = vec.ranges(begin, count)
-    seg = np.repeat(np.arange(len(count)), count)
-    number = np.zeros(len(raw) + 1, np.int32)
+    at = vec.ranges(np.cumsum(count + size - 1) - (count + size - 1), count)
+    first, last = np.repeat(lo, count), np.repeat(hi, count)
+    number = np.zeros(len(raw) + 1, np.int64)
     number[at] = np.arange(len(at))
-    hit = np.zeros(len(at), bool)
     at, group = groups(raw, at, size)
     if len(at):
         w = number[at]
-        doc = ids[seg[w]]
-        head = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        least = np.repeat(np.minimum.reduceat(doc, head), np.diff(np.append(head, len(doc))))
-        hit[w[doc > least]] = True
-    return hit
-
-
-def finish(key: tuple, t: pa.Table, hits: pa.Table, size: int) -> pa.Table:
-    raw, off = vec.buffers(t.column("text"))
-    gone = windows.covered(len(raw), hits, size)
-    kept = np.concatenate(([0], np.cumsum(~gone)))[off]
-    own = vec.owner(off)
-    edge = np.zeros(len(raw) + 1, bool)
-    edge[off[:-1]] = True
-    begins = gone & (np.concatenate(([True], ~gone[:-1])) | edge[:-1]) if len(raw) else gone
-    ends = gone & (np.concatenate((~gone[1:], [True])) | edge[1:]) if len(raw) else gone
-    s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    at = pa.array(np.searchsorted(s, off), pa.int32())
-    base = off[own[s]] if len(s) else s
-    n = np.diff(off)
+        head = np.flatnonzero(windows._heads(group))
+        n = np.diff(np.append(head, len(w)))
+        first[w], last[w] = np.repeat(np.minimum.reduceat(first[w], head), n), np.repeat(np.maximum.reduceat(last[w], head), n)
+    return first, last
+
+
+def finish(t: pa.Table, u: windows.Units, gone: np.ndarray, other: np.ndarray) -> pa.Table:
+    kept = np.concatenate(([0], np.cumsum(~gone)))[u.off]
+    s, e, at = windows.stretches(gone, u.off)
+    base = np.repeat(u.off[:-1], np.diff(at))
+    at = pa.array(at, pa.int32())
+    n = np.diff(u.off)
     return pa.table({
-        "doc_id": t.column("doc_id"), "n_bytes": pa.array(n), "n_removed": pa.array(n - np.diff(kept)),
+        "doc_id": t.column("doc_id"), "n_bytes": pa.array(n), "n_removed": pa.array(n - np.diff(kept)), "longest_repeat": pa.array(windows.longest(other, u.off)),
         "starts": pa.ListArray.from_arrays(at, pa.array((s - base).astype(np.int32))), "ends": pa.ListArray.from_arrays(at, pa.array((e - base).astype(np.int32))),
-        "kept": pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(kept.astype(np.int32).tobytes()), pa.py_buffer(raw[~gone].tobytes())]),
+        "kept": pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(kept.astype(np.int32).tobytes()), pa.py_buffer(u.raw[~gone].tobytes())]),
     })
 
 
-def dedup(docs: DataFrame, size: int = SIZE, chunks: int | None = None, chunk_bytes: int = CHUNK) -> DataFrame:
-    """Per document: bytes, bytes removed, the maximal removed runs, and what is kept."""
-    return windows.find(docs, "bytes", size, min(GRAM, max(1, size // 2)), resolve, finish, SCHEMA, chunk_bytes, chunks=chunks, route_k=min(ROUTE, max(1, size // 2)))
+def dedup(docs: DataFrame, size: int = SIZE, chunk_bytes: int = common.CHUNK_BYTES, **options) -> DataFrame:
+    """Per document: bytes, bytes removed, the longest repeat, the maximal removed runs, and what is kept."""
+    return windows.find(docs, "bytes", size, min(GRAM, max(1, size // 2)), resolve, finish, SCHEMA, chunk_bytes, **options)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     got = dedup(common.table(spark, sf_dir, "documents"))
-    return got.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return got.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "longest_repeat")
+
+
+#: Bytes as two hexadecimal digits each.
+SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+g AS (SELECT doc_id, i, substr(x, 2 * i + 1, {2 * SIZE}) AS g FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - {SIZE - 1})) AS i FROM d WHERE len(x) >= {2 * SIZE})),
+r AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS least, max(doc_id) OVER (PARTITION BY g) AS most FROM g),
+a AS (SELECT doc_id, i, max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r WHERE least < doc_id),
+s AS (SELECT doc_id, min(i) AS s, max(i) + {SIZE} AS e FROM (SELECT doc_id, i, sum(CASE WHEN i <= before + {SIZE} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM a) GROUP BY doc_id, k),
+k AS (SELECT doc_id, sum(e - s) AS n, count(*) AS spans, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es FROM s GROUP BY doc_id),
+b AS (SELECT doc_id, i, max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r WHERE least < most),
+l AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, max(i) + {SIZE} - min(i) AS n FROM (SELECT doc_id, i, sum(CASE WHEN i <= before + {SIZE} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM b) GROUP BY doc_id, k) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(k.n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN spans IS NULL THEN x ELSE
+         array_to_string(list_transform(list_zip(list_prepend(0, es), list_append(ss, len(x) // 2)), lambda z: substr(x, 2 * z[1] + 1, 2 * (z[2] - z[1]))), '') END)) AS kept_sha256,
+       CAST(coalesce(l.n, 0) AS BIGINT) AS longest_repeat
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN l ON d.doc_id = l.doc_id
+"""

@@ -6,27 +6,12 @@ per word, so a batch costs a few passes of numpy over its bytes.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_P = 0x9E3779B97F4A7C15 | 1
-_M64 = (1 << 64) - 1
-_pow = _inv = None
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _pow, _inv
-    if _pow is None or len(_pow) < n:
-        size = max(n, 1 << 16)
-        base = np.full(size, _P, np.uint64)
-        base[0] = 1
-        _pow = np.multiply.accumulate(base)
-        base[1:] = pow(_P, -1, 1 << 64)
-        _inv = np.multiply.accumulate(base)
-    return _pow, _inv
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of splitmix64: a bijection with good avalanche."""
     x = x ^ (x >> np.uint64(30))
@@ -95,15 +80,61 @@ def words(raw: np.ndarray, off: np.ndarray, keep: np.ndarray = NON_SPACE) -> tup
     return starts, ends, np.searchsorted(starts, off)
 
 
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, little-endian; past the end come zeros."""
+    return np.ndarray(len(raw) + 1, "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+_HEAD = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Words beyond so many bytes are hashed one by one.
+LONG_WORD = 256
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range, alike wherever the range lies."""
-    n = len(raw)
-    p, q = _powers(n + 1)
-    c = np.empty(n + 1, np.uint64)
-    c[0] = 0
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * p[:n], out=c[1:])
-    h = (c[ends] - c[starts]) * q[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each byte range, alike wherever the range lies: eight bytes at a time, mixed after each."""
+    size = ends - starts
+    word = eights(raw)
+    h = mix(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) ^ (word[starts] & _HEAD[np.minimum(size, 8)]))
+    at = np.flatnonzero(size > 8)
+    for done in range(8, LONG_WORD, 8):
+        if not len(at):
+            return h
+        h[at] = mix(h[at] ^ (word[starts[at] + done] & _HEAD[np.minimum(size[at] - done, 8)]))
+        at = at[size[at] > done + 8]
+    for i in at.tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
+
+
+def _steps(k: int) -> list[int]:
+    """Offsets of the eights that cover k bytes."""
+    return [*range(0, k - 7, 8), *([k - 8] if k % 8 and k > 8 else [])] or [0]
+
+
+def byte_grams(raw: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the k bytes from each position on; the high bits are the best."""
+    n = max(0, len(raw) - k + 1)
+    word, out = eights(raw), np.zeros(n, np.uint64)
+    for i, step in enumerate(_steps(k)):
+        x = word[step : step + n] & _HEAD[min(k, 8)]
+        x ^= x >> np.uint64(29)
+        x *= _ODD[i % 8]
+        out += x
+        out *= _ODD[3]
+        out ^= out >> np.uint64(32)
+    out *= _ODD[4]
+    return out
+
+
+def byte_prints(raw: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of the k bytes from each of the positions on."""
+    word, out = eights(raw), np.full(len(at), k, np.uint64)
+    for step in _steps(k):
+        out = mix(out ^ (word[at + step] & _HEAD[min(k, 8)]))
+    return out
 
 
 def owner(first: np.ndarray) -> np.ndarray:
