@@ -28,42 +28,56 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, vec
 
 #: Text that goes to one file, about; and ids per sequence, sequences per record batch.
 FILE_BYTES, LENGTH, BATCH = 24 << 20, 1024, 256
 #: Distinct words in a generation of a worker's cache.
 CACHE_WORDS = 300_000
+#: Longer words aren't kept.
+LONG = 64
 MANIFEST = "part int, path string, n_docs long, n_tokens long, n_sequences long"
 
 
 class WordEncoder:
-    """The library's encoding, kept by word. White space is dropped before anything else looks at it, so texts can be cut at spaces and line ends."""
+    """The library's encoding, kept by word. White space is dropped before anything else looks at it, so texts can be cut at it; each distinct word of a slice is looked up once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.type = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        n = self.tok.get_vocab_size()
+        self.type = np.dtype("<u2" if n <= 1 << 16 else "<u4")
         self.memo, self.parts = common.Memo(CACHE_WORDS), common.Memo(CACHE_WORDS)
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") if t else () for t in texts]
-        seen: set[str] = set()
-        for s in split:
-            seen.update(s)
-        long = {x for x in seen if len(x) > 64}
-        new = [(w, self._cut(w)) for w in self.memo.lack(seen - long)]
+        self.ends = np.array([(self.tok.id_to_token(i) or "").endswith("</w>") for i in range(n)], bool)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets of the texts in them)"""
+        raw, off = vec.buffers(texts)
+        starts, ends, first = vec.words(raw, off)
+        at = np.concatenate(([0], np.cumsum(ends - starts)))
+        words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(raw[vec.NON_SPACE[raw]].tobytes())).dictionary_encode()
+        got = self._lookup(words.dictionary.to_pylist())
+        size = np.fromiter(map(len, got), np.int64, len(got)) // self.type.itemsize
+        begin, of = np.cumsum(size) - size, words.indices.to_numpy()
+        flat = np.frombuffer(b"".join(got), self.type)[vec.ranges(begin[of], size[of])]
+        return flat, np.concatenate(([0], np.cumsum(size[of])))[first]
+
+    def _lookup(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
+        long = [w for w in words if len(w) > LONG]
+        extra = dict(zip(long, self._each(long), strict=True))
+        new = [(w, self._cut(w)) for w in self.memo.lack(set(words).difference(long) if long else set(words))]
         parts = list(self.parts.lack({x for _, cut in new for x in cut}))
-        self.parts.new.update(zip(parts, self._ids(parts), strict=True))
+        plain = [x for x in parts if x.isalpha() and "\u0130" not in x]
+        self.parts.new.update(zip(plain, self._joined(plain), strict=True))
+        rest = [x for x in parts if not x.isalpha() or "\u0130" in x]
+        self.parts.new.update(zip(rest, self._each(rest), strict=True))
         part = self.parts.new
         self.memo.new.update((w, part[c[0]] if len(c) == 1 else part[c[0]] + part[c[1]]) for w, c in new)
-        get = self.memo.new.__getitem__
-        if long:
-            got = dict(zip(long, self._ids(list(long)), strict=True))
-            get = lambda x, g=self.memo.new.get: g(x) if x not in got else got[x]
-        return [np.frombuffer(b"".join(map(get, s)), self.type) for s in split]
+        get = self.memo.new
+        return [extra[w] if w in extra else get[w] for w in words] if long else list(map(get.__getitem__, words))
 
     @staticmethod
     def _cut(word: str) -> tuple[str, ...]:
@@ -74,7 +88,19 @@ class WordEncoder:
         low = core.lower() if core.isascii() else core
         return (low,) if len(core) == len(word) else (low, word[len(core) :])
 
-    def _ids(self, words: list[str]) -> Iterator[bytes]:
+    def _joined(self, words: list[str]) -> Iterator[bytes]:
+        """Words of letters alone are one piece each for the library, whose last id has the mark of a word's end: many go into one text, whose ids are cut there."""
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
+            ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, self.type)
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) != len(some):
+                yield from self._each(some)
+                continue
+            raw, cut = ids.tobytes(), (stop * self.type.itemsize).tolist()
+            yield from (raw[i:j] for i, j in zip([0, *cut], cut, strict=False))
+
+    def _each(self, words: list[str]) -> Iterator[bytes]:
         for at in range(0, len(words), 10_000):
             for e in self.tok.encode_batch_fast(words[at : at + 10_000], add_special_tokens=False):
                 yield np.array(e.ids, self.type).tobytes()
@@ -105,7 +131,7 @@ class Writer:
         self.held += len(ids)
         self.total += len(ids)
         if self.held >= self.length * self.rows:
-            self._flush(self.held // self.length)
+            self._flush(self.held // self.length // self.rows * self.rows)
 
     def _flush(self, n: int, pad: bool = False) -> None:
         flat = np.concatenate(self.wait) if self.wait else np.zeros(0, self.type)
@@ -179,22 +205,18 @@ def write(docs: DataFrame, path: str, end_id: int, target: str, length: int = LE
         n_docs = 0
         name = f"{target}/part-{part:06d}"
         fs, base = filesystem(name)
-        tail = np.array([end_id], enc.type)
         for record in it:
-            for at in range(0, record.num_rows, 500):
-                piece = record.slice(at, 500)
+            for piece in vec.slices(record):
                 if not writer:
                     fs.create_dir(base.rpartition("/")[0], recursive=True)
                     sinks = [fs.open_output_stream(f"{base}.{kind}.{attempt}") for kind in ("arrow", "docs")]
                     writer = Writer(sinks[0], enc.type, length, batch)
-                    docs_out = pa.ipc.new_file(sinks[1], pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())]))
-                starts, sizes = [], []
-                for ids in enc.encode(piece.column(1).to_pylist()):
-                    ids = np.concatenate([ids, tail])
-                    starts.append(writer.total)
-                    sizes.append(len(ids))
-                    writer.add(ids)
-                docs_out.write_batch(pa.RecordBatch.from_arrays([piece.column(0), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], schema=docs_out_schema))
+                    docs_out = pa.ipc.new_file(sinks[1], docs_out_schema)
+                ids, off = enc.encode(piece.column(1))
+                sizes = np.diff(off) + 1
+                starts = writer.total + np.cumsum(sizes) - sizes
+                writer.add(np.insert(ids, off[1:], end_id))
+                docs_out.write_batch(pa.RecordBatch.from_arrays([piece.column(0), pa.array(starts), pa.array(sizes)], schema=docs_out_schema))
                 n_docs += piece.num_rows
         if writer:
             writer.close()

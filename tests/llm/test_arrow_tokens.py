@@ -20,8 +20,13 @@ def test_words_give_the_librarys_ids():
     r = random.Random(5)
     kinds = ["Abc", " ", "\n", "éÉéΣσ日", "12'sS", "  \t\r\x1c", ".,<|>", "́"]
     texts = ["".join(r.choice(r.choice(kinds)) for _ in range(r.randint(0, 80))) for _ in range(3000)]
+    letters = [chr(c) for c in range(0x41, 0x2FF) if chr(c).isalpha()] + list("\u0130\u212aſßΣςﬁǅ한글각ㅏहिन्दी")
+    texts += [" ".join("".join(r.choice(letters) for _ in range(r.randint(1, 9))) for _ in range(40)) for _ in range(300)]
     texts += ["a<|endoftext|> b <|startoftext|>", "x" * 5000, "a  b", " ́a", "", None]
-    assert [x.tolist() for x in m.WordEncoder(PATH).encode(texts)] == library(texts)
+    enc = m.WordEncoder(PATH)
+    for part in (texts[:10], texts, texts[::-1]):
+        ids, off = enc.encode(pa.array(part, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == library(part)
 
 
 def test_files(spark, tmp_path):
@@ -36,8 +41,16 @@ def test_files(spark, tmp_path):
     )
     flat = [x for f in files for x in flatten(m.TokenFile(f[1] + ".arrow"))]
     assert flat == [x for i in ids for x in i]
-    out = m.query  # the digest of the ids
-    assert out and zlib.crc32(np.array(ids[0], "<u4").tobytes()) >= 0
+
+
+def test_query_against_the_library(spark, tmp_path):
+    rows = [(i * 7 % 50, f"The cat {i}, of " * (i % 5)) for i in range(50)] + [(51, None), (52, ""), (99, "long " * 9000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    start, want = 0, []
+    for doc, ids in zip(sorted(d for d, _ in rows), library([t for _, t in sorted(rows)]), strict=True):
+        want.append((doc, start, len(ids) + 1, zlib.crc32(np.array([*ids, 1], "<u4").tobytes())))
+        start += len(ids) + 1
+    assert sorted(map(tuple, m.query(spark, str(tmp_path)).select("doc_id", "start", "n_tokens", "ids_crc32").collect())) == want
 
 
 def flatten(f):
