@@ -7,7 +7,15 @@ display:none elements, options not selected); a renderer emits all other text:
 blocks on lines of their own, an empty line around paragraphs and headings,
 bullets and numbers with hanging indents for lists, cells of a table row side
 by side in aligned columns, line breaks, and preformatted text as it stands.
-Nothing recurses, so nesting may be as deep as the page.
+Nothing recurses, and the work is in proportion to the page, whatever its
+nesting and however broken: tags are scanned without going back, and the open
+elements of each kind are kept by their place on the stack. A tag that the page
+ends in is text.
+
+Fixed limits of the layout, none of which drops text: columns are aligned to
+the width of cells of up to WIDEST characters, indents stop growing and tables
+in tables become blocks at DEEPEST levels, and spans are clamped as in the HTML standard (1,000 columns, 65,534
+rows). A cell's text stands in the first of the rows that it spans.
 
 Each page is independent: batches are mapped, without a shuffle. Defined
 results: null and empty pages give an empty text; broken markup gives the tree
@@ -17,6 +25,7 @@ of the rules above; repeated rows give a row each; extra columns are ignored.
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -25,10 +34,15 @@ from pyspark.sql import DataFrame
 
 from . import common, vec
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>", re.S)
-_ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_DECLARATION = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/][^>]*>?", re.S)
+#: Quotes count after = only. Possessive: no part is ever tried twice.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[=\"'])*+)>")
+_ATTR = re.compile(r"([^\s=\"'/>]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?+")
+_STYLE = re.compile(r"(?:\A|;)\s*+(display|visibility)\s*+:\s*+([a-z-]++)")
+WIDEST, DEEPEST = 80, 40
 _GAPS = re.compile(r"[ \t\n\r\f\v]+")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: Elements whose content is text up to their end tag.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset("head script style template title meta link base iframe noembed noframes object audio video canvas svg datalist rp".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul".split())
@@ -63,103 +77,127 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
+class Open:
+    """The stack of open elements, and where on it each kind stands."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.stack[-1].kids.append(node)
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, kinds) -> int:
+        """The place of the innermost open element of some kinds, 0 if there is none."""
+        return max((p[-1] for k in kinds if (p := self.places.get(k))), default=0)
+
+    def cut(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.places[self.stack.pop().tag].pop()
+
+    def close(self, kinds, barrier=()) -> bool:
+        """Closes the innermost element of some kinds and all in it, unless one of the barrier's kinds stands in it."""
+        place = self.last(kinds)
+        if not place or self.last(barrier) > place:
+            return False
+        self.cut(place)
+        return True
+
+
 def parse(page: str) -> Node:
     root = Node("html", {})
-    stack = [root]
-
-    def pop_to(names, barrier) -> bool:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in names:
-                del stack[i:]
-                return True
-            if stack[i].tag in barrier:
-                return False
-        return False
+    tree = Open(root)
+    stack = tree.stack
 
     def text(s: str) -> None:
         if s:
             if stack[-1].tag == "head" and not s.isspace():
-                stack.pop()
+                tree.cut(len(stack) - 1)
             stack[-1].kids.append(html.unescape(s))
 
-    def push(node: Node) -> None:
-        stack[-1].kids.append(node)
-        stack.append(node)
-
-    at = 0
-    low = None
-    while True:
-        m = _TOKEN.search(page, at)
+    at = begun = 0  # of the text that isn't taken yet; of the search
+    while (lt := page.find("<", begun)) >= 0:
+        m = _TAG.match(page, lt)
         if not m:
-            text(page[at:])
-            return root
-        text(page[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
-            if m[0].startswith("<![CDATA["):
-                text(html.escape(m[0][9:].removesuffix("]]>"), quote=False))
+            after = page[lt + 1 : lt + 3]
+            if after[:1] in ("!", "?") or after[:1] == "/" and not after[1:].isalpha():
+                d = _DECLARATION.match(page, lt)
+                text(page[at:lt])
+                if d[0].startswith("<![CDATA["):
+                    text(html.escape(d[0][9:].removesuffix("]]>"), quote=False))
+                at = begun = d.end()
+            elif after[: 1 + (after[:1] == "/")].lstrip("/").isascii() and after.lstrip("/")[:1].isalpha():
+                break  # the page ends in a tag
+            else:
+                begun = lt + 1
             continue
-        tag = name.lower()
+        text(page[at:lt])
+        at = begun = m.end()
+        tag = m[2].lower()
         if m[1]:
             if tag == "br":
                 stack[-1].kids.append(Node("br", {}))
             elif tag in HEADINGS:
-                pop_to(HEADINGS, SCOPE)
+                tree.close(HEADINGS, SCOPE)
             elif tag in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "caption"):
-                pop_to((tag,), () if tag == "table" else {"table"})
-            elif not pop_to((tag,), SCOPE - {tag}) and tag == "p":
+                tree.close((tag,), () if tag == "table" else ("table",))
+            elif not tree.close((tag,), SCOPE - {tag}) and tag == "p":
                 stack[-1].kids.append(Node("p", {}))
             continue
         attrs = _attributes(m[3]) if m[3] else {}
         if tag == "html":
             root.attrs = attrs | root.attrs
             continue
-        if tag not in HIDDEN and any(x.tag == "head" for x in stack[1:2]) and tag not in ("noscript", "head"):
-            del stack[1:]
+        if tag not in HIDDEN and len(stack) > 1 and stack[1].tag == "head" and tag not in ("noscript", "head"):
+            tree.cut(1)
         if tag in CLOSES_P:
-            pop_to(("p",), SCOPE)
+            tree.close(("p",), SCOPE)
         if tag in HEADINGS and stack[-1].tag in HEADINGS:
-            stack.pop()
+            tree.cut(len(stack) - 1)
         if tag in IMPLIED:
-            kinds, barrier = IMPLIED[tag]
-            while pop_to(kinds, barrier):
+            while tree.close(*IMPLIED[tag]):
                 pass
-        if tag in CELLS and not any(x.tag == "tr" for x in stack[max(i for i, x in enumerate(stack) if x.tag in ("table", "html")) :]):
-            push(Node("tr", {}))
+        if tag in CELLS and tree.last(("tr",)) <= tree.last(("table",)):
+            tree.push(Node("tr", {}))
         node = Node(tag, attrs)
-        if tag in VOID or (m[4] and tag in ("svg", "path", "circle", "rect", "use", "line", "g")):
+        if tag in VOID or (m[3].endswith("/") and tag in ("svg", "path", "circle", "rect", "use", "line", "g")):
             stack[-1].kids.append(node)
         elif tag in RAW:
-            low = page.lower() if low is None else low
-            end = low.find(f"</{tag}", at)
-            end = len(page) if end < 0 else end
-            node.kids.append(html.unescape(page[at:end]) if tag in ("textarea", "title") else page[at:end])
+            end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*+>?", re.I | re.A).search(page, at)
+            inside = page[at : end.start() if end else len(page)]
+            node.kids.append(html.unescape(inside) if tag in ("textarea", "title") else inside)
             stack[-1].kids.append(node)
-            close = page.find(">", end)
-            at = len(page) if close < 0 else close + 1
+            at = begun = end.end() if end else len(page)
         else:
-            push(node)
+            tree.push(node)
+    text(page[at:])
+    return root
 
 
-def visible(node: Node) -> bool:
+def visible(node: Node, inherited: bool) -> bool | None:
+    """Whether the text in an element shows; None if nothing in it ever does."""
     if node.tag in HIDDEN or "hidden" in node.attrs:
-        return False
+        return None
     if node.attrs and (style := node.attrs.get("style")):
-        style = style.lower().replace(" ", "")
-        if "display:none" in style or "visibility:hidden" in style:
-            return False
-    return True
+        style = dict(_STYLE.findall(style.lower()))
+        if style.get("display") == "none":
+            return None
+        if kind := style.get("visibility"):
+            return kind not in ("hidden", "collapse") and (kind == "visible" or inherited)
+    return inherited
 
 
 class Box:
-    """Lines of a block, and the line that is being filled."""
+    """Lines of a page or cell, and the line that is being filled. Parts that are indented share it."""
 
     def __init__(self):
         self.lines: list[str] = []
         self.words: list[str] = []
         self.space = False
         self.gap = 0
+        #: indented parts: first line, markers until that line is put, indent of further lines
+        self.parts: list[list] = [[0, "", ""]]
 
     def text(self, s: str, pre: bool) -> None:
         if pre:
@@ -181,64 +219,92 @@ class Box:
         if len(parts) > 1 and not parts[-1]:
             self.space = True
 
+    def _put(self, s: str) -> None:
+        if self.gap and self.lines and self.lines[-1]:
+            self.lines.append("")
+        self.gap = 0
+        part = self.parts[-1]
+        if s:
+            s, part[1] = (part[1] or part[2]) + s, ""
+        self.lines.append(s)
+
     def line(self, force: bool = False) -> None:
         """Ends the line."""
         s = "".join(self.words).rstrip()
-        if s or force:
-            self._gap()
-            self.lines.append(s)
+        if s or force and len(self.lines) > self.parts[-1][0]:
+            self._put(s)
         self.words, self.space = [], False
 
-    def _gap(self) -> None:
-        if self.gap and self.lines and self.lines[-1]:
-            self.lines.append("")
-        self.gap = 0
-
     def block(self, gap: int) -> None:
         self.line()
-        self.gap = max(self.gap, gap)
+        if len(self.lines) > self.parts[-1][0]:
+            self.gap = max(self.gap, gap)
+
+    def indent(self, marker: str) -> None:
+        self.line()
+        _, wait, before = self.parts[-1]
+        self.parts[-1][1] = ""
+        after = before + " " * len(marker) if len(self.parts) <= DEEPEST else before
+        self.parts.append([len(self.lines), (wait or before) + marker, after])
+
+    def dedent(self) -> None:
+        self.line()
+        first = self.parts.pop()[0]
+        while len(self.lines) > first and not self.lines[-1]:
+            self.lines.pop()
+        if len(self.lines) > first:
+            self.gap = 0
 
     def add(self, lines: list[str]) -> None:
         self.line()
-        if lines:
-            self._gap()
-            self.lines += lines
+        for s in lines:
+            self._put(s)
 
     def done(self) -> list[str]:
         self.line()
         lines = self.lines
         while lines and not lines[-1]:
             lines.pop()
-        while lines and not lines[0]:
-            lines.pop(0)
         return lines
 
 
-def grid(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Rows of cells (lines, columns that it spans) as lines with aligned columns."""
-    rows = [r for r in rows if any(lines for lines, _ in r)]
+def grid(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Rows of cells (lines, columns and rows that it spans) as lines with aligned columns. Columns that no cell begins in have no width."""
+    placed: list[list[tuple[int, list[str]]]] = []
+    taken: list[tuple[int, int, int]] = []  # columns (from, to) that cells of rows above span, and in how many rows more
     width: dict[int, int] = {}
     for r in rows:
-        col = 0
-        for lines, span in r:
-            if span == 1:
-                width[col] = max(width.get(col, 0), max(map(len, lines), default=0))
+        col, k, out, below = 0, 0, [], []
+        for lines, span, down in r:
+            while k < len(taken) and taken[k][0] <= col:
+                col, k = max(col, taken[k][1]), k + 1
+            out.append((col, lines))
+            if down > 1:
+                below.append((col, col + span, down))
+            width[col] = max([width.get(col, 0), *(len(x) for x in lines if len(x) <= WIDEST and span == 1)])
             col += span
+        placed.append(out)
+        if taken or below:
+            taken = sorted((a, b, n - 1) for a, b, n in taken + below if n > 1)
+    columns = sorted(width)
+    at = dict(zip(columns, itertools.accumulate((width[c] + 2 for c in columns), initial=0), strict=False))
     out = []
-    for r in rows:
-        for i in range(max(len(lines) for lines, _ in r)):
-            parts, col = [], 0
-            for lines, span in r:
-                room = sum(width.get(c, 0) for c in range(col, col + span)) + 2 * (span - 1)
-                parts.append((lines[i] if i < len(lines) else "").ljust(room))
-                col += span
-            out.append("  ".join(parts).rstrip())
+    for r in placed:
+        if len(r) == 1 and r[0][0] == 0:
+            out += r[0][1]
+            continue
+        for i in range(max((len(lines) for _, lines in r), default=0)):
+            line = ""
+            for col, lines in r:
+                if i < len(lines) and lines[i]:
+                    line += " " * max(at[col] - len(line), 2 if line else 0) + lines[i]
+            out.append(line)
     return out
 
 
-def _span(node: Node) -> int:
-    s = node.attrs.get("colspan", "1").strip()
-    return min(int(s), 1000) if s.isdecimal() and s.isascii() and int(s[:5]) > 0 else 1
+def _number(node: Node, name: str, most: int) -> int:
+    s = node.attrs.get(name, "1").strip()
+    return min(int(s[:9]), most) if s.isdecimal() and s.isascii() else 1
 
 
 def _chosen(node: Node) -> None:
@@ -257,74 +323,87 @@ def render(root: Node) -> str:
     boxes = [Box()]
     tables: list[list] = []
     lists: list[list] = []
+    shown = [True]
     pre = 0
     todo: list[tuple[object, bool]] = [(root, False)]
     while todo:
         x, closing = todo.pop()
         box = boxes[-1]
         if isinstance(x, str):
-            box.text(x, pre > 0)
+            if shown[-1]:
+                box.text(x, pre > 0)
             continue
         tag = x.tag
+        spaced = 1 if tag in SPACED and not (tag in LISTS and lists) else 0
         if not closing:
-            if not visible(x):
+            show = visible(x, shown[-1])
+            if show is None:
                 continue
             if tag == "br":
                 box.line(True)
                 continue
             if tag == "hr":
                 box.block(1)
-                box.add(["---"])
-                box.gap = 1
+                if show:
+                    box.add(["---"])
+                    box.gap = 1
                 continue
             if tag in VOID:
-                if tag == "input" and x.attrs.get("type", "text").lower() not in ("hidden", "checkbox", "radio", "image", "password", "file", "color", "range") and x.attrs.get("value"):
+                if tag == "input" and show and x.attrs.get("type", "text").lower() not in ("hidden", "checkbox", "radio", "image", "password", "file", "color", "range") and x.attrs.get("value"):
                     box.text(f" {x.attrs['value']} ", False)
                 continue
             if tag == "select":
                 _chosen(x)
             if tag in BLOCK:
-                box.block(1 if tag in SPACED and not (tag in LISTS and lists) else 0)
+                box.block(spaced)
             elif tag == "option":
                 box.space = True
             if tag in LISTS:
                 start = x.attrs.get("start", "1")
                 lists.append([tag, int(start) if start.isdecimal() and len(start) < 9 else 1])
             elif tag == "table":
-                tables.append([])
-            elif tag == "tr" and tables:
+                tables.append([] if len(tables) < DEEPEST else None)
+            elif tag == "tr" and tables and tables[-1] is not None:
                 tables[-1].append([])
             if tag == "pre":
                 pre += 1
-            if tag in ("li", "dd", "caption", "blockquote") or tag in CELLS:
-                boxes.append(Box())
+            if tag in CELLS or tag == "caption":
+                if tables and tables[-1] is None:
+                    box.block(0)
+                else:
+                    boxes.append(Box())
+            elif tag == "li":
+                mark = "* "
+                if lists and lists[-1][0] == "ol":
+                    mark = f"{lists[-1][1]}. "
+                    lists[-1][1] += 1
+                box.indent(mark)
+            elif tag in ("dd", "blockquote"):
+                box.indent("  " if tag == "blockquote" else "    ")
+            shown.append(show)
             todo.append((x, True))
             todo += [(k, False) for k in reversed(x.kids)]
             continue
-        if tag in ("li", "dd", "caption", "blockquote") or tag in CELLS:
+        shown.pop()
+        if (tag in CELLS or tag == "caption") and tables and tables[-1] is None:
+            box.block(0)
+        elif tag in CELLS or tag == "caption":
             lines = boxes.pop().done()
             box = boxes[-1]
             if tag in CELLS and tables:
                 if not tables[-1]:
                     tables[-1].append([])
-                tables[-1][-1].append((lines, _span(x)))
+                tables[-1][-1].append((lines, _number(x, "colspan", 1000) or 1, _number(x, "rowspan", 65534) or 65534))
             else:
-                head = ""
-                if tag == "li":
-                    head = "* "
-                    if lists and lists[-1][0] == "ol":
-                        head = f"{lists[-1][1]}. "
-                        lists[-1][1] += 1
-                elif tag in ("dd", "blockquote"):
-                    head = "  " if tag == "blockquote" else "    "
-                pad = " " * len(head)
-                box.add([(pad if i else head) + s if s else s for i, s in enumerate(lines)])
+                box.add(lines)
+        elif tag in ("li", "dd", "blockquote"):
+            box.dedent()
         if tag == "pre":
             pre -= 1
         if tag in LISTS:
             lists.pop()
         elif tag == "table":
-            box.add(grid(tables.pop()))
+            box.add(grid(tables.pop() or []))
         if tag in BLOCK:
             box.block(1 if tag in SPACED and not (tag in LISTS and lists) else 0)
     return "\n".join(boxes[0].done())
