@@ -1,6 +1,12 @@
 """A corpus pipeline: quality rules, near duplicates, repeated passages, test-set leaks, token ids.
 
-Each stage takes what the one before kept, written as Parquet and read again.
+Each stage takes what the one before kept, written as Parquet and read again; run() deletes each of its tables but the
+last as soon as the next is written.
+
+Defined results: null and empty texts, and those of fewer than ten words, are rejected by the quality rules; so are
+depleted documents. Repeated rows are one class of near duplicates, of which one row stays; a null doc_id counts as
+larger than all others. Columns besides doc_id and text go through all stages but the last unchanged, whatever their
+names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,6 +24,8 @@ from inkloom.session import shipped  # noqa: E402
 
 #: Near duplicates: five-word shingles, similarity of 80 in 100.
 NEAR = {"size": 5, "num": 80, "den": 100}
+#: Words of a passage.
+PASSAGE = 50
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +39,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of passages that an earlier document has go."""
-    return rlz_dedup.apply(docs)
+    """Passages of PASSAGE words or more that stand in several documents go, from all of them.
+
+    What is the same as a whole went in the stage before; a passage that different documents share is
+    boilerplate or quoted, so that it says nothing of the document in which it happens to stand first.
+    """
+    return rlz_dedup.apply(docs, size=PASSAGE, every=True)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +67,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = common.cut(stage(spark, docs, sf_dir), spark)
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, common.cut(stage(spark, docs, sf_dir), spark)
+        if i:
+            common.remove(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -120,10 +120,10 @@ def finish(t: pa.Table, u: windows.Units, gone: np.ndarray, other: np.ndarray) -
     return pa.table(out | ({"rest": t.column("rest")} if "rest" in t.column_names else {}))
 
 
-def dedup(docs: DataFrame, size: int = SIZE, rest: bool = False, chunk_bytes: int = common.CHUNK_BYTES, **options) -> DataFrame:
-    """Per document: words, words removed, the longest repeat, removed ranges of word numbers, and the kept words; with rest, also its row."""
+def dedup(docs: DataFrame, size: int = SIZE, rest: bool = False, chunk_bytes: int = common.CHUNK_BYTES, every: bool = False, **options) -> DataFrame:
+    """Per document: words, words removed, the longest repeat, removed ranges of word numbers, and the kept words; with rest, also its row. With every, no copy stays: also the earliest document loses what others have."""
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(*f) for f in FIELDS), *([T.StructField("rest", docs.schema)] if rest else [])])
-    return windows.find(docs, "words", size, max(1, min(GRAM, size // 2)), resolve, finish, schema, chunk_bytes, rest, **options)
+    return windows.find(docs, "words", size, max(1, min(GRAM, size // 2)), resolve, lambda t, u, gone, other: finish(t, u, other if every else gone, other), schema, chunk_bytes, rest, **options)
 
 
 def apply(docs: DataFrame, **options) -> DataFrame:
