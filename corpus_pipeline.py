@@ -24,8 +24,6 @@ from inkloom.session import shipped  # noqa: E402
 
 #: Near duplicates: five-word shingles, similarity of 80 in 100.
 NEAR = {"size": 5, "num": 80, "den": 100}
-#: Words of a passage.
-PASSAGE = 50
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +37,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of PASSAGE words or more that stand in several documents go, from all of them.
-
-    What is the same as a whole went in the stage before; a passage that different documents share is
-    boilerplate or quoted, so that it says nothing of the document in which it happens to stand first.
-    """
-    return rlz_dedup.apply(docs, size=PASSAGE, every=True)
+    """Words of passages that an earlier document has go; the first copy stays."""
+    return rlz_dedup.apply(docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
