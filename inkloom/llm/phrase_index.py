@@ -1,17 +1,22 @@
 """Benchmark decontamination by a document-partitioned positional inverted index.
 
-Every slice of documents gets its own positional index: for each term of the
-test set, the sorted list of word positions where the slice has it. A test
-phrase is looked up from its rarest term in that slice: the term's positions,
-less its offset in the phrase, are the candidate starts, and the lists of the
-other terms, adjusted by their offsets, are intersected with them in order of
-rarity. Matches by proximity, which may lack `misses` terms, start from the
-misses + 1 rarest, each shifted by up to `slop` words either way. Nothing of the
-documents is shuffled; the test set is sent to the tasks, in blocks of at most BLOCK_BYTES of text, whose size is checked.
+build() stores the postings of all tokens of the documents in a table: a row is
+a segment, a slice of documents of about 4 MB, with its terms, ascending, and
+for each term the ascending list of word positions where the segment has it.
+search_index() looks test phrases up in each segment: from the rarest terms of
+a phrase in the segment, the positions less the term's offset in the phrase are
+the candidate starts, with which the lists of the other terms, adjusted by their
+offsets, are intersected in order of rarity. Matches by proximity, which may
+lack `misses` terms, start from the misses + 1 rarest, each shifted by up to
+`slop` words either way: of any misses + 1 terms one is in its place, so the
+choice doesn't show in the result. Documents aren't shuffled. The test set is
+sent to the tasks in blocks of at most BLOCK_BYTES of text, whose size is
+checked; with more than one block, each reads the stored index, and their
+results meet by segment.
 
 Defined results: null and empty texts have no words and no hits; a null
-item_id marks hits but is not listed; repeated rows give a row each (with more
-than one block of test items, one row per doc_id); extra columns are ignored.
+item_id marks hits but is not listed; repeated rows give a row each, whatever
+the number of blocks; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ from . import common, vec
 
 #: Text of the test set that one pass sends to the tasks.
 BLOCK_BYTES = 8 << 20
+INDEX = "segment long, doc_ids array<long>, firsts array<long>, terms binary, counts binary, positions binary"
+PARTIAL = "segment long, doc_ids array<long>, firsts array<long>, hit binary, found binary, near binary"
 SCHEMA = "doc_id long, n_words long, n_hit long, hit_starts array<int>, hit_ends array<int>, items array<long>, near_items array<long>"
 
 
@@ -55,27 +62,53 @@ class Phrases:
         self.items, self.ptr = own[:, 1].copy(), np.searchsorted(own[:, 0], np.arange(len(rows) + 1))
 
 
-def term_ids(vocab: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Index of each hash in the sorted vocabulary, -1 where it isn't there."""
-    if not len(vocab):
-        return np.full(len(hashes), -1, np.int64)
-    at = np.minimum(np.searchsorted(vocab, hashes), len(vocab) - 1)
-    return np.where(vocab[at] == hashes, at, -1)
+class Segment:
+    """Postings of the texts of a slice: positions of term t, ascending, are positions[pointers[t]:pointers[t + 1]]."""
 
+    def __init__(self, first: np.ndarray, terms: np.ndarray, counts: np.ndarray, positions: np.ndarray):
+        self.first, self.terms, self.positions = first, terms, positions
+        self.pointers = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
 
-def postings(ids: np.ndarray, n_terms: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, pointers): the positional index; positions of term t are positions[pointers[t]:pointers[t + 1]], ascending."""
-    at = np.flatnonzero(ids >= 0)
-    return at[np.argsort(ids[at], kind="stable")], np.concatenate(([0], np.cumsum(np.bincount(ids[at], minlength=n_terms))))
-
-
-def search(p: Phrases, ids: np.ndarray, own: np.ndarray, slop: int, misses: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    @classmethod
+    def of(cls, texts: pa.Array) -> Segment:
+        raw, off = vec.buffers(texts)
+        raw = vec.lower(raw)
+        starts, ends, first = vec.words(raw, off, vec.ALNUM)
+        h = vec.span_hashes(raw, starts, ends)
+        order = np.argsort(h, kind="stable")
+        terms, counts = np.unique(h[order], return_counts=True)
+        return cls(first, terms, counts, order)
+
+    def row(self, segment: int, doc_ids: pa.Array) -> pa.RecordBatch:
+        steps = np.diff(self.positions, prepend=0).astype("<i4")
+        some = lambda x: pa.array([x.tolist() if isinstance(x, np.ndarray) else x.to_pylist()], pa.list_(pa.int64()))
+        cols = [pa.array([segment], pa.int64()), some(doc_ids), some(self.first), *(pa.array([x], pa.binary()) for x in (self.terms.astype("<u8").tobytes(), np.diff(self.pointers).astype("<u4").tobytes(), steps.tobytes()))]
+        return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in INDEX.split(", ")])
+
+    @classmethod
+    def read(cls, row: dict) -> Segment:
+        steps = np.frombuffer(row["positions"], "<i4")
+        return cls(np.array(row["firsts"], np.int64), np.frombuffer(row["terms"], "<u8"), np.frombuffer(row["counts"], "<u4"), np.cumsum(steps, dtype=np.int64))
+
+    def lists(self, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, pointers) of the lists of some terms."""
+        if not len(self.terms) or not len(vocab):
+            return np.zeros(0, np.int64), np.zeros(len(vocab) + 1, np.int64)
+        at = np.minimum(np.searchsorted(self.terms, vocab), len(self.terms) - 1)
+        n = np.where(self.terms[at] == vocab, self.pointers[at + 1] - self.pointers[at], 0)
+        return self.positions[vec.ranges(self.pointers[at], n)], np.concatenate(([0], np.cumsum(n)))
+
+
+def search(p: Phrases, seg: Segment, slop: int, misses: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(window, start) of exact matches, then of proximity matches: all but `misses` terms within `slop` words of their place."""
     none = np.zeros(0, np.int64)
-    if not len(p.size) or not len(ids):
+    where, ptr = seg.lists(p.vocab)
+    if not len(p.size) or not len(where):
         return none, none, none, none
-    where, ptr = postings(ids, len(p.vocab))
+    own = vec.owner(seg.first)
     count = np.diff(ptr)
+    ids = np.full(len(own), -1, np.int64)  # the test term at each position
+    ids[where] = np.repeat(np.arange(len(count)), count)
     width = p.terms.shape[1]
     df = np.where(p.terms >= 0, count[p.terms], np.iinfo(np.int64).max)
     order = np.argsort(df, axis=1, kind="stable")
@@ -129,103 +162,113 @@ def _items(p: Phrases, win: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np
     return pair[:, 0], pair[:, 1].copy()
 
 
-def match(batch: pa.RecordBatch, p: Phrases, slop: int, misses: int) -> pa.RecordBatch:
-    raw, off = vec.buffers(batch.column(1))
-    raw = vec.lower(raw)
-    starts, ends, first = vec.words(raw, off, vec.ALNUM)
-    own, docs = vec.owner(first), batch.num_rows
-    win, at, near, near_at = search(p, term_ids(p.vocab, vec.span_hashes(raw, starts, ends)), own, slop, misses)
-    d = np.zeros(len(starts) + 1, np.int64)
+def _partial(segment: int, doc_ids: list, p: Phrases, seg: Segment, slop: int, misses: int) -> dict:
+    own = vec.owner(seg.first)
+    win, at, near, near_at = search(p, seg, slop, misses)
+    d = np.zeros(len(own) + 1, np.int64)
     np.add.at(d, at, 1)
     np.add.at(d, at + p.size[win], -1)
-    hit = np.cumsum(d)[:-1] > 0
+    pairs = lambda w, x: np.stack(_items(p, w, own[x]), axis=1).astype("<i8").tobytes()
+    return {"segment": segment, "doc_ids": doc_ids, "firsts": seg.first.tolist(), "hit": np.packbits(np.cumsum(d)[:-1] > 0).tobytes(), "found": pairs(win, at), "near": pairs(near, near_at)}
+
+
+def _finish(parts: list[dict]) -> pa.RecordBatch:
+    """The rows of a segment from what the blocks have found in it."""
+    first, docs = np.array(parts[0]["firsts"], np.int64), len(parts[0]["doc_ids"])
+    own = vec.owner(first)
+    hit = np.zeros(len(own), bool)
+    for x in parts:
+        hit |= np.unpackbits(np.frombuffer(x["hit"], np.uint8), count=len(own)).astype(bool)
     edge = np.zeros(len(hit) + 1, bool)
     edge[first[:-1]] = True
     prev, nxt = np.concatenate(([False], hit[:-1])), np.concatenate((hit[1:], [False]))
     s = np.flatnonzero(hit & (~prev | edge[:-1]))
     e = np.flatnonzero(hit & (~nxt | edge[1:])) + 1
     spans = _lists(own[s], docs, (s - first[own[s]]).astype(np.int32), (e - first[own[s]]).astype(np.int32))
-    found = _lists(*(lambda x: (x[0], docs, x[1]))(_items(p, win, own[at])))
-    close = _lists(*(lambda x: (x[0], docs, x[1]))(_items(p, near, own[near_at])))
+    lists = []
+    for column in ("found", "near"):
+        pair = np.unique(np.concatenate([np.frombuffer(x[column], "<i8").reshape(-1, 2) for x in parts]), axis=0)
+        lists += _lists(pair[:, 0], docs, pair[:, 1].copy())
     total = np.concatenate(([0], np.cumsum(hit)))
     return pa.RecordBatch.from_arrays(
-        [batch.column(0), pa.array(np.diff(first)), pa.array(total[first[1:]] - total[first[:-1]]), *spans, *found, *close],
+        [pa.array(parts[0]["doc_ids"], pa.int64()), pa.array(np.diff(first)), pa.array(total[first[1:]] - total[first[:-1]]), *spans, *lists],
         names=["doc_id", "n_words", "n_hit", "hit_starts", "hit_ends", "items", "near_items"],
     )
 
 
-def _pass(docs: DataFrame, items: list, width: int, slop: int, misses: int) -> DataFrame:
-    p = Phrases(items, width)
+def build(docs: DataFrame) -> DataFrame:
+    """The stored index of docs(doc_id, text): a table in the shared folder, which common.remove() deletes."""
+    common.batches(docs.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        k = TaskContext.get().partitionId() << 32
         for batch in it:
             for part in vec.slices(batch):
-                yield match(part, p, slop, misses)
+                yield Segment.of(part.column(1)).row(k, part.column(0))
+                k += 1
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return common.cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, INDEX))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 1, misses: int = 1, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: its words, those inside occurrences of test phrases (ranges of word numbers), the items found, and those found by proximity."""
-    common.batches(docs.sparkSession)
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
+    """The test set in blocks of about block_bytes of text, by a hash of the row."""
     bench = benchmark.select(F.col("item_id").cast("long"), "text")
-    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // block_bytes) or 1
-    if n == 1:
-        return _pass(docs, [tuple(r) for r in bench.collect()], width, slop, misses)
-    parts = [_pass(docs, [tuple(r) for r in bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()], width, slop, misses) for b in range(n)]
+    n = -(-(bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes) or 1
+    for b in range(n):
+        yield [tuple(r) for r in bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()]
+
+
+def search_index(index: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 1, misses: int = 1, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per document of the index: its words, those inside occurrences of test phrases (ranges of word numbers), the items found, and those found by proximity."""
+    names = [x.split()[0] for x in PARTIAL.split(", ")]
+
+    def look(p: Phrases):
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in it:
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1).to_pylist()[0]
+                    yield pa.RecordBatch.from_pylist([_partial(row["segment"], row["doc_ids"], p, Segment.read(row), slop, misses)], schema=partial)
+
+        return run
+
+    kinds = {"segment": pa.int64(), "doc_ids": pa.list_(pa.int64()), "firsts": pa.list_(pa.int64())}
+    partial = pa.schema([(n, kinds.get(n, pa.binary())) for n in names])
+    parts = [index.mapInArrow(look(Phrases(items, width)), PARTIAL) for items in _blocks(benchmark, block_bytes)]
+    if len(parts) == 1:
+        return parts[0].mapInArrow(lambda it: (_finish([row]) for batch in it for row in batch.to_pylist()), SCHEMA)
     every = parts[0]
     for x in parts[1:]:
-        every = every.unionByName(x)
-    flat = lambda c: F.flatten(F.collect_list(c))
-    merged = every.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list(F.arrays_zip("hit_starts", "hit_ends")))).alias("z"),
-        F.array_sort(F.array_distinct(flat("items"))).alias("items"),
-        F.array_sort(F.array_distinct(flat("near_items"))).alias("near_items"),
-    )
-    joined = F.expr(
-        "aggregate(z, cast(array() as array<struct<s:int,e:int>>), (a, x) -> IF(size(a) > 0 AND a[size(a) - 1].e >= x.hit_starts,"
-        " concat(slice(a, 1, size(a) - 1), array(struct(a[size(a) - 1].s AS s, greatest(a[size(a) - 1].e, x.hit_ends) AS e))),"
-        " concat(a, array(struct(x.hit_starts AS s, x.hit_ends AS e)))))"
-    )
-    return merged.withColumn("j", joined).select(
-        "doc_id", "n_words", F.expr("cast(aggregate(j, 0, (a, x) -> a + x.e - x.s) as long)").alias("n_hit"),
-        F.expr("transform(j, x -> x.s)").alias("hit_starts"), F.expr("transform(j, x -> x.e)").alias("hit_ends"), "items", "near_items",
-    )
+        every = every.unionAll(x)
+    return every.groupBy("segment").applyInArrow(lambda t: pa.Table.from_batches([_finish(t.to_pylist())]), SCHEMA)
+
+
+def find(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """search_index() of an index that is stored first."""
+    return search_index(build(docs), benchmark, **options)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents without a test phrase, one pass for each block of the test set; all columns stay."""
+    """The documents without a test phrase; all columns stay. Rows go through here with all their columns, so a segment's postings are used at once instead of being stored."""
     common.batches(docs.sparkSession)
-    bench = benchmark.select(F.col("item_id").cast("long"), "text")
-    n = -(-(bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes) or 1
     at = docs.columns.index("text")
 
     def keep(p: Phrases):
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in it:
-                for part in vec.slices(batch):
-                    yield part.filter(pa.array(hits(part.column(at), p) == 0))
+                for part in vec.slices(batch, column=at):
+                    seg, bad = Segment.of(part.column(at)), np.zeros(part.num_rows, bool)
+                    bad[vec.owner(seg.first)[search(p, seg, 0, 0)[1]]] = True
+                    yield part.filter(pa.array(~bad))
 
         return run
 
-    for b in range(n):
-        p = Phrases([tuple(r) for r in bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()], width)
-        docs = docs.mapInArrow(keep(p), docs.schema)
+    for items in _blocks(benchmark, block_bytes):
+        docs = docs.mapInArrow(keep(Phrases(items, width)), docs.schema)
     return docs
 
 
-def hits(col: pa.Array, p: Phrases) -> np.ndarray:
-    """The number of exact matches in each text."""
-    raw, off = vec.buffers(col)
-    raw = vec.lower(raw)
-    starts, ends, first = vec.words(raw, off, vec.ALNUM)
-    own = vec.owner(first)
-    _, at, _, _ = search(p, term_ids(p.vocab, vec.span_hashes(raw, starts, ends)), own, 0, 0)
-    return np.bincount(own[at], minlength=len(col))
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     found = find(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))

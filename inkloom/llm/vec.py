@@ -187,12 +187,12 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - sizes), sizes)
 
 
-def slices(batch, limit: int = 4 << 20, column: str = "text"):
+def slices(batch, limit: int = 4 << 20, column: str | int = "text"):
     """A batch or table in pieces whose texts have about limit bytes; a longer text is a piece of its own."""
     n = batch.num_rows
     if n == 0:
         return
-    _, off = buffers(batch.column(batch.schema.get_field_index(column)))
+    _, off = buffers(batch.column(column if isinstance(column, int) else batch.schema.get_field_index(column)))
     at = 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(off, off[at] + limit, side="right")) - 1)

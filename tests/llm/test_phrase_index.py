@@ -83,6 +83,27 @@ def test_proximity_brute_force(spark):
         assert got == near(docs, bench, 5, slop, misses), (slop, misses)
 
 
+def test_rows_partitions_and_blocks_do_not_show(spark):
+    r = random.Random(6)
+    make = lambda n: " ".join(r.choice("abcdefg") for _ in range(n))
+    docs = [(r.choice([1, 2, None, 3]), make(r.randint(0, 25))) for _ in range(40)] + [(1, "a b c d e f"), (1, "a b c d e f"), (1, None)]
+    bench = [(i, make(r.randint(3, 8))) for i in range(15)]
+    d, b = frames(spark, docs, bench)
+    row = lambda x: str((x.doc_id, x.n_words, x.n_hit, x.hit_starts, x.hit_ends, x["items"], x.near_items))
+    got = [sorted(map(row, m.find(d.repartition(n), b, width=5, block_bytes=block).collect())) for n in (1, 7) for block in (1 << 20, 30)]
+    assert len(got[0]) == len(docs) and all(x == got[0] for x in got)
+    assert [x[:3] for x in sorted(map(tuple, m.clean(d, b, width=5, block_bytes=30).collect()), key=str)] == [x[:3] for x in sorted(map(tuple, m.clean(d, b, width=5).collect()), key=str)]
+
+
+def test_the_index_has_all_postings(spark):
+    docs = [(i, f"A b-{i} b\nÉ") for i in range(9)] + [(9, None)]
+    rows = m.build(spark.createDataFrame(docs, "doc_id long, text string").repartition(2)).collect()
+    words = sum(len(WORD.findall(lower(t))) for _, t in docs)
+    segs = [m.Segment.read(x.asDict()) for x in rows]
+    assert sum(len(x.positions) for x in segs) == words and sorted(d for x in rows for d in x.doc_ids) == list(range(10))
+    assert all(sorted(x.positions.tolist()) == list(range(len(x.positions))) for x in segs)
+
+
 def test_empty_tables(spark):
     d, b = frames(spark, [(1, "a b")], [(7, "a b")])
     assert [tuple(x)[1:3] for x in m.find(d, b.limit(0)).collect()] == [(2, 0)]
