@@ -19,7 +19,9 @@ yet; pairs that their bounds leave are verified on the sets. What then remains
 unseen is a pair without a common least hash of all ROUTES + MORE functions: at
 most (1 - t) ** 10, 6e-9 at the threshold of 0.85 and less above it.
 
-Links are joined to components by rounds of large and small stars.
+Links are between classes, by the hash of the set, and are joined to components
+by rounds of large and small stars; a component's id is the least doc_id of its
+classes.
 
 Defined results: null texts and texts without words have no set and link with
 nothing; a text of fewer than `size` words is one shingle; repeated rows are in
@@ -164,7 +166,7 @@ def _sets(df: DataFrame, size: int, columns: list[str], out: str, f) -> DataFram
 
 
 def describe_docs(docs: DataFrame, size: int) -> DataFrame:
-    """Per row: doc_id, size and hash of its set, its least hashes, and its point: 32-bit counts of GROUPS groups."""
+    """Per row: doc_id, a hash of its text, size and hash of its set, its least hashes, and its point: 32-bit counts of GROUPS groups."""
 
     def f(part, value, first):
         n, sig, low = describe(value, first)
@@ -172,30 +174,28 @@ def describe_docs(docs: DataFrame, size: int) -> DataFrame:
         point = np.bincount(own * GROUPS + (value & np.uint64(GROUPS - 1)).astype(np.int64), minlength=part.num_rows * GROUPS)
         wide = point.astype("<u4").reshape(part.num_rows, GROUPS)
         lows = pa.FixedSizeListArray.from_arrays(pa.array(low.ravel()), ROUTES + MORE).cast(pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(sig), lows, pa.array([x.tobytes() for x in wide], pa.binary())], names=["doc_id", "n", "sig", "lows", "point"])
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(sig), lows, pa.array([x.tobytes() for x in wide], pa.binary())], names=["doc_id", "key", "n", "sig", "lows", "point"])
 
-    return _sets(docs, size, ["doc_id"], "doc_id long, n long, sig long, lows array<long>, point binary", f)
+    return _sets(docs, size, ["doc_id", "key"], "doc_id long, key long, n long, sig long, lows array<long>, point binary", f)
 
 
 def _spread(docs: DataFrame, wanted: DataFrame, size: int, by: str) -> DataFrame:
-    """Sets of the wanted classes: rows (bucket, sig, each element of the array column `by`, set), the texts joined by doc_id."""
+    """Sets of the wanted classes: rows (block, sig, set) for each element of the array column `by`. Of the rows with a class's doc_id and text one is taken, whether the doc_id is null or not."""
 
     def f(part, value, first):
-        _, sig, _ = describe(value, first)
-        mine = part.column(1).to_numpy() == sig  # not another row's text with the same doc_id
-        by_doc = part.column(2).filter(pa.array(mine))
-        n = np.zeros(part.num_rows, np.int64)
-        n[mine] = np.diff(np.asarray(by_doc.offsets))
+        n = np.diff(np.asarray(part.column(1).offsets))
         sets = [value[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
         who = np.repeat(np.arange(part.num_rows), n)
-        return pa.RecordBatch.from_arrays([by_doc.flatten(), part.column(1).take(pa.array(who)), pa.array([sets[i] for i in who], pa.binary())], names=["block", "sig", "shingles"])
+        return pa.RecordBatch.from_arrays([part.column(1).flatten(), part.column(0).take(pa.array(who)), pa.array([sets[i] for i in who], pa.binary())], names=["block", "sig", "shingles"])
 
-    return _sets(docs.select("doc_id", "text").join(wanted, "doc_id"), size, ["doc_id", "sig", by], "block long, sig long, shingles binary", f)
+    both = docs.alias("d").join(wanted.alias("w"), F.expr("d.doc_id <=> w.rep AND d.key = w.key"))
+    one = both.groupBy("w.rep", "w.key", "w.sig").agg(F.first(f"w.{by}").alias(by), F.first("d.text").alias("text"))
+    return _sets(one, size, ["sig", by], "block long, sig long, shingles binary", f)
 
 
 def block_links(docs: DataFrame, members: DataFrame, size: int, num: int, den: int, buckets: int) -> DataFrame:
-    """(a, b): the links between the classes of each block. members: sig, rep, block."""
-    wanted = members.groupBy(F.col("rep").alias("doc_id"), "sig").agg(F.collect_set("block").alias("blocks"))
+    """(a, b): the links between the classes of each block. members: sig, rep, key, block."""
+    wanted = members.groupBy("rep", "key", "sig").agg(F.collect_set("block").alias("blocks"))
 
     def join(t: pa.Table) -> pa.Table:
         block, sig = t.column("block").to_numpy(), t.column("sig").to_numpy()
@@ -260,41 +260,44 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, size: int = SIZE, num: int = NUM, den: int = DEN) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, sig (its class), component_id."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """Per row of docs: doc_id, n_shingles, sig (its class), component_id, key (a hash of its text), and whether it is its component's first document, of which there may be repeated rows."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     buckets = max(4, common.chunk_count(docs) // 2)
     told = common.cut(describe_docs(docs, size))
-    classes = common.cut(told.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first(F.struct("n", "lows", "point")).alias("x")).select("sig", "rep", "x.*"))
-    routes = classes.select("sig", "rep", F.posexplode("lows").alias("r", "low")).select("sig", "rep", "r", F.xxhash64("r", "low").alias("block"))
+    last = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    classes = common.cut(told.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min_by("key", F.struct(last, "key")).alias("key"), F.first(F.struct("n", "lows", "point")).alias("x")).select("sig", "rep", "key", "x.*"))
+    routes = classes.select("sig", "rep", "key", F.posexplode("lows").alias("r", "low")).select("sig", "rep", "key", "r", F.xxhash64("r", "low").alias("block"))
 
     def linked(members: DataFrame) -> DataFrame:
-        links = block_links(docs, members, size, num, den, buckets)
-        name = lambda c: classes.select(F.col("sig").alias(c), F.col("rep").alias(f"rep_{c}"))
-        return links.join(name("a"), "a").join(name("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+        return block_links(docs, members, size, num, den, buckets)
 
     mine = routes.where(F.col("r") < ROUTES)
     busy = mine.groupBy("block").agg(F.count("*").alias("k")).where("k > 1").select("block")
     stars = common.cut(components(linked(mine.join(busy, "block"))))
-    label = routes.where(F.col("r") >= ROUTES).join(stars.withColumnRenamed("id", "rep"), "rep", "left").select("sig", "block", F.coalesce("component", "rep").alias("label"))
+    label = routes.where(F.col("r") >= ROUTES).join(stars.withColumnRenamed("id", "sig"), "sig", "left").select("sig", "block", F.coalesce("component", "sig").alias("label"))
     mixed = label.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("block")
     rows = label.join(mixed, "block").join(classes.select("sig", "n", "point"), "sig")
     pairs = common.cut(near_points(rows, num, den, buckets))
     if not pairs.isEmpty():
         ends = pairs.select(F.xxhash64(F.lit("pair"), "a", "b").alias("block"), F.explode(F.array("a", "b")).alias("sig"))
-        more = linked(ends.join(classes.select("sig", "rep"), "sig"))
+        more = linked(ends.join(classes.select("sig", "rep", "key"), "sig"))
         stars = components(stars.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
-    found = stars.withColumnRenamed("id", "rep")
-    home = classes.select("sig", "rep").join(found, "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
-    return told.join(home, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), "sig", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    # only classes with links meet by component; all others are their own
+    members = stars.union(stars.select("component", "component").distinct()).toDF("sig", "component")
+    tied = common.cut(classes.select("sig", "rep", "key").join(members, "sig"))
+    least = tied.groupBy("component").agg(F.min("rep").alias("least"), F.min_by("key", F.struct(F.coalesce("rep", F.lit((1 << 63) - 1)), "key")).alias("least_key"))
+    found = tied.join(least, "component").select("sig", "least", "least_key")
+    home = classes.select("sig", "rep", "key").join(found, "sig", "left").select("sig", F.when(F.col("least_key").isNotNull(), F.col("least")).otherwise(F.col("rep")).alias("component"), F.coalesce("least_key", "key").alias("least_key"))
+    own = F.col("n") == 0
+    first = own | F.expr("doc_id <=> component AND key = least_key")
+    return told.join(home, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), "sig", F.when(own, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "key", first.alias("first"))
 
 
 def apply(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component stays, that with the smallest doc_id; of rows with one doc_id, one stays; documents without words stay."""
-    got = join(docs, **options)
-    keep = got.where("doc_id IS NULL OR doc_id = component_id").groupBy("doc_id").agg(F.max("n_shingles").alias("most")).alias("k")
-    first = docs.withColumn("__row", F.xxhash64("text")).alias("d").join(keep, F.expr("d.doc_id <=> k.doc_id"), "left_semi")
-    cols = [F.first(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("row")]
-    return first.groupBy("doc_id", "__row").agg(*cols).select("row.*")
+    """One document of each component stays, that with the smallest doc_id (of the least hash of the text where all are null or several have it); documents without words stay; of equal rows one stays."""
+    keep = join(docs, **options).where("first").select("doc_id", "key").distinct().alias("k")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).alias("d")
+    return rows.join(keep, F.expr("d.id <=> k.doc_id AND d.key = k.key"), "left_semi").groupBy("id", "key").agg(F.first("row").alias("row")).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -67,6 +67,19 @@ def test_rows_of_one_id_nulls_and_empty_table(spark):
     assert m.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_links_of_null_ids(spark):
+    r = random.Random(9)
+    text = [f"w{r.randint(0, 9999)}" for _ in range(60)]
+    near, far = " ".join(["x", *text[1:]]), " ".join(f"v{i}" for i in range(30))
+    rows = [(5, " ".join(text)), (None, near), (None, near), (None, far), (None, "y " + far), (6, far[:40])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'r' AS `__row`", "1 AS key", "2 AS id").repartition(3)
+    got = sorted(((x.doc_id, x.component_id) for x in m.join(df).collect()), key=str)
+    assert got == sorted([(5, 5), (None, 5), (None, 5), (None, None), (None, None), (6, 6)], key=str)
+    kept = m.apply(df)
+    assert kept.columns == df.columns and kept.where("`__row` = 'r'").count() == 3
+    assert sorted((x.doc_id or 0) for x in kept.collect()) == [0, 5, 6]
+
+
 def test_blocks_give_all_connections():
     r = np.random.default_rng(0)
     base = r.integers(0, 1 << 60, 200, dtype=np.uint64)
