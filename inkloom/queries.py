@@ -95,7 +95,8 @@ def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _region_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.regions(_classified(spark, sf_dir))
+    views(spark, sf_dir, "lineitem")
+    return op.classified_regions(spark)
 
 
 def fragment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from inkloom.config import LABELS, Settings
 from inkloom.operators import boxes as op
-from inkloom.operators.rows import merge_page
+from inkloom.operators.rows import merge_page, merge_rows
 from inkloom.plans import boxes as plan
 
 
@@ -98,6 +99,59 @@ def test_row_merge():
     assert merge_page([], 20, 2.0) == []
 
 
+def restarting(boxes, char_h, gap):
+    """Brute force: after each merge, begin again with the first box."""
+    while True:
+        for i in range(len(boxes)):
+            for j in range(i + 1, len(boxes)):
+                a, b = boxes[i], boxes[j]
+                ha, hb = a[4] - a[2], b[4] - b[2]
+                tall = max(ha, hb) <= 1.8 * min(ha, hb) and min(a[4], b[4]) - max(a[2], b[2]) >= 0.6 * min(ha, hb)
+                if a[0] == b[0] and tall and max(a[1], b[1]) - min(a[3], b[3]) <= gap * char_h:
+                    boxes[i] = [a[0], min(a[1], b[1]), min(a[2], b[2]), max(a[3], b[3]), max(a[4], b[4]), a[5] + b[5]]
+                    del boxes[j]
+                    break
+            else:
+                continue
+            break
+        else:
+            return boxes
+
+
+def test_row_merge_brute_force(spark):
+    r = random.Random(7)
+    pages, want = [], []
+    for n in range(150):
+        boxes = sorted(([r.choice(["page", "page", "outside"]), x, y, x + r.randint(5, 80), y + r.randint(8, 40), r.randint(1, 99)] for x, y in ((r.randint(0, 500), r.randint(0, 120)) for _ in range(r.randint(1, 25)))), key=lambda b: b[1])
+        char_h = r.choice([5.0, 10.0, 20.0])
+        out = restarting([list(b) for b in boxes], char_h, 2.0)
+        assert merge_page([list(b) for b in boxes], char_h, 2.0) == out
+        pages += [(n, i, *b, char_h) for i, b in enumerate(boxes)]
+        want += [(n, i + 1, *b) for i, b in enumerate(out)]
+    df = spark.createDataFrame(pages, "page_id long, seq long, source string, x1 long, y1 long, x2 long, y2 long, ink_px long, char_h double").repartition(5)
+    assert sorted(map(tuple, merge_rows(df).collect())) == sorted(want)
+
+
+def test_parents_brute_force():
+    r = random.Random(8)
+    rows = []
+    for n in range(60):
+        for seq in range(r.randint(1, 20)):
+            x, y, w, h = r.randint(0, 300), r.randint(0, 60), r.randint(1, 120), r.randint(5, 30)
+            rows.append({"page_id": n, "seq": seq, "source": r.choice(["page", "page", "outside"]), "x1": x, "y1": y, "x2": x + w, "y2": y + h, "w": w, "h": h, "char_h": 20.0, "line_h": 25.0, "any_rest": n % 5 > 0})
+    t = pa.Table.from_pylist([x | {"any_rest": int(x["any_rest"])} for x in rows])
+    want = []
+    for a in rows:
+        best = None
+        if a["any_rest"] and a["source"] == "page" and a["w"] < 50:
+            for i, b in enumerate(rows):
+                gap = max(a["x1"], b["x1"]) - min(a["x2"], b["x2"])
+                if b is not a and b["page_id"] == a["page_id"] and b["source"] == "page" and b["w"] >= 1.5 * a["w"] and min(a["y2"], b["y2"]) - max(a["y1"], b["y1"]) >= 0.5 * a["h"] and gap < 40:
+                    best = min(best or (gap, b["seq"], i), (gap, b["seq"], i))
+        want.append(best[2] if best else -1)
+    assert op.parents_of(t).tolist() == want and max(want) > 0
+
+
 def test_settings():
     assert Settings.from_json('{"smear_x": 2, "deskew": false}').deskew is False
     with pytest.raises(KeyError):
