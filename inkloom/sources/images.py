@@ -17,7 +17,7 @@ def list_images(spark: SparkSession, path: str, recursive: bool = False) -> Data
     """path, content of image files; names are filtered before contents are read. Earlier annotated output is left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     name = F.lower("path")
-    return files.where(F.regexp_extract(name, r"\.([a-z]+)$", 1).isin(*SUFFIXES) & ~name.endswith("_annotated.jpg")).select("path", "content")
+    return files.where(F.regexp_extract(name, r"\.([a-z]+)$", 1).isin(*SUFFIXES) & ~name.rlike(r"_annotated\.(jpg|png)$")).select("path", "content")
 
 
 def _png(b: bytes) -> np.ndarray:

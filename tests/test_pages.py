@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pytest
 
@@ -36,6 +38,38 @@ def test_lines_and_skew():
     assert all(x["y2"] - x["y1"] < 26 for x in turned)  # straight again
 
 
+def test_skew_is_within_45_degrees_of_level():
+    assert p.skew([(100, 10, 80.0)] * 3) == -10 and p.skew([(10, 100, -87.0)] * 3) == 3 and p.skew([(100, 10, 3.0)] * 2) == 0
+    assert p.skew([None, (100, 10, 1.0), (90, 10, 2.0), (500, 10, 4.0), (10, 9, 44.0)]) == 4
+
+
+def test_tall_blobs_are_cut_between_lines():
+    ink = np.zeros((60, 80), bool)
+    for y in (2, 22, 42):
+        ink[y : y + 14, 5:75] = True
+    ink[:, 40] = True  # what ties the lines
+    parts = p.split_tall(ink, (5, 2, 75, 56), 20.0)
+    assert len(parts) == 3 and all(b - a <= 20 for _, a, _, b in parts) and parts[0][:2] == (5, 2) and parts[2][2:] == (75, 56)
+    assert p.split_tall(ink, (5, 2, 75, 16), 20.0) == [(5, 2, 75, 16)]
+    small = Settings(min_component_px=400)
+    assert p.blobs(ink, 14.0, Settings(), "page") and all(x["ink"] >= 800 for x in p.blobs(ink, 14.0, small, "page"))
+
+
+def test_line_pitch_finds_the_distance_of_lines():
+    for step in (22, 30, 41):
+        ink = np.zeros((400, 300), bool)
+        for y in range(10, 390, step):
+            ink[y : y + 12, 10:290] = True
+        assert abs(p.line_pitch(ink, 12.0) - step) <= 1
+    assert p.line_pitch(np.zeros((50, 50), bool), 10.0) == 16
+
+
+def test_tiny_images_and_any_error():
+    for shape in ((1, 1, 3), (2, 3, 3), (7, 900, 3)):
+        (row,) = p.lines_of(encode_png(np.full(shape, 9, np.uint8)), Settings())
+        assert row["seq"] is None and (row["w0"], row["h0"]) == (shape[1], shape[0])
+
+
 def test_decoding():
     img = draw()[:50, :60]
     assert (decode(encode_png(img)) == img).all()
@@ -88,5 +122,16 @@ def test_from_files_to_documents(spark, tmp_path):
     assert all(0 <= b[0] < b[2] <= 700 and 0 <= b[1] < b[3] <= 900 for b in (r.bbox for r in page.regions))
     assert got["B.PNG"].regions == [] and got["B.PNG"].lines == []
     assert layout.main(["-i", str(src), "-o", str(tmp_path / "out")]) == 2
-    assert spark.read.json(f"{tmp_path}/out/pages").count() == 2
+    doc = json.loads((tmp_path / "out/a.json").read_text())
+    assert doc["image"] == "a.png" and doc["runtime_s"] > 0 and len(doc["lines"]) == 16 and set(doc["regions"][0]["bbox"]) and not (tmp_path / "out/c.json").exists()
+    total = json.loads((tmp_path / "out/summary.json").read_text())
+    assert (total["processed"], total["failed"], total["backend"], total["config"]) == (2, 1, "cv", Settings().to_dict())
+    assert [x["image"] for x in total["images"]] == ["B.PNG", "a.png"] and total["images"][1]["regions"]["main_text"] == 1
+    drawn = decode((tmp_path / "out/a_annotated.png").read_bytes())
+    x1, y1, x2, y2 = next(r["bbox"] for r in doc["regions"] if r["label"] == "main_text")
+    assert drawn.shape == draw().shape and drawn[(y1 + y2) // 2, x1].tolist() == [40, 170, 40]
+    (src / "sub").mkdir()
+    (src / "sub/a.png").write_bytes(encode_png(draw(1)))
+    assert layout.main(["-i", str(src), "-o", str(tmp_path / "deep"), "--recursive", "--draw-lines"]) == 2
+    assert sorted(x.relative_to(tmp_path / "deep").as_posix() for x in (tmp_path / "deep").rglob("*.json")) == ["B.json", "a.json", "sub/a.json", "summary.json"]
     assert layout.main(["-i", str(tmp_path / "in/note.txt"), "-o", str(tmp_path / "x")]) == 1
