@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .config import LABELS, Settings
 from .operators import boxes as op
+from .operators.annotate import COLOURS, thickness
 from .operators.rows import merge_rows
 from .plans import boxes as plan
 from .plans import rasters
@@ -153,14 +154,22 @@ SELECT p.page_id, CASE WHEN k >= 3 THEN CAST(a AS DOUBLE) ELSE {n(0)} END AS ske
   FROM (SELECT page_id, a, sum(rw) OVER ({plan.P} ORDER BY a, seq ROWS UNBOUNDED PRECEDING) AS cw, sum(rw) OVER ({plan.P}) AS total, count(*) OVER ({plan.P}) AS k FROM ({wrap}) z) z GROUP BY page_id) m ON p.page_id = m.page_id"""
 
 
-def draw_list(d: Dialect) -> str:
-    """What an annotated image would show: a box per line, its colour, thickness and caption."""
-    colours = [("header", "255,140,0"), ("footer", "160,32,240"), ("main_text", "0,170,0"), ("side_text", "0,120,255"), ("filler", "220,20,60")]
-    rgb = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in colours)
-    c = milli("conf", d)
-    cents = f"({d.div(f'{c} + 5', '10')})"
+def _drawn(d: Dialect) -> str:
+    """What an annotated image shows, from regions: a frame, its colour and thickness, a caption (confidence to two places, half up) and the line on which that stands."""
+    height, width = plan.PAGE["py2"], plan.PAGE["px2"]
+    text = round(22 * max(0.45, max(height, width) / 2400))  # the caption's height: 22 units of the font
+    rgb = " ".join(f"WHEN '{k}' THEN '{','.join(map(str, v))}'" for k, v in COLOURS.items())
+    cents = f"({d.div(milli('confidence', d) + ' + 5', '10')})"
     pad = f"lpad(CAST({cents} % 100 AS {'STRING' if d.spark else 'VARCHAR'}), 2, '0')"
-    return f"SELECT page_id, seq, x1, y1, x2, y2, CASE label {rgb} END AS rgb, CAST(2 AS BIGINT) AS thickness, concat(label, ' ', {d.div(cents, '100')}, '.', {pad}) AS caption, CASE WHEN y1 >= 20 THEN y1 - 6 ELSE y2 + 16 END AS ty FROM ({plan.layers(d)['labelled']}) z"
+    return (
+        f"SELECT page_id, region_id, x1, y1, x2, y2, CASE label {rgb} END AS rgb, CAST({thickness(height, width)} AS BIGINT) AS thickness, concat(label, ' ', {d.div(cents, '100')}, '.', {pad}) AS caption,"
+        f" CASE WHEN y1 - {text} - 8 > 0 THEN y1 - 4 ELSE least({height - 2}, y1 + {text} + 6) END AS ty FROM regions"
+    )
+
+
+def draw_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _region_query(spark, sf_dir).createOrReplaceTempView("regions")
+    return spark.sql(_drawn(SPARK))
 
 
 def row_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +201,7 @@ def catalogue() -> dict[str, tuple[Query, str | None]]:
         "map_back_affine": _plain(map_back, "lineitem"),
         "char_height_wmedian": _plain(char_height, "lineitem"),
         "skew_wmedian": _plain(skew, "lineitem"),
-        "draw_list": _plain(draw_list, "lineitem"),
+        "draw_list": (draw_list, _regions(_drawn(DUCK))),
         "row_merge": (row_merge, None),
         "speck_filter": _layered("featured", lambda d: f"SELECT {KEY}, greatest(w, h) >= {d.num(6)} AND ink_px >= {d.num(5.76)} AND NOT ((x1 <= 1 OR y1 <= 1 OR x2 >= 999 OR y2 >= 1559) AND greatest(w, h) > 3 * least(w, h) AND greatest(w, h) > 40) AS stays"),
         "component_filter": _layered("featured", lambda d: f"SELECT {KEY}, ink_px >= 12 AND NOT (h > {d.num(0.2)} * 1560 AND w < {d.num(0.2)} * h) AS stays"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 import zipfile
@@ -35,10 +36,18 @@ def shipped(f):
     return run
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors see. Where that is unset, a temporary one, if there is one machine only."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_inkloom_shared", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = spark.sparkContext._inkloom_shared = "file://" + tempfile.mkdtemp(prefix="inkloom-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def staged(df):
-    """The frame written once to the shared folder (spark.checkpoint.dir; a temporary one where it is unset) and read back, for results that are dear to make and read often."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="inkloom-")
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """The frame written once to the shared folder and read back, for results that are dear to make and read often."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,9 +3,10 @@ import json
 import numpy as np
 import pytest
 
-from inkloom import layout
+from inkloom import layout, session
 from inkloom.config import LABELS, Settings
 from inkloom.functions import kernels as k
+from inkloom.operators import annotate
 from inkloom.operators import pages as p
 from inkloom.sources.images import decode, encode_png
 
@@ -70,6 +71,23 @@ def test_tiny_images_and_any_error():
         assert row["seq"] is None and (row["w0"], row["h0"]) == (shape[1], shape[0])
 
 
+def test_frames():
+    img = annotate.draw(np.zeros((100, 1400, 3), np.uint8), [{"label": "header", "bbox": [10, 20, 60, 50]}, {"label": "footer", "bbox": [0, 0, 1400, 100]}], [{"label": "filler", "bbox": [30, 30, 40, 40]}])
+    assert img[20, 30].tolist() == [0, 140, 255] and img[30, 35].tolist() == [40, 40, 220] and img[99, 99].tolist() == [190, 40, 190] and not img[35, 35].any() and not img[70, 70].any()
+    assert annotate.thickness(900, 700) == 2 and annotate.thickness(3000, 100) == 4
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    assert session.shared_folder(spark) != session.shared_folder(spark)
+
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.shared_folder(Cluster)
+
+
 def test_decoding():
     img = draw()[:50, :60]
     assert (decode(encode_png(img)) == img).all()
