@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: Bytes of text that one Python group or slice holds; bounds a worker's memory.
 CHUNK_BYTES = 4 << 20
 #: Parquet text takes about this share of the text's own bytes.
@@ -34,13 +33,8 @@ def chunk_count(df: DataFrame, per: int = CHUNK_BYTES) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors see; a temporary one where that is unset (local tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark, "_inkloom_shared", None)
-        if not base:
-            base = spark._inkloom_shared = "file://" + tempfile.mkdtemp(prefix="inkloom-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir, which all executors see; an error on a cluster without that setting."""
+    return shared_folder(spark)
 
 
 def cut(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
@@ -59,8 +53,11 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
 
 
 def batches(spark: SparkSession) -> None:
-    """Arrow batches small enough for a worker, whatever the texts' length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """Arrow batches small enough for a worker, whatever the texts' length: bounded in bytes too, unless the session has smaller bounds."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        now = spark.conf.get(key, None)
+        if not (now and now.isdecimal() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def chunked(df: DataFrame, n: int, *cols: str) -> DataFrame:

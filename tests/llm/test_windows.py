@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from inkloom.llm import radix_suffix, rlz_dedup, vec, windows
@@ -139,6 +140,33 @@ def test_every_removed_window_comes_from_the_resolver(spark, op):
     assert seen and seen[0] >= gone.sum() / op.SIZE and gone.any() and other.sum() > gone.sum()
 
 
+@pytest.mark.parametrize(("op", "hot"), [(rlz_dedup, 4096), (rlz_dedup, 2), (radix_suffix, 4096), (radix_suffix, 2)])
+def test_each_reading_of_a_chunk_may_have_another_order(op, hot):
+    """Executors fetch the blocks of a shuffle in any order, and a chunk is read three times."""
+    kind, size, k, buckets = "words" if op is rlz_dedup else "bytes", op.SIZE, op.GRAM, 3
+    rows, r = corpus(11), random.Random(12)
+    chunks = [rows[i::4] for i in range(4)]
+
+    def table(c):
+        some = r.sample(chunks[c], len(chunks[c]))
+        return pa.table({"doc_id": pa.array([d for d, _ in some], pa.int64()), "text": pa.array([t for _, t in some], pa.string())})
+
+    key = lambda i: (pa.scalar(i),)
+    pick = lambda t, c, v: (lambda x: x.take(pa.array(r.sample(range(len(x)), len(x)), pa.int64())))(t.filter(pc.equal(t.column(c), v)))
+    sent = pa.concat_tables([windows._send(key(c), table(c), kind, size, k, buckets) for c in range(4)])
+    asks = pa.concat_tables([windows._ask(key(b), pick(sent, "bucket", b), hot) for b in range(buckets)])
+    given = pa.concat_tables([windows._give(key(c), table(c), pick(asks, "chunk", c), kind, size, k, buckets) for c in range(4)])
+    found = pa.concat_tables([windows._resolve(key(b), pick(sent, "bucket", b), pick(given, "bucket", b), size, buckets, hot, op.resolve) for b in range(2 * buckets)])
+    got = []
+    for c in range(4):
+        t = table(c)
+        u, gone, _ = windows._marks(t, pick(found, "chunk", c), kind, size, k, buckets)
+        got += [(d, x, int(n)) for d, x, n in zip(t.column("doc_id").to_pylist(), t.column("text").to_pylist(), np.diff(np.concatenate(([0], np.cumsum(gone)))[u.first]), strict=True)]
+    units = [(x or "").encode().split() if kind == "words" else (x or "").encode() for _, x in rows]
+    want = [(d, x, sum(g)) for (d, x), g in zip(rows, cover(units, [d for d, _ in rows], size), strict=True)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_long_structured_words_have_different_hashes():
     a = "a"
     for _ in range(10):
