@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import jpeg
+
 # Suffixes that count as images.
 SUFFIXES = ("png", "jpg", "jpeg", "tif", "tiff", "bmp", "webp")
 
@@ -97,6 +99,8 @@ def decode(b: bytes) -> np.ndarray:
             img = _png(b)
         elif b[:2] == b"BM":
             img = _bmp(b)
+        elif b[:3] == b"\xff\xd8\xff":
+            img = jpeg.decode(b)
         else:
             raise ValueError("no decoder for this format")
     except (struct.error, zlib.error, KeyError, IndexError, TypeError) as e:
