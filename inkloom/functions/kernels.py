@@ -77,8 +77,14 @@ def gaussian(a: np.ndarray, sigma: float, size: int | None = None) -> np.ndarray
     w /= w.sum()
     out = a.astype(np.float32)
     for axis in (0, 1):
-        p = _pad(out, n // 2, n // 2, axis, "reflect")
-        out = sum(float(w[i]) * np.take(p, np.arange(i, i + a.shape[axis]), axis) for i in range(n))
+        p, size_now = _pad(out, n // 2, n // 2, axis, "reflect"), a.shape[axis]
+        view = lambda i: p[i : i + size_now] if axis == 0 else p[:, i : i + size_now]  # noqa: E731, B023
+        out = view(n // 2) * np.float32(w[n // 2])
+        part = np.empty_like(out)
+        for i in range(n // 2):  # the weights are symmetric
+            np.add(view(i), view(n - 1 - i), out=part)
+            part *= np.float32(w[i])
+            out += part
     return out
 
 
@@ -160,14 +166,28 @@ def gray(bgr: np.ndarray) -> np.ndarray:
 
 def lab(bgr: np.ndarray) -> np.ndarray:
     """8-bit Lab: L scaled to 255, a and b offset by 128."""
-    c = bgr[..., ::-1].astype(np.float32) / 255
-    c = np.where(c <= 0.04045, c / 12.92, ((c + 0.055) / 1.055) ** 2.4)
+    level = np.arange(256, dtype=np.float32) / 255
+    c = np.where(level <= 0.04045, level / 12.92, ((level + 0.055) / 1.055) ** 2.4)[bgr[..., ::-1]]
     xyz = c @ np.array([[0.412453, 0.357580, 0.180423], [0.212671, 0.715160, 0.072169], [0.019334, 0.119193, 0.950227]], np.float32).T
     f = xyz / np.array([0.950456, 1.0, 1.088754], np.float32)
     f = np.where(f > 0.008856, np.cbrt(f), 7.787 * f + 16 / 116)
     return np.stack([(116 * f[..., 1] - 16) * 2.55, 500 * (f[..., 0] - f[..., 1]) + 128, 200 * (f[..., 1] - f[..., 2]) + 128], axis=-1)
 
 
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least member that each of n items is tied to by pairs (a, b)."""
+    boss = np.arange(n)
+    while True:
+        x, y = boss[a], boss[b]
+        open_ = x != y
+        if not open_.any():
+            return boss
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(boss, np.maximum(x, y), np.minimum(x, y))
+        while (boss[boss] != boss).any():
+            boss = boss[boss]
+
+
 def components(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(labels, stats): 8-connected components by runs; stats rows are x, y, w, h, area, and label i is row i - 1."""
     h, w = mask.shape
@@ -176,28 +196,14 @@ def components(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     d = np.diff(flat, axis=1)
     y, start = np.nonzero(d == 1)
     end = np.nonzero(d == -1)[1]
-    boss = np.arange(len(y))
-
-    def top(i: int) -> int:
-        while boss[i] != i:
-            boss[i] = boss[boss[i]]
-            i = boss[i]
-        return i
-
-    row = np.searchsorted(y, np.arange(h + 1))
-    s, e = start.tolist(), end.tolist()
-    for r in range(1, h):
-        i, j, last, stop = int(row[r - 1]), int(row[r]), int(row[r]), int(row[r + 1])
-        while i < last and j < stop:
-            if s[i] <= e[j] and s[j] <= e[i]:
-                a, b = top(i), top(j)
-                if a != b:
-                    boss[max(a, b)] = min(a, b)
-            if e[i] < e[j]:
-                i += 1
-            else:
-                j += 1
-    roots = np.array([top(i) for i in range(len(y))], int)
+    # runs of neighbouring rows that touch, also at corners: for each run a range of those in the row above
+    key = w + 2
+    first = np.searchsorted(y * key + end, (y - 1) * key + start)
+    last = np.searchsorted(y * key + start, (y - 1) * key + end, side="right")
+    many = np.maximum(last - first, 0)
+    below = np.repeat(np.arange(len(y)), many)
+    above = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+    roots = _roots(len(y), above, below)
     _, number = np.unique(roots, return_inverse=True)
     n = int(number.max(initial=-1)) + 1
     stats = np.zeros((n, 5), np.int64)
@@ -220,7 +226,13 @@ def fill_holes(mask: np.ndarray) -> np.ndarray:
 
 def min_area_rect(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float, float, float]:
     """(cx, cy, w, h, angle) of the least-area rectangle round the points: an edge of their hull lies on it."""
-    pts = sorted(set(zip(x.tolist(), y.tolist(), strict=True)))
+    # of each row only the outermost points can be corners of the hull
+    rows = np.unique(y)
+    at = np.searchsorted(rows, y)
+    left, right = np.full(len(rows), x.max()), np.full(len(rows), x.min())
+    np.minimum.at(left, at, x)
+    np.maximum.at(right, at, x)
+    pts = sorted({*zip(left.tolist(), rows.tolist(), strict=True), *zip(right.tolist(), rows.tolist(), strict=True)})
     hull: list = []
     for seq in (pts, pts[::-1]):
         part: list = []
