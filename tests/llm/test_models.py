@@ -48,6 +48,95 @@ def test_scores(spark, prose):
     assert sum(r.n_context for r in out) > 0.5 * sum(r.n_tokens for r in out)
 
 
+class Tree:
+    """Brute force: the model by dictionaries."""
+
+    def __init__(self, texts):
+        self.count = collections.Counter(w for t in texts for w in tokens(t))
+        self.n, once, twice = sum(self.count.values()), *(sum(c == k for c in self.count.values()) for k in (1, 2))
+        self.d = once / (once + 2 * twice) if once and twice else 0.5
+        self.usual = {w for w, c in self.count.items() if c >= suffix_tree_lm.MIN_COUNT}
+        least = max(suffix_tree_lm.P_PAIR * self.n, suffix_tree_lm.MIN_COUNT)
+        self.deep = {w for w, c in self.count.items() if c >= least}
+        follow = collections.defaultdict(collections.Counter)
+        for t in texts:
+            w = tokens(t)
+            for i in range(1, len(w)):
+                for ctx in self.contexts(w, i):
+                    follow[ctx][w[i]] += 1
+        self.states = {}
+        for level in (1, 2):
+            for ctx, after in follow.items():
+                if len(ctx) == level and self.gain(ctx, after) > suffix_tree_lm.GAIN + len([f for f in after if f in self.usual]):
+                    self.states[ctx] = after
+
+    def contexts(self, w, i):
+        out = []
+        if i >= 1 and w[i - 1] in self.usual:
+            out.append((w[i - 1],))
+            if i >= 2 and w[i - 2] in self.deep and w[i - 1] in self.deep:
+                out.append((w[i - 2], w[i - 1]))
+        return out
+
+    def gain(self, ctx, after):
+        own = dict(self.states)
+        total, seen = sum(after.values()), sum(c for f, c in after.items() if f in self.usual)
+        up, part = ctx[1:], self.part(ctx[1:])
+        if not 0 < part < 1:
+            return -math.inf
+        out = 0.0
+        for f, c in after.items():
+            if f in self.usual:
+                below = self.p(f, up)
+                self.states[ctx] = after
+                out += c * math.log(self.p(f, ctx) / below)
+                self.states = dict(own)
+        rest = total - seen
+        return out + (rest * math.log((rest + 0.5) / (total + 1) / (1 - part)) if rest else 0)
+
+    def part(self, ctx):
+        while ctx and ctx not in self.states:
+            ctx = ctx[1:]
+        if not ctx:
+            return sum(self.count[w] - self.d for w in self.usual) / self.n
+        after = self.states[ctx]
+        return (sum(c for f, c in after.items() if f in self.usual) + 0.5) / (sum(after.values()) + 1)
+
+    def p(self, f, ctx):
+        while ctx and ctx not in self.states:
+            ctx = ctx[1:]
+        if not ctx:
+            return (self.count[f] - self.d) / self.n if self.count[f] else self.d * len(self.count) / self.n
+        after, up = self.states[ctx], ctx[1:]
+        total, seen = sum(after.values()), sum(c for x, c in after.items() if x in self.usual)
+        kinds = sum(x in self.usual for x in after)
+        if f in self.usual:
+            return (max(after[f] - self.d, 0) + (min(self.d, 1) * kinds + 0.5) * self.p(f, up) / self.part(up)) / (total + 1)
+        return self.p(f, up) * (total - seen + 0.5) / (total + 1) / (1 - self.part(up))
+
+    def score(self, t):
+        w = tokens(t)
+        return sum(math.log10(self.p(w[i], (self.contexts(w, i) or [()])[-1])) for i in range(len(w)))
+
+
+def test_scores_are_those_of_a_model_by_dictionaries(spark):
+    r = random.Random(17)
+    prose = [(400, None), (401, ""), (402, "never seen")]
+    for i in range(300):  # a word follows from the two before it, mostly
+        w = [r.randrange(12), r.randrange(12)]
+        while len(w) < r.randint(3, 150):
+            w.append((w[-1] * 5 + w[-2] * 3 + 1) % 12 if r.random() < 0.7 else r.randrange(60))
+        prose.append((i, " ".join(f"W{x}" if r.random() < 0.1 else f"w{x}" for x in w)))
+    tree = Tree([t for i, t in prose if not held(i)])
+    assert {len(c) for c in tree.states} == {1, 2}
+    for ctx in [(), *list(tree.states)[:40]]:  # each state's distribution has a sum of 1, the unknown symbol being one
+        assert math.isclose(sum(tree.p(w, ctx) for w in [*tree.count, "unknown"]), 1, rel_tol=1e-9)
+    df = spark.createDataFrame([(i, t, held(i)) for i, t in prose], "doc_id long, text string, held boolean").repartition(3)
+    got = {r.doc_id: r.score for r in suffix_tree_lm.scores(df, chunks=3).collect()}
+    for i, t in prose:
+        assert math.isclose(got[i], tree.score(t), rel_tol=1e-9), i
+
+
 def test_contexts_do_not_depend_on_the_size_of_the_corpus(spark):
     r = random.Random(8)
     rows = [(i, " ".join(f"f{r.randrange(1000)}" for _ in range(1000)) + " alpha beta" * (i < 40), False) for i in range(600)]
