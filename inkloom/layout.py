@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Settings
-from .operators import annotate, boxes, pages
+from .operators import annotate, boxes, pages, script
 from .session import ship, staged
 from .sources.images import decode, encode_png, list_images
 
@@ -38,11 +38,11 @@ def _back(box: tuple[str, str, str, str]) -> str:
     return f"array({clip(f'floor({near(f"least({xs})")})', 0, 'w0 - 1')}, {clip(f'floor({near(f"least({ys})")})', 0, 'h0 - 1')}, {clip(f'ceil({near(f"greatest({xs})")})', 1, 'w0')}, {clip(f'ceil({near(f"greatest({ys})")})', 1, 'h0')})"
 
 
-def layout(images: DataFrame, settings: Settings | None = None, lines: DataFrame | None = None) -> DataFrame:
-    """path, error, and the result document of each image (path, content). Lines may come from another detector, in the columns of pages.LINES."""
+def layout(images: DataFrame, settings: Settings | None = None, lines: DataFrame | None = None, read: script.Recogniser | None = None, detector: script.Detector | None = None) -> DataFrame:
+    """path, error, and the result document of each image (path, content). read: a recogniser of line crops; detector: of lines on page images; lines: of lines in the columns of pages.LINES, found elsewhere."""
     spark = ship(images.sparkSession)
     c = settings or Settings()
-    found = staged(pages.read_lines(images, c)) if lines is None else lines
+    found = staged(pages.read_lines(images, c, read, detector)) if lines is None else lines
     found.createOrReplaceTempView("inkloom_lines")
     cols = ", ".join(x for x in found.columns if x not in ("seq", "path", "error"))
     boxed = staged(boxes.classified(spark, f"SELECT {cols} FROM inkloom_lines WHERE error IS NULL AND seq IS NOT NULL", c, own_context=True))
@@ -57,7 +57,7 @@ def layout(images: DataFrame, settings: Settings | None = None, lines: DataFrame
     out = ctx.join(per_region, "page_id", "left").join(per_line, "page_id", "left")
     return out.select(
         "path", "error", F.array("w0", "h0").alias("image_size"), F.expr(_back(("px1", "py1", "px2", "py2"))).alias("page_bbox"), F.col("full").alias("page_is_full_frame"),
-        half("skew").alias("skew_deg"), F.expr("floor(char_h / scale * 10 + 0.5D) / 10D").alias("char_height_px"), F.lit(False).alias("ocr_script_check"),
+        half("skew").alias("skew_deg"), F.expr("floor(char_h / scale * 10 + 0.5D) / 10D").alias("char_height_px"), F.lit(bool(read) and c.use_ocr_script_check).alias("ocr_script_check"),
         F.coalesce("regions", F.expr("CAST(array() AS array<struct<id:bigint,label:string,bbox:array<bigint>,confidence:double,num_lines:bigint,evidence:array<string>>>)")).alias("regions"),
         F.expr("transform(coalesce(line_list, array()), x -> struct(x.label AS label, x.bbox AS bbox, x.confidence AS confidence, x.reason AS reason, x.features AS features))").alias("lines"), "runtime_s",
     )
@@ -157,7 +157,7 @@ def main(argv: list[str] | None = None) -> int:
     if images.select("path").isEmpty():
         return 1
     settings = build_settings(args)
-    results = staged(layout(images, settings))
+    results = staged(layout(images, settings, read=script.recogniser() if settings.use_ocr_script_check else None))
     base = args.input if "://" in args.input else str(Path(args.input).absolute())
     base = base.rpartition("/")[0] if images.select("path").where(F.col("path").endswith(base)).count() else base
     write_documents(results, images, args.output, base, args.draw_lines)

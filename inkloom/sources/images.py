@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpeg
+from . import jpeg, tiff
 
 # Suffixes that count as images.
 SUFFIXES = ("png", "jpg", "jpeg", "tif", "tiff", "bmp", "webp")
@@ -101,6 +101,8 @@ def decode(b: bytes) -> np.ndarray:
             img = _bmp(b)
         elif b[:3] == b"\xff\xd8\xff":
             img = jpeg.decode(b)
+        elif b[:4] in (b"II*\0", b"MM\0*"):
+            img = tiff.decode(b)
         else:
             raise ValueError("no decoder for this format")
     except (struct.error, zlib.error, KeyError, IndexError, TypeError) as e:
