@@ -27,3 +27,31 @@ def test_stages(spark, tmp_path):
     assert set(seen["leaks"]) == set(seen["tokens"]) == first - {20, 21, 40}
     assert all(x.round_trip and x.n_tokens == len(x.ids) for x in seen["tokens"].values())
     assert {x.doc_id: x.ids for x in c.run(spark, str(tmp_path)).collect()} == {k: v.ids for k, v in seen["tokens"].items()}
+
+
+def test_odd_tables(spark, tmp_path):
+    """Nulls, repeated rows, very long and empty texts, rows of one id, and columns with the names that operators use."""
+    r = random.Random(5)
+    text = lambda n: " ".join(f"v{r.randint(0, 9000)}" for _ in range(n))
+    long, a, b = text(60_000), text(120), text(130)
+    names = ["key", "row", "chunk", "bucket", "sig", "rest", "kept", "first", "ids", "block", "host", "d", "line"]
+    rows = [(1, a, "s"), (1, a, "s"), (1, b, None), (None, text(100), "s"), (None, None, None), (5, long, "s"), (6, long + " end", "s"), (7, "", "s"), (8, " \n\t ", "s"), (9, "x" * 100_000, "s"), (10, text(40) + "\n\n" + text(40), "s")]
+    df = spark.createDataFrame([(*x, *range(len(names))) for x in rows], "doc_id long, text string, source string, " + ", ".join(f"`{n}` long" for n in names))
+    df.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, text(20)), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    for k, (name, f) in enumerate(c.STAGES):
+        f(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/o{k}")
+        docs = spark.read.parquet(f"{tmp_path}/o{k}")
+        assert name == "tokens" or docs.columns == df.columns and docs.where("d = 11 AND `line` = 12 AND key = 0").count() == docs.count()
+        seen.append(sorted(((x.doc_id or 0, len(x.text.split())) for x in docs.collect()), key=str) if name != "tokens" else None)
+    assert seen[0] == sorted([(1, 120), (1, 120), (1, 130), (0, 100), (5, 60_000), (6, 60_001), (10, 80)], key=str)
+    assert seen[1] == seen[2] == seen[3] == sorted([(1, 120), (1, 130), (0, 100), (5, 60_000), (10, 80)], key=str)
+    assert docs.count() == 5 and docs.where("NOT round_trip").count() == 0
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert c.run(spark, str(tmp_path)).count() == 0
