@@ -8,7 +8,8 @@ words, or less than half of them, are left.
 
 Lines are counted in two steps, by document first, so a line that a third of
 all rows share doesn't meet in one task. The table of frequent lines is sent to
-the tasks only if it has at most BROADCAST_ROWS rows; else it is joined.
+the tasks only if it has at most BROADCAST_ROWS rows; else it is joined, each
+of its rows SALTS times, so that a line of many documents meets in many tasks.
 Defined results: null and empty texts have no words and fail; a null host is a
 host of its own; a null doc_id is a document of its own; repeated rows count
 as one document; extra columns are ignored.
@@ -30,6 +31,7 @@ MIN_DOCS, SHARE = 5, 0.1
 MIN_WORDS, MIN_LEFT = 10, 0.5
 #: Rows of 8 to about 50 bytes: a few MB.
 BROADCAST_ROWS = 100_000
+SALTS = 32
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SYMBOLS = vec.table(b"#*$%&|<>")
 
@@ -100,8 +102,12 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, min_w
     """Per row of prepare(): its counts, base_failed, the words and lines that are removed, and kept."""
     lines, often = frequent_lines(docs, min_docs, share)
     often = common.cut(often)
-    side = F.broadcast(often) if often.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else often
-    hit = lines.alias("l").join(side.alias("f"), F.expr("l.line = f.line AND l.host <=> f.host"), "left_semi")
+    same = "l.line = f.line AND l.host <=> f.host"
+    if often.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        hit = lines.alias("l").join(F.broadcast(often).alias("f"), F.expr(same), "left_semi")
+    else:
+        salted = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hit = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "key"), F.lit(SALTS)).cast("int")).alias("l").join(salted.alias("f"), F.expr(f"{same} AND l.salt = f.salt"), "left_semi")
     gone = hit.groupBy("doc_id", "key").agg(F.sum("words").alias("gone_words"), F.collect_list("line").alias("gone_lines")).alias("g")
     out = counts(docs).alias("c").join(gone, F.expr("c.doc_id <=> g.doc_id AND c.key = g.key"), "left")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

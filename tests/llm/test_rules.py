@@ -49,6 +49,15 @@ def test_depleted(spark):
     assert got == {i: i > 0 for i in range(10)}
 
 
+def test_joined_like_broadcast(spark, monkeypatch):
+    rows = [(i, "\n".join(f"shared line number {j} of a host" for j in range(i % 7)) + "\n" + " ".join(f"c{i}_{j}" for j in range(30)), "ab"[i % 2]) for i in range(60)]
+    df = quality_lines.prepare(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    take = lambda: sorted((r.doc_id, r.n_removed_words, sorted(r.gone_lines), r.kept) for r in quality_lines.judge(df).collect())
+    want = take()
+    monkeypatch.setattr(quality_lines, "BROADCAST_ROWS", 0)
+    assert take() == want and max(x[1] for x in want) > 0
+
+
 def test_layout():
     x = html_layout.extract_text
     assert x("<title>no</title>a<p>one<p>two &amp; <b>b</b>old") == "a\n\none\n\ntwo & bold"
