@@ -149,15 +149,14 @@ def build_settings(args: argparse.Namespace) -> Settings:
 def main(argv: list[str] | None = None) -> int:
     """0 if all images were read, 1 without images, 2 if one failed."""
     args = parse_args(argv)
-    if args.line_backend != "cv":
-        raise ImportError("no such line detector is installed; pass its lines to layout(lines=...)")
+    detector = None if args.line_backend == "cv" else script.neural(args.kraken_model, args.device)
     logging.basicConfig(level=logging.DEBUG if args.verbose else logging.INFO)
     spark = SparkSession.builder.getOrCreate()
     images = list_images(spark, args.input, args.recursive)
     if images.select("path").isEmpty():
         return 1
     settings = build_settings(args)
-    results = staged(layout(images, settings, read=script.recogniser() if settings.use_ocr_script_check else None))
+    results = staged(layout(images, settings, read=script.recogniser() if settings.use_ocr_script_check else None, detector=detector))
     base = args.input if "://" in args.input else str(Path(args.input).absolute())
     base = base.rpartition("/")[0] if images.select("path").where(F.col("path").endswith(base)).count() else base
     write_documents(results, images, args.output, base, args.draw_lines)

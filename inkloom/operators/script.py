@@ -10,6 +10,7 @@ from __future__ import annotations
 import importlib
 import re
 from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 import numpy as np
 
@@ -89,6 +90,35 @@ def recogniser() -> Recogniser | None:
     return read
 
 
+@lru_cache(1)
+def _network(path: str):
+    """The segmentation model in a file, by whichever loader this release of the library has."""
+    errors = []
+    for module, name in (("kraken.lib.vgsl", "TorchVGSLModel.load_model"), ("kraken.models", "load_models")):
+        try:
+            load = importlib.import_module(module)
+            for part in name.split("."):
+                load = getattr(load, part)
+            return load(path)
+        except Exception as e:  # another release keeps its loader elsewhere
+            errors.append(f"{module}: {e}")
+    raise RuntimeError(f"no loader reads {path}: {'; '.join(errors)}")
+
+
+def neural(model: str | None = None, device: str = "cpu") -> Detector:
+    """The baseline segmenter of the library kraken as a detector; each worker loads its model once. An ImportError where the library isn't installed."""
+    importlib.import_module("kraken.blla")
+
+    def find(bgr: np.ndarray, mask: np.ndarray) -> list[np.ndarray]:
+        image = importlib.import_module("PIL.Image").fromarray(bgr[:, :, ::-1])
+        found = importlib.import_module("kraken.blla").segment(image, device=device, **({"model": _network(model)} if model else {}))
+        lines = found["lines"] if isinstance(found, dict) else found.lines
+        outlines = (x.get("boundary") if isinstance(x, dict) else getattr(x, "boundary", None) for x in lines)
+        return [np.asarray(x, float) for x in outlines if x is not None and len(x)]
+
+    return find
+
+
 def detected(outlines: Iterable[np.ndarray], mask: np.ndarray, ink: np.ndarray) -> list[dict]:
     """Lines of a detector's outlines whose box has its centre on the paper, with the ink in the box."""
     out = []

@@ -1,4 +1,8 @@
+import sys
+import types
+
 import numpy as np
+import pytest
 
 from inkloom import layout
 from inkloom.config import Settings
@@ -45,6 +49,26 @@ def test_lines_of_a_detector():
     assert [(r["x1"], r["y1"], r["x2"], r["y2"]) for r in rows] == [(120, 170, 580, 184), (120, 206, 580, 220)] and all(r["ink_px"] > 0 for r in rows)
 
 
+def test_a_segmenter_that_is_installed(monkeypatch):
+    calls = []
+
+    def segment(image, device, model=None):
+        calls.append((image.shape, device, model))
+        return types.SimpleNamespace(lines=[types.SimpleNamespace(boundary=[(1, 2), (30, 9)]), types.SimpleNamespace(boundary=None)])
+
+    fake = {"kraken": types.ModuleType("kraken"), "kraken.blla": types.SimpleNamespace(segment=segment), "kraken.models": types.SimpleNamespace(load_models=lambda path: f"net of {path}"), "PIL": types.ModuleType("PIL"), "PIL.Image": types.SimpleNamespace(fromarray=lambda a: a)}
+    with pytest.raises(ImportError):
+        layout.main(["-i", "x", "-o", "y", "--line-backend", "kraken"])
+    for name, module in fake.items():
+        monkeypatch.setitem(sys.modules, name, module)
+    page = np.zeros((10, 40, 3), np.uint8)
+    (outline,) = script.neural("m.bin", "gpu")(page, page[..., 0])
+    assert outline.tolist() == [[1, 2], [30, 9]] and calls == [((10, 40, 3), "gpu", "net of m.bin")]
+    with pytest.raises(RuntimeError):
+        monkeypatch.delitem(sys.modules, "kraken.models")
+        script._network("other.bin")
+
+
 def test_documents_with_a_recogniser(spark):
     images = spark.createDataFrame([("a.png", encode_png(draw()))], "path string, content binary")
     read = lambda part: [("Printed", 95.0), ("English", 95.0)]
