@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ CHUNK_BYTES = 4 << 20
 PARQUET_SHARE = 0.5
 #: Estimates above this are none.
 UNKNOWN = 1 << 50
+#: With it, a job's shuffle files go at its end; else they stay until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,11 +42,26 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_folder(spark)
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Jobs started in it leave no shuffle files behind."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """The frame written to a table in the shared folder and read back: cuts lineage, survives lost executors."""
+    """The frame written to a table in the shared folder and read back: cuts lineage, survives lost executors, and frees what was shuffled for it."""
     spark = spark or df.sparkSession
     path = shared_dir(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    with released(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -179,6 +179,11 @@ def describe_docs(docs: DataFrame, size: int) -> DataFrame:
     return _sets(docs, size, ["doc_id", "key"], "doc_id long, key long, n long, sig long, lows array<long>, point binary", f)
 
 
+def _ident(doc_id: str) -> tuple:
+    """A doc_id that may be null as two columns that join by plain equality, so that a join and a grouping by them share one exchange."""
+    return F.coalesce(doc_id, F.lit(0)).alias("id"), F.isnull(doc_id).alias("no_id")
+
+
 def _spread(docs: DataFrame, wanted: DataFrame, size: int, by: str) -> DataFrame:
     """Sets of the wanted classes: rows (block, sig, set) for each element of the array column `by`. Of the rows with a class's doc_id and text one is taken, whether the doc_id is null or not."""
 
@@ -188,8 +193,9 @@ def _spread(docs: DataFrame, wanted: DataFrame, size: int, by: str) -> DataFrame
         who = np.repeat(np.arange(part.num_rows), n)
         return pa.RecordBatch.from_arrays([part.column(1).flatten(), part.column(0).take(pa.array(who)), pa.array([sets[i] for i in who], pa.binary())], names=["block", "sig", "shingles"])
 
-    both = docs.alias("d").join(wanted.alias("w"), F.expr("d.doc_id <=> w.rep AND d.key = w.key"))
-    one = both.groupBy("w.rep", "w.key", "w.sig").agg(F.first(f"w.{by}").alias(by), F.first("d.text").alias("text"))
+    rows = docs.select(*_ident("doc_id"), "key", "text")
+    both = rows.join(wanted.select(*_ident("rep"), "key", "sig", by), ["id", "no_id", "key"])
+    one = both.groupBy("id", "no_id", "key", "sig").agg(F.first(by).alias(by), F.first("text").alias("text"))
     return _sets(one, size, ["sig", by], "block long, sig long, shingles binary", f)
 
 
@@ -295,9 +301,10 @@ def join(docs: DataFrame, size: int = SIZE, num: int = NUM, den: int = DEN) -> D
 
 def apply(docs: DataFrame, **options) -> DataFrame:
     """One document of each component stays, that with the smallest doc_id (of the least hash of the text where all are null or several have it); documents without words stay; of equal rows one stays."""
-    keep = join(docs, **options).where("first").select("doc_id", "key").distinct().alias("k")
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).alias("d")
-    return rows.join(keep, F.expr("d.id <=> k.doc_id AND d.key = k.key"), "left_semi").groupBy("id", "key").agg(F.first("row").alias("row")).select("row.*")
+    keep = join(docs, **options).where("first").select(*_ident("doc_id"), "key").distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).select(*_ident("doc"), "key", "row")
+    by = ["id", "no_id", "key"]
+    return rows.join(keep, by, "left_semi").groupBy(*by).agg(F.first("row").alias("row")).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

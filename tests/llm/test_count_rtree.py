@@ -1,7 +1,10 @@
 import random
+import time
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from inkloom.llm import common
 from inkloom.llm import count_rtree as m
 
 
@@ -120,3 +123,34 @@ def test_components(spark):
         boss[y] = x
     got = {x.id: x.component for x in m.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {v: top(v) for v in boss if top(v) != v}
+
+
+def test_a_cut_leaves_no_shuffle_files(spark):
+    key = common.CLEANUP
+
+    def written():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {x for i in range(files.size()) if (x := files.apply(i).getName()).startswith("shuffle_")}
+
+    before, had = written(), spark.conf.get(key, None)
+    got = common.cut(spark.range(5000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    end = time.time() + 20
+    while written() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not written() - before
+    assert got.count() == 7 and spark.conf.get(key, None) == had
+
+
+def test_a_semi_join_and_its_grouping_share_one_exchange_of_the_rows(spark):
+    docs = spark.createDataFrame([(0, "a b c d e f"), (None, "a b c d e f"), (None, "u v w x y z"), (0, "k l m n o p"), (0, "k l m n o p")], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = m.apply(docs)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        rows = sorted(map(tuple, got.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    top = plan[: plan.index("LeftSemi")]
+    assert "Exchange" not in top
+    assert rows == [(0, "a b c d e f"), (0, "k l m n o p"), (None, "u v w x y z")]
