@@ -50,17 +50,29 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array(c, k) for n, c, k in zip(_COLS, cols, kinds, strict=True)})
 
 
-def _get(t: pa.Table, column: str, dtype) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py(), dtype) for x in t.column(column)]
-
-
 def _pack(x: np.ndarray) -> bytes:
-    """Integers by planes of bytes, so that compression takes the zeros."""
-    return np.ascontiguousarray(x.ravel().astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Integers by planes of bytes, compressed; their number comes first."""
+    planes = np.ascontiguousarray(x.ravel().astype(np.int64, copy=False).view(np.uint8).reshape(-1, 8).T)
+    return np.int64(x.size).tobytes() + (pa.compress(planes, codec="zstd", asbytes=True) if x.size else b"")
 
 
 def _unpack(t: pa.Table, column: str, rows: int = 1) -> list[np.ndarray]:
-    return [np.ascontiguousarray(np.frombuffer(x.as_py(), np.uint8).reshape(8, -1).T).view(np.int64).reshape(rows, -1) for x in t.column(column)]
+    out = []
+    for x in t.column(column):
+        raw = x.as_py()
+        size = 8 * int(np.frombuffer(raw, np.int64, 1)[0])
+        planes = np.frombuffer(pa.decompress(raw[8:], size, codec="zstd") if size else b"", np.uint8).reshape(8, -1)
+        out.append(np.ascontiguousarray(planes.T).view(np.int64).reshape(rows, -1))
+    return out
+
+
+def _keys(t: pa.Table, column: str) -> list[np.ndarray]:
+    return [x[0].view(np.uint64) for x in _unpack(t, column)]
+
+
+def _edge(ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Keys of (context, follower)."""
+    return vec.mix(vec.mix(ctx ^ _K) + vec.mix(word))
 
 
 class Tokens:
@@ -91,18 +103,20 @@ def ask_words(chunk: int, t: pa.Table, buckets: int) -> pa.Table:
     n = np.bincount(k.id[k.train], minlength=len(k.words)).astype(np.int64)
     order, at = _deal(k.words, buckets)
     w, n = k.words[order], n[order]
-    return _table([(chunk, b, 0, w[lo:hi].tobytes(), _pack(n[lo:hi]), b"", b"", b"", b"") for b, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if hi > lo])
+    return _table([(chunk, b, 0, _pack(w[lo:hi].view(np.int64)), _pack(n[lo:hi]), b"", b"", b"", b"") for b, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if hi > lo])
 
 
 def answer_words(t: pa.Table) -> pa.Table:
-    """To each chunk: the counts of its words; and to no chunk, statistics of the bucket: tokens and types, those of frequent words, types seen once and twice."""
-    keys, counts = _get(t, "a", np.uint64), [x[0] for x in _unpack(t, "b")]
+    """To each chunk: the counts of its words and the frequent ones' numbers in the bucket; and to no chunk, statistics of the bucket: tokens and types, those of frequent words, types seen once and twice."""
+    keys, counts = _keys(t, "a"), [x[0] for x in _unpack(t, "b")]
     values, inv = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(inv, weights=np.concatenate(counts), minlength=len(values)).astype(np.int64)
-    top = total[total >= MIN_COUNT]
+    often = total >= MIN_COUNT
+    top = total[often]
+    facts = np.stack([total, np.where(often, np.cumsum(often), 0)])
     stats = np.array([total.sum(), (total > 0).sum(), top.sum(), len(top), (total == 1).sum(), (total == 2).sum()], np.int64)
     at = np.concatenate(([0], np.cumsum([len(x) for x in keys])))
-    answers = [(c.as_py(), b.as_py(), 1, b"", _pack(total[inv[lo:hi]]), b"", b"", b"", b"") for c, b, lo, hi in zip(t.column("chunk"), t.column("bucket"), at[:-1], at[1:], strict=True)]
+    answers = [(c.as_py(), b.as_py(), 1, b"", _pack(facts[:, inv[lo:hi]]), b"", b"", b"", b"") for c, b, lo, hi in zip(t.column("chunk"), t.column("bucket"), at[:-1], at[1:], strict=True)]
     return _table([*answers, (-1, -1, 4, b"", b"", b"", b"", b"", b"", stats.tolist())])
 
 
@@ -120,30 +134,33 @@ class Root:
         return np.where(c > 0, (c - self.d) / max(self.n, 1), self.unknown)
 
 
-def known(k: Tokens, t: pa.Table, buckets: int) -> np.ndarray:
-    """The corpus count of each of the chunk's words."""
+def known(k: Tokens, t: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The corpus count of each of the chunk's words, and its name: a number that frequent words have in all chunks, shorter than their hash."""
     t = t.filter(pa.array(np.asarray(t.column("kind")) == 1))
     t = t.take(np.argsort(np.asarray(t.column("bucket"))))
     order, _ = _deal(k.words, buckets)
-    n = np.empty(len(order), np.int64)
-    n[order] = np.concatenate(_unpack(t, "b"), axis=1)[0]
-    return n
+    facts = _unpack(t, "b", 2)
+    bucket = np.repeat(np.asarray(t.column("bucket")), [x.shape[1] for x in facts])
+    both = np.empty((2, len(order)), np.int64)
+    both[:, order] = np.concatenate(facts, axis=1)
+    both[1, order] = both[1, order] * buckets + bucket
+    return both[0], both[1].view(np.uint64)
 
 
 class Paths:
     """Contexts of a chunk's tokens: for each position with a candidate context, the context's row and that of the (context, follower) pair."""
 
-    def __init__(self, k: Tokens, count: np.ndarray, root: Root):
-        c = count[k.id]
+    def __init__(self, k: Tokens, count: np.ndarray, name: np.ndarray, root: Root):
+        c, h = count[k.id], name[k.id]
         often, often2 = c >= MIN_COUNT, c >= root.pair
         at1 = np.flatnonzero(k.own[1:] == k.own[:-1]) + 1
         at1 = at1[often[at1 - 1]]
         at2 = at1[at1 >= 2]
         at2 = at2[(k.own[at2 - 2] == k.own[at2]) & often2[at2 - 2] & often2[at2 - 1]]
         self.at = np.concatenate([at1, at2])
-        pair = vec.mix(k.h[at2 - 2] * _K ^ k.h[at2 - 1])
-        ctx = np.concatenate([k.h[at1 - 1], pair])
-        self.last = np.concatenate([k.h[at1 - 1], k.h[at2 - 1]])
+        pair = vec.mix(h[at2 - 2] * _K ^ h[at2 - 1])
+        ctx = np.concatenate([h[at1 - 1], pair])
+        self.last = np.concatenate([h[at1 - 1], h[at2 - 1]])
         self.order = np.repeat(np.array([1, 2], np.int64), [len(at1), len(at2)])
         self.ctx, first, self.row = np.unique(ctx, return_index=True, return_inverse=True)
         self.ctx_last, self.ctx_order = self.last[first], self.order[first]
@@ -152,11 +169,11 @@ class Paths:
         self.ctx_n = seen
         self.often = often[self.at]
         f = np.flatnonzero(self.often)
-        edge = vec.mix(ctx[f] + vec.mix(k.h[self.at[f]]))
+        edge = _edge(ctx[f], h[self.at[f]])
         self.edge, first, self.edge_row = np.unique(edge, return_index=True, return_inverse=True)
         self.edge_at = f
         self.edge_ctx = self.row[f[first]]
-        self.edge_word = k.h[self.at[f[first]]]
+        self.edge_word = h[self.at[f[first]]]
         self.edge_count = c[self.at[f[first]]]
         self.edge_n = np.bincount(self.edge_row[train[f]], minlength=len(self.edge)).astype(np.int64)
 
@@ -165,7 +182,7 @@ def ask_paths(chunk: int, t: pa.Table, answers: pa.Table, buckets: int) -> pa.Ta
     if not t.num_rows:
         return _table([])
     k, root = Tokens(t), Root(answers)
-    p = Paths(k, known(k, answers, buckets), root)
+    p = Paths(k, *known(k, answers, buckets), root)
     order, at = _deal(p.ctx_last, buckets)
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
@@ -178,25 +195,30 @@ def ask_paths(chunk: int, t: pa.Table, answers: pa.Table, buckets: int) -> pa.Ta
         lo, hi, i, j = at[b], at[b + 1], e_at[b], e_at[b + 1]
         if hi > lo:
             o, e = order[lo:hi], e_order[i:j]
-            info = np.stack([(p.ctx_last[o] ^ p.ctx[o]).view(np.int64), p.ctx_order[o], p.ctx_n[o]])
-            rows.append((chunk, b, 2, p.ctx[o].tobytes(), _pack(info), _pack(np.diff(e_ctx[i:j] - lo, prepend=0)), p.edge_word[e].tobytes(), head, _pack(np.stack([p.edge_count[e], p.edge_n[e]]))))
+            info = np.stack([p.ctx_last[o].view(np.int64), p.ctx_order[o], p.ctx_n[o]])
+            words, first, at_word = np.unique(p.edge_word[e], return_index=True, return_inverse=True)
+            words = np.stack([np.diff(words.view(np.int64), prepend=0), p.edge_count[e[first]]])
+            rows.append((chunk, b, 2, _pack(np.where(p.ctx_order[o] == 2, p.ctx[o], 0)), _pack(info), _pack(np.diff(e_ctx[i:j] - lo, prepend=0)), _pack(words), head, _pack(np.stack([at_word, p.edge_n[e]]))))
     return _table(rows)
 
 
 def answer_paths(t: pa.Table) -> pa.Table:
     """To each chunk, for its contexts: retained, tokens, those with a frequent follower, and frequent followers; for its pairs: tokens."""
-    keys, info = _get(t, "a", np.uint64), _unpack(t, "b", 3)
+    info = _unpack(t, "b", 3)
+    keys = [np.where(x[1] == 1, x[0].view(np.uint64), a) for a, x in zip(_keys(t, "a"), info, strict=True)]
     often, d, total = np.frombuffer(t.column("e")[0].as_py(), np.float64).tolist()
-    lists, counts = [x[0].cumsum() for x in _unpack(t, "c")], np.concatenate(_unpack(t, "f", 2), axis=1)
+    lists = [x[0].cumsum() for x in _unpack(t, "c")]
+    edges, words = _unpack(t, "f", 2), _unpack(t, "d", 2)
     ctx, first, inv = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     info_all = np.concatenate(info, axis=1)
-    last, order = info_all[0][first].view(np.uint64) ^ ctx, info_all[1][first]
+    last, order = info_all[0][first].view(np.uint64), info_all[1][first]
     c = np.bincount(inv, weights=info_all[2], minlength=len(ctx)).astype(np.float64)
     base = np.concatenate(([0], np.cumsum([len(x) for x in keys])))
     e_ctx = np.concatenate([inv[x + b] for x, b in zip(lists, base[:-1], strict=True)])
-    word, n = np.concatenate(_get(t, "d", np.uint64)), counts[1]
-    root = (counts[0] - d) / max(total, 1)
-    edge, e_first, e_inv = np.unique(vec.mix(ctx[e_ctx] + vec.mix(word)), return_index=True, return_inverse=True)
+    word = np.concatenate([w[0].cumsum()[x[0]] for w, x in zip(words, edges, strict=True)]).view(np.uint64)
+    root = (np.concatenate([w[1][x[0]] for w, x in zip(words, edges, strict=True)]) - d) / max(total, 1)
+    n = np.concatenate([x[1] for x in edges])
+    edge, e_first, e_inv = np.unique(_edge(ctx[e_ctx], word), return_index=True, return_inverse=True)
     n = np.bincount(e_inv, weights=n, minlength=len(edge)).astype(np.float64)
     e_ctx, word, suffix = e_ctx[e_first], word[e_first], root[e_first].copy()
     seen = np.bincount(e_ctx, weights=n, minlength=len(ctx))
@@ -212,7 +234,7 @@ def answer_paths(t: pa.Table) -> pa.Table:
             has = mine & (ctx[at] == last) & keep[at]
             part[has] = ((seen + 0.5) / (c + 1))[at[has]]
             e = np.flatnonzero(has[e_ctx])
-            up = vec.mix(last[e_ctx[e]] + vec.mix(word[e]))
+            up = _edge(last[e_ctx[e]], word[e])
             where = np.minimum(np.searchsorted(edge, up), len(edge) - 1)
             ok = edge[where] == up
             suffix[e[ok]] = out[where[ok]]
@@ -240,13 +262,13 @@ def score(chunk: int, t: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     k = Tokens(t)
     kind = np.asarray(answers.column("kind"))
     found = answers.filter(pa.array(kind == 3))
-    root, count = Root(answers), known(k, answers, buckets)
+    root, (count, name) = Root(answers), known(k, answers, buckets)
     c = count[k.id]
     p = root.p(c)
     used = np.zeros(len(p), np.int64)
     if found.num_rows:
         found = found.take(np.argsort(np.asarray(found.column("bucket"))))
-        q = Paths(k, count, root)
+        q = Paths(k, count, name, root)
         order, _ = _deal(q.ctx_last, buckets)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))

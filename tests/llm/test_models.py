@@ -200,3 +200,15 @@ def test_best_pairs_of_languages_are_found(langs):
         pairs += best > single
         assert value(shares[:, i] / shares[:, i].sum()) >= max(single, best) - 0.1, i
     assert pairs >= 10
+
+
+def test_contexts_are_sent_in_few_bytes():
+    r = random.Random(3)
+    texts = [" ".join(f"word{int(r.paretovariate(0.7)) % 5000}" for _ in range(400)) for _ in range(100)]
+    t = pa.table({"doc_id": list(range(100)), "text": texts, "held": [False] * 100})
+    answers = suffix_tree_lm.answer_words(suffix_tree_lm.ask_words(0, t, 1))
+    sent = suffix_tree_lm.ask_paths(0, t, answers, 1)
+    k = suffix_tree_lm.Tokens(t)
+    p = suffix_tree_lm.Paths(k, *suffix_tree_lm.known(k, answers, 1), suffix_tree_lm.Root(answers))
+    size = sum(len(x.as_py()) for c in "abcdef" for x in sent.column(c))
+    assert size < 5 * (len(p.edge) + len(p.ctx))  # hashes and a count for each took 75,875 bytes under LZ4, 328,216 without
