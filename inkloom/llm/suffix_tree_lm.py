@@ -67,7 +67,8 @@ def _unpack(t: pa.Table, column: str, rows: int = 1) -> list[np.ndarray]:
 
 
 def _keys(t: pa.Table, column: str) -> list[np.ndarray]:
-    return [x[0].view(np.uint64) for x in _unpack(t, column)]
+    """Keys from their packed differences."""
+    return [x[0].cumsum().view(np.uint64) for x in _unpack(t, column)]
 
 
 def _edge(ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -91,10 +92,10 @@ class Tokens:
         self.words, self.id = np.unique(self.h, return_inverse=True)
 
 
-def _deal(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, bounds) of all buckets, empty ones too."""
+def _deal(key: np.ndarray, buckets: int, *by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, bounds) of all buckets, empty ones too; within a bucket by the keys of `by`, the last one first."""
     b = (vec.mix(key ^ _K) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(b, kind="stable")
+    order = np.lexsort((*by, b)) if by else np.argsort(b, kind="stable")
     return order, np.searchsorted(b[order], np.arange(buckets + 1))
 
 
@@ -103,7 +104,7 @@ def ask_words(chunk: int, t: pa.Table, buckets: int) -> pa.Table:
     n = np.bincount(k.id[k.train], minlength=len(k.words)).astype(np.int64)
     order, at = _deal(k.words, buckets)
     w, n = k.words[order], n[order]
-    return _table([(chunk, b, 0, _pack(w[lo:hi].view(np.int64)), _pack(n[lo:hi]), b"", b"", b"", b"") for b, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if hi > lo])
+    return _table([(chunk, b, 0, _pack(np.diff(w[lo:hi].view(np.int64), prepend=0)), _pack(n[lo:hi]), b"", b"", b"", b"") for b, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if hi > lo])
 
 
 def answer_words(t: pa.Table) -> pa.Table:
@@ -147,6 +148,11 @@ def known(k: Tokens, t: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]
     return both[0], both[1].view(np.uint64)
 
 
+def _pair(before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Keys of pairs of names."""
+    return vec.mix(before * _K ^ last)
+
+
 class Paths:
     """Contexts of a chunk's tokens: for each position with a candidate context, the context's row and that of the (context, follower) pair."""
 
@@ -158,12 +164,11 @@ class Paths:
         at2 = at1[at1 >= 2]
         at2 = at2[(k.own[at2 - 2] == k.own[at2]) & often2[at2 - 2] & often2[at2 - 1]]
         self.at = np.concatenate([at1, at2])
-        pair = vec.mix(h[at2 - 2] * _K ^ h[at2 - 1])
-        ctx = np.concatenate([h[at1 - 1], pair])
-        self.last = np.concatenate([h[at1 - 1], h[at2 - 1]])
+        ctx = np.concatenate([h[at1 - 1], _pair(h[at2 - 2], h[at2 - 1])])
+        before, last = np.concatenate([np.zeros(len(at1), np.uint64), h[at2 - 2]]), np.concatenate([h[at1 - 1], h[at2 - 1]])
         self.order = np.repeat(np.array([1, 2], np.int64), [len(at1), len(at2)])
         self.ctx, first, self.row = np.unique(ctx, return_index=True, return_inverse=True)
-        self.ctx_last, self.ctx_order = self.last[first], self.order[first]
+        self.ctx_before, self.ctx_last = before[first], last[first]
         train = k.train[self.at]
         seen = np.bincount(self.row[train], minlength=len(self.ctx)).astype(np.int64)
         self.ctx_n = seen
@@ -183,7 +188,7 @@ def ask_paths(chunk: int, t: pa.Table, answers: pa.Table, buckets: int) -> pa.Ta
         return _table([])
     k, root = Tokens(t), Root(answers)
     p = Paths(k, *known(k, answers, buckets), root)
-    order, at = _deal(p.ctx_last, buckets)
+    order, at = _deal(p.ctx_last, buckets, p.ctx_before, p.ctx_last)
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     e_order = np.argsort(place[p.edge_ctx], kind="stable")
@@ -195,23 +200,26 @@ def ask_paths(chunk: int, t: pa.Table, answers: pa.Table, buckets: int) -> pa.Ta
         lo, hi, i, j = at[b], at[b + 1], e_at[b], e_at[b + 1]
         if hi > lo:
             o, e = order[lo:hi], e_order[i:j]
-            info = np.stack([p.ctx_last[o].view(np.int64), p.ctx_order[o], p.ctx_n[o]])
+            names = p.ctx_last[o].view(np.int64), p.ctx_before[o].view(np.int64)
+            info = np.stack([*(np.diff(x, prepend=0) for x in names), p.ctx_n[o]])
             words, first, at_word = np.unique(p.edge_word[e], return_index=True, return_inverse=True)
             words = np.stack([np.diff(words.view(np.int64), prepend=0), p.edge_count[e[first]]])
-            rows.append((chunk, b, 2, _pack(np.where(p.ctx_order[o] == 2, p.ctx[o], 0)), _pack(info), _pack(np.diff(e_ctx[i:j] - lo, prepend=0)), _pack(words), head, _pack(np.stack([at_word, p.edge_n[e]]))))
+            rows.append((chunk, b, 2, b"", _pack(info), _pack(np.diff(e_ctx[i:j] - lo, prepend=0)), _pack(words), head, _pack(np.stack([at_word, p.edge_n[e]]))))
     return _table(rows)
 
 
 def answer_paths(t: pa.Table) -> pa.Table:
-    """To each chunk, for its contexts: retained, tokens, those with a frequent follower, and frequent followers; for its pairs: tokens."""
+    """To each chunk, for its contexts: retained, tokens, those with a frequent follower, and frequent followers; for its followers: tokens. Zeros where a context isn't retained."""
     info = _unpack(t, "b", 3)
-    keys = [np.where(x[1] == 1, x[0].view(np.uint64), a) for a, x in zip(_keys(t, "a"), info, strict=True)]
+    for x in info:
+        np.cumsum(x[:2], axis=1, out=x[:2])
+    keys = [np.where(x[1] > 0, _pair(x[1].view(np.uint64), x[0].view(np.uint64)), x[0].view(np.uint64)) for x in info]
     often, d, total = np.frombuffer(t.column("e")[0].as_py(), np.float64).tolist()
     lists = [x[0].cumsum() for x in _unpack(t, "c")]
     edges, words = _unpack(t, "f", 2), _unpack(t, "d", 2)
     ctx, first, inv = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     info_all = np.concatenate(info, axis=1)
-    last, order = info_all[0][first].view(np.uint64), info_all[1][first]
+    last, order = info_all[0][first].view(np.uint64), 1 + (info_all[1][first] > 0)
     c = np.bincount(inv, weights=info_all[2], minlength=len(ctx)).astype(np.float64)
     base = np.concatenate(([0], np.cumsum([len(x) for x in keys])))
     e_ctx = np.concatenate([inv[x + b] for x, b in zip(lists, base[:-1], strict=True)])
@@ -248,7 +256,7 @@ def answer_paths(t: pa.Table) -> pa.Table:
         out[e] = p
         keep |= mine & (part > 0) & (part < 1) & (gain > GAIN + kinds)
     sizes = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
-    facts = np.stack([keep, c, seen, kinds])
+    facts, n = np.stack([keep, c, seen, kinds]) * keep, n * keep[e_ctx]
     return _table([
         (ch.as_py(), b.as_py(), 3, b"", _pack(facts[:, inv[lo:hi]]), b"", _pack(n[e_inv[i:j]]), b"", b"")
         for ch, b, lo, hi, i, j in zip(t.column("chunk"), t.column("bucket"), base[:-1], base[1:], sizes[:-1], sizes[1:], strict=True)
@@ -269,7 +277,7 @@ def score(chunk: int, t: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     if found.num_rows:
         found = found.take(np.argsort(np.asarray(found.column("bucket"))))
         q = Paths(k, count, name, root)
-        order, _ = _deal(q.ctx_last, buckets)
+        order, _ = _deal(q.ctx_last, buckets, q.ctx_before, q.ctx_last)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         e_order = np.argsort(place[q.edge_ctx], kind="stable")
