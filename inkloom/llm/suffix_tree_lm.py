@@ -1,24 +1,27 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-States are contexts of up to two words, the root being the empty one. A context
-is a candidate if its words are frequent (at least MIN_COUNT tokens, whatever
-the size of the corpus; for either word of a pair, a share of P_PAIR besides),
-and is retained if its next-symbol
-distribution diverges from its suffix's: the training log likelihood gained
-must exceed GAIN nats and one more for each follower seen. Distributions are
-smoothed by absolute discounting: the root gives the discounted mass to one
-unknown symbol; a context first splits its mass between frequent and rare
-followers, gives what is discounted from frequent ones back in proportion to
-the suffix, and shares rare ones out like the suffix. A token is scored in the
-longest suffix of its history that is retained.
+States are contexts of any number of words, the root being the empty one. A
+context is a candidate if its words are frequent (at least MIN_COUNT tokens,
+whatever the size of the corpus) and it repeats (an inner node: REPEATED
+training tokens follow it), and is retained if its next-symbol distribution
+diverges from that of its longest suffix that is retained: the training log
+likelihood gained must exceed GAIN nats and one more for each follower seen.
+Distributions are smoothed by absolute discounting: the root gives the
+discounted mass to one unknown symbol; a context first splits its mass between
+frequent and rare followers, gives what is discounted from frequent ones back
+in proportion to the suffix, and shares rare ones out like the suffix. A token
+is scored in the longest suffix of its history that is retained.
 
 Texts are dealt out once to chunks. Chunks send their distinct words with
 counts to buckets, which answer with the corpus counts and parts of the corpus
 statistics; then they send counts of contexts and followers to buckets by the
-context's last word, which hold that word's whole subtree, test it, and answer
-with counts, from which the chunk computes probabilities. Only buckets that a
-chunk has words for get a row of it. The buckets' statistics are summed and one
-row goes to each chunk. No model is gathered in one place.
+context, which test it and answer with counts, from which the chunk computes
+probabilities: first contexts of one word, then those of two that repeat. What
+is open after that, contexts that longer ones could tell apart (`judge`), goes
+to buckets with the words before it, twice as many each round, and a bucket
+walks down them; rounds end when nothing is open. Only buckets that a chunk has
+words for get a row of it. The buckets' statistics are summed and one row goes
+to each chunk. No model is gathered in one place.
 
 Defined results: null and empty texts have the end token only; an empty
 training set gives every token probability 1 in `score`; a null doc_id counts
@@ -34,10 +37,15 @@ from pyspark.sql import functions as F
 
 from . import common, vec
 
-MIN_COUNT, P_PAIR, GAIN = 8, 1e-3, 10.0
+MIN_COUNT, REPEATED, GAIN = 8, 2, 10.0
+P_PAIR = 0.0  #: No share of the tokens is asked of a context's words.
 END = np.uint64(0x5EED0FE4D)
 CHUNK = 3 << 20
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_context long"
+DOCS = [x.split()[0] for x in SCHEMA.split(", ")]
+DOC_TYPES = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2, pa.int64()]
+AT = ["end", "reach", "doc", "n", "word", "used", "key", "p", "part"]
+STATE = ", ".join(["chunk int", "open long", "d double", *(f"{n} array<{t}>" for n, t in (x.split() for x in SCHEMA.split(", "))), *(f"{c} binary" for c in [*AT, "tok"])])
 ROWS = "chunk int, bucket int, kind int, a binary, b binary, c binary, d binary, e binary, f binary, stat array<bigint>"
 _COLS = [x.split()[0] for x in ROWS.split(", ")]
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -128,7 +136,6 @@ class Root:
         self.n, self.v, top_n, top_v, once, twice = t.filter(pa.array(np.asarray(t.column("kind")) == 4)).column("stat")[0].as_py()
         self.d = float(once / (once + 2 * twice)) if once and twice else 0.5  # between 0 and 1, so that unknown symbols and words seen once have a share
         self.unknown = self.d * self.v / self.n if self.n else 1.0
-        self.pair = max(P_PAIR * self.n, MIN_COUNT)
         self.often = float((top_n - self.d * top_v) / self.n) if self.n else 0.0
 
     def p(self, c: np.ndarray) -> np.ndarray:
@@ -154,45 +161,59 @@ def _pair(before: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 class Paths:
-    """Contexts of a chunk's tokens: for each position with a candidate context, the context's row and that of the (context, follower) pair."""
+    """Contexts of one length at a chunk's tokens `at`: each one's row, and that of its (context, follower) pair. By default contexts of one word."""
 
-    def __init__(self, k: Tokens, count: np.ndarray, name: np.ndarray, root: Root):
+    def __init__(self, k: Tokens, count: np.ndarray, name: np.ndarray, root: Root, at: np.ndarray | None = None):
         c, h = count[k.id], name[k.id]
-        often, often2 = c >= MIN_COUNT, c >= root.pair
-        at1 = np.flatnonzero(k.own[1:] == k.own[:-1]) + 1
-        at1 = at1[often[at1 - 1]]
-        at2 = at1[at1 >= 2]
-        at2 = at2[(k.own[at2 - 2] == k.own[at2]) & often2[at2 - 2] & often2[at2 - 1]]
-        self.at = np.concatenate([at1, at2])
-        ctx = np.concatenate([h[at1 - 1], _pair(h[at2 - 2], h[at2 - 1])])
-        before, last = np.concatenate([np.zeros(len(at1), np.uint64), h[at2 - 2]]), np.concatenate([h[at1 - 1], h[at2 - 1]])
-        self.order = np.repeat(np.array([1, 2], np.int64), [len(at1), len(at2)])
-        self.ctx, first, self.row = np.unique(ctx, return_index=True, return_inverse=True)
-        self.ctx_before, self.ctx_last = before[first], last[first]
-        train = k.train[self.at]
-        seen = np.bincount(self.row[train], minlength=len(self.ctx)).astype(np.int64)
-        self.ctx_n = seen
-        self.often = often[self.at]
+        often = c >= MIN_COUNT
+        if at is None:
+            at = np.flatnonzero(k.own[1:] == k.own[:-1]) + 1
+            at = at[often[at - 1]]
+            before, ctx = np.zeros(len(at), np.uint64), h[at - 1]
+        else:
+            before, ctx = h[at - 2], _pair(h[at - 2], h[at - 1])
+        self.at = at
+        self.ctx, self.first, self.row = np.unique(ctx, return_index=True, return_inverse=True)
+        self.ctx_before, self.ctx_last = before[self.first], h[at - 1][self.first]
+        train = k.train[at]
+        self.ctx_n = np.bincount(self.row[train], minlength=len(self.ctx)).astype(np.int64)
+        self.often = often[at]
         f = np.flatnonzero(self.often)
-        edge = _edge(ctx[f], h[self.at[f]])
+        edge = _edge(ctx[f], h[at[f]])
         self.edge, first, self.edge_row = np.unique(edge, return_index=True, return_inverse=True)
         self.edge_at = f
+        self.edge_first = f[first]
         self.edge_ctx = self.row[f[first]]
-        self.edge_word = h[self.at[f[first]]]
-        self.edge_count = c[self.at[f[first]]]
+        self.edge_word = h[at[f[first]]]
+        self.edge_count = c[at[f[first]]]
         self.edge_n = np.bincount(self.edge_row[train[f]], minlength=len(self.edge)).astype(np.int64)
 
+    def dealt(self, buckets: int) -> tuple[np.ndarray, ...]:
+        """Contexts by bucket, the bounds, the followers' order and each one's context in it."""
+        order, at = _deal(self.ctx, buckets, self.ctx_before, self.ctx_last)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        e_order = np.argsort(place[self.edge_ctx], kind="stable")
+        return order, at, e_order, place[self.edge_ctx[e_order]]
 
-def ask_paths(chunk: int, t: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
-    if not t.num_rows:
-        return _table([])
-    k, root = Tokens(t), Root(answers)
-    p = Paths(k, *known(k, answers, buckets), root)
-    order, at = _deal(p.ctx_last, buckets, p.ctx_before, p.ctx_last)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    e_order = np.argsort(place[p.edge_ctx], kind="stable")
-    e_ctx = place[p.edge_ctx[e_order]]
+    def read(self, found: pa.Table, buckets: int, size: int) -> np.ndarray:
+        """The answers of all `size` tokens: retained, tokens of the context, those with a frequent follower, frequent followers, open, tokens of the follower, and whether it was asked for."""
+        found = found.take(np.argsort(np.asarray(found.column("bucket"))))
+        order, _, e_order, _ = self.dealt(buckets)
+        out = np.zeros((7, size), np.int64)
+        out[6, self.at] = 1
+        if found.num_rows:
+            facts, n = np.empty((5, len(order)), np.int64), np.empty(len(e_order), np.int64)
+            facts[:, order] = np.concatenate(_unpack(found, "b", 5), axis=1)
+            n[e_order] = np.concatenate(_unpack(found, "d"), axis=1)[0]
+            out[:5, self.at] = facts[:, self.row]
+            out[5, self.at[self.edge_at]] = n[self.edge_row]
+        return out
+
+
+def _send(chunk: int, p: Paths, root: Root, buckets: int, below: np.ndarray | None = None) -> pa.Table:
+    """Counts of contexts and followers; `below` has the answers of the suffixes."""
+    order, at, e_order, e_ctx = p.dealt(buckets)
     e_at = np.searchsorted(e_ctx, at)
     head = np.array([root.often, root.d, root.n]).tobytes()
     rows = []
@@ -201,111 +222,292 @@ def ask_paths(chunk: int, t: pa.Table, answers: pa.Table, buckets: int) -> pa.Ta
         if hi > lo:
             o, e = order[lo:hi], e_order[i:j]
             names = p.ctx_last[o].view(np.int64), p.ctx_before[o].view(np.int64)
-            info = np.stack([*(np.diff(x, prepend=0) for x in names), p.ctx_n[o]])
+            info = [*(np.diff(x, prepend=0) for x in names), p.ctx_n[o]]
             words, first, at_word = np.unique(p.edge_word[e], return_index=True, return_inverse=True)
             words = np.stack([np.diff(words.view(np.int64), prepend=0), p.edge_count[e[first]]])
-            rows.append((chunk, b, 2, b"", _pack(info), _pack(np.diff(e_ctx[i:j] - lo, prepend=0)), _pack(words), head, _pack(np.stack([at_word, p.edge_n[e]]))))
+            tail, more = [at_word, p.edge_n[e]], b""
+            if below is not None:
+                last, first, inv = np.unique(names[0], return_index=True, return_inverse=True)
+                info[0] = np.diff(inv, prepend=0)
+                more = _pack(np.stack([np.diff(last, prepend=0), *below[:4, p.at[p.first[o[first]]]]]))
+                tail.append(below[5, p.at[p.edge_first[e]]])
+            rows.append((chunk, b, 2, more, _pack(np.stack(info)), _pack(np.diff(e_ctx[i:j] - lo, prepend=0)), _pack(words), head, _pack(np.stack(tail))))
     return _table(rows)
 
 
+def ask_paths(chunk: int, t: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
+    if not t.num_rows:
+        return _table([])
+    k, root = Tokens(t), Root(answers)
+    return _send(chunk, Paths(k, *known(k, answers, buckets), root), root, buckets)
+
+
+def _usual(n, d, kinds, q, part, c):
+    """A frequent follower's probability, q being the suffix's."""
+    return (np.maximum(n - d, 0) + (min(d, 1) * kinds + 0.5) * q / part) / (c + 1)
+
+
+def judge(d: float, e_ctx: np.ndarray, n: np.ndarray, q: np.ndarray, c: np.ndarray, part: np.ndarray):
+    """For contexts with c tokens and n of each frequent follower: retained, tokens with a frequent follower, frequent followers, whether a longer context can be retained, and the followers' probabilities and their sum in the longest state by now. q and part are the suffix's.
+
+    Not open, which loses no state: what repeats no more but as a whole (a longer context with the same tokens gains
+    less than its price), one follower (as its share grows with its tokens), and contexts of which no selection of
+    tokens could gain enough were all of its followers certain.
+    """
+    seen = np.bincount(e_ctx, weights=n, minlength=len(c)).astype(np.float64)
+    kinds = np.bincount(e_ctx, weights=n > 0, minlength=len(c)).astype(np.float64)
+    rest = c - seen
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p = _usual(n, d, kinds[e_ctx], q, part[e_ctx], c[e_ctx])
+        gain = np.bincount(e_ctx, weights=n * np.log(p / q), minlength=len(c)).astype(np.float64)
+        gain += np.where(rest > 0, rest * np.log((rest + 0.5) / (c + 1) / (1 - part)), 0)
+        sane = (part > 0) & (part < 1)
+        keep = sane & (c >= REPEATED) & (gain > GAIN + kinds)
+        q, part = np.where(keep[e_ctx], p, q), np.where(keep, (seen + 0.5) / (c + 1), part)
+        most = np.bincount(e_ctx, weights=np.maximum(-n * np.log(q) - 1, 0), minlength=len(c)) + np.where(rest > 0, -rest * np.log(1 - part), 0)
+        open_ = sane & (c > REPEATED) & (kinds + (rest > 0) > 1) & (most > GAIN)
+    return keep, seen, kinds, open_, q, part
+
+
 def answer_paths(t: pa.Table) -> pa.Table:
-    """To each chunk, for its contexts: retained, tokens, those with a frequent follower, and frequent followers; for its followers: tokens. Zeros where a context isn't retained."""
+    """To each chunk, for its contexts: retained, tokens, those with a frequent follower, frequent followers (zeros where it isn't retained), and open; for its followers: tokens, zero where that is neither of a retained context nor repeats."""
     info = _unpack(t, "b", 3)
     for x in info:
         np.cumsum(x[:2], axis=1, out=x[:2])
-    keys = [np.where(x[1] > 0, _pair(x[1].view(np.uint64), x[0].view(np.uint64)), x[0].view(np.uint64)) for x in info]
     often, d, total = np.frombuffer(t.column("e")[0].as_py(), np.float64).tolist()
+    pairs = len(t.column("a")[0].as_py()) > 0
+    if pairs:
+        lasts = _unpack(t, "a", 5)
+        below = np.concatenate([x[1:, i[0]] for x, i in zip(lasts, info, strict=True)], axis=1)
+        for x, i in zip(lasts, info, strict=True):
+            i[0] = x[0].cumsum()[i[0]]
+    keys = [_pair(x[1].view(np.uint64), x[0].view(np.uint64)) if pairs else x[0].view(np.uint64) for x in info]
     lists = [x[0].cumsum() for x in _unpack(t, "c")]
-    edges, words = _unpack(t, "f", 2), _unpack(t, "d", 2)
+    edges, words = _unpack(t, "f", 3 if pairs else 2), _unpack(t, "d", 2)
     ctx, first, inv = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    info_all = np.concatenate(info, axis=1)
-    last, order = info_all[0][first].view(np.uint64), 1 + (info_all[1][first] > 0)
-    c = np.bincount(inv, weights=info_all[2], minlength=len(ctx)).astype(np.float64)
+    c = np.bincount(inv, weights=np.concatenate([x[2] for x in info]), minlength=len(ctx)).astype(np.float64)
     base = np.concatenate(([0], np.cumsum([len(x) for x in keys])))
     e_ctx = np.concatenate([inv[x + b] for x, b in zip(lists, base[:-1], strict=True)])
     word = np.concatenate([w[0].cumsum()[x[0]] for w, x in zip(words, edges, strict=True)]).view(np.uint64)
-    root = (np.concatenate([w[1][x[0]] for w, x in zip(words, edges, strict=True)]) - d) / max(total, 1)
-    n = np.concatenate([x[1] for x in edges])
     edge, e_first, e_inv = np.unique(_edge(ctx[e_ctx], word), return_index=True, return_inverse=True)
-    n = np.bincount(e_inv, weights=n, minlength=len(edge)).astype(np.float64)
-    e_ctx, word, suffix = e_ctx[e_first], word[e_first], root[e_first].copy()
-    seen = np.bincount(e_ctx, weights=n, minlength=len(ctx))
-    kinds = np.bincount(e_ctx, weights=n > 0, minlength=len(ctx))
-    keep = np.zeros(len(ctx), bool)
-    part = np.full(len(ctx), often)  # the suffix's mass of frequent followers
-    out = np.full(len(edge), np.nan)
-    for level in (1, 2):
-        mine = order == level
-        if level == 2:  # the suffix of a pair is its last word, where that is retained
-            at = np.searchsorted(ctx, last)
-            at[at == len(ctx)] = 0
-            has = mine & (ctx[at] == last) & keep[at]
-            part[has] = ((seen + 0.5) / (c + 1))[at[has]]
-            e = np.flatnonzero(has[e_ctx])
-            up = _edge(last[e_ctx[e]], word[e])
-            where = np.minimum(np.searchsorted(edge, up), len(edge) - 1)
-            ok = edge[where] == up
-            suffix[e[ok]] = out[where[ok]]
-        e = np.flatnonzero(mine[e_ctx])
-        x = e_ctx[e]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            p = (np.maximum(n[e] - d, 0) + (np.minimum(d, 1) * kinds[x] + 0.5) * suffix[e] / part[x]) / (c[x] + 1)
-            gain = np.bincount(x, weights=n[e] * np.log(p / suffix[e]), minlength=len(ctx)).astype(np.float64)
-            rest = c - seen
-            gain += np.where(rest > 0, rest * np.log((rest + 0.5) / (c + 1) / (1 - part)), 0)
-        out[e] = p
-        keep |= mine & (part > 0) & (part < 1) & (gain > GAIN + kinds)
+    q = (np.concatenate([w[1][x[0]] for w, x in zip(words, edges, strict=True)])[e_first] - d) / max(total, 1)
+    n = np.bincount(e_inv, weights=np.concatenate([x[1] for x in edges]), minlength=len(edge)).astype(np.float64)
+    e_ctx, part = e_ctx[e_first], np.full(len(ctx), often)
+    if pairs:
+        had, of, seen, kinds = below[:, first]
+        n1 = np.concatenate([x[2] for x in edges])[e_first]
+        q = np.where(had[e_ctx] > 0, _usual(n1, d, kinds[e_ctx], q, often, of[e_ctx]), q)
+        part = np.where(had > 0, (seen + 0.5) / (of + 1), often)
+    keep, seen, kinds, open_, _, _ = judge(d, e_ctx, n, q, c, part)
     sizes = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
-    facts, n = np.stack([keep, c, seen, kinds]) * keep, n * keep[e_ctx]
+    facts, n = np.stack([keep, c * keep, seen * keep, kinds * keep, open_]), n * (keep[e_ctx] | (n >= REPEATED))
     return _table([
-        (ch.as_py(), b.as_py(), 3, b"", _pack(facts[:, inv[lo:hi]]), b"", _pack(n[e_inv[i:j]]), b"", b"")
+        (ch.as_py(), b.as_py(), 5 if pairs else 3, b"", _pack(facts[:, inv[lo:hi]]), b"", _pack(n[e_inv[i:j]]), b"", b"")
         for ch, b, lo, hi, i, j in zip(t.column("chunk"), t.column("bucket"), base[:-1], base[1:], sizes[:-1], sizes[1:], strict=True)
     ])
 
 
-def score(chunk: int, t: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
+def _of(answers: pa.Table, kind: int) -> pa.Table:
+    return answers.filter(pa.array(np.asarray(answers.column("kind")) == kind))
+
+
+def _two(k: Tokens, one: np.ndarray) -> np.ndarray:
+    """Tokens whose context of two words repeats and can be a state."""
+    at = np.flatnonzero(one[4] > 0)
+    at = at[at >= 2]
+    return at[(k.own[at - 2] == k.own[at]) & (one[6, at - 1] > 0) & (one[5, at - 1] >= REPEATED)]
+
+
+def ask_pairs(chunk: int, t: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     if not t.num_rows:
-        return pa.table({n: pa.array([], ty) for n, ty in zip(names, [pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2, pa.int64()], strict=True)})
-    k = Tokens(t)
-    kind = np.asarray(answers.column("kind"))
-    found = answers.filter(pa.array(kind == 3))
-    root, (count, name) = Root(answers), known(k, answers, buckets)
-    c = count[k.id]
-    p = root.p(c)
-    used = np.zeros(len(p), np.int64)
-    if found.num_rows:
-        found = found.take(np.argsort(np.asarray(found.column("bucket"))))
-        q = Paths(k, count, name, root)
-        order, _ = _deal(q.ctx_last, buckets, q.ctx_before, q.ctx_last)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        e_order = np.argsort(place[q.edge_ctx], kind="stable")
-        back = lambda o, x: (lambda y: (y.__setitem__(o, x), y)[1])(np.empty(len(o), x.dtype))
-        keep, of, seen, kinds = (back(order, x) for x in np.concatenate(_unpack(found, "b", 4), axis=1))
-        edge = back(e_order, np.concatenate(_unpack(found, "d"), axis=1)[0])
-        frequent = np.zeros(len(q.at), bool)
-        frequent[q.edge_at] = True
-        value = np.zeros(len(q.at))
-        value[q.edge_at] = edge[q.edge_row]
-        part = np.full(len(p), root.often)
-        for level in (1, 2):  # the longer context last, on top of its suffix
-            i = np.flatnonzero((keep[q.row] > 0) & (q.order == level))
-            at, x = q.at[i], q.row[i]
-            usual = (np.maximum(value[i] - root.d, 0) + (np.minimum(root.d, 1) * kinds[x] + 0.5) * p[at] / part[at]) / (of[x] + 1)
-            p[at] = np.where(frequent[i], usual, p[at] * (of[x] - seen[x] + 0.5) / (of[x] + 1) / (1 - part[at]))
-            part[at] = (seen[x] + 0.5) / (of[x] + 1)
-            used[at] = level
+        return _table([])
+    k, root = Tokens(t), Root(answers)
+    names = known(k, answers, buckets)
+    one = Paths(k, *names, root).read(_of(answers, 3), buckets, len(k.h))
+    return _send(chunk, Paths(k, *names, root, _two(k, one)), root, buckets, one)
+
+
+def _state(chunk: int, docs: list, at: dict[str, np.ndarray], tok: np.ndarray, d: float) -> pa.Table:
+    """A row of a chunk: its documents' columns, and the tokens whose longest state isn't known yet with the words before them."""
+    need = np.zeros(len(tok) + 1, np.int64)
+    np.add.at(need, at["end"] - at["reach"], 1)
+    np.add.at(need, at["end"], -1)
+    need = need.cumsum()[:-1] > 0
+    place = np.concatenate(([0], need.cumsum()))
+    at = at | {"end": place[at["end"]]}
+    packed = [_pack(at[c].view(np.int64)) for c in AT] + [_pack(tok[need].view(np.int64))]
+    names, kinds = [x.split()[0] for x in STATE.split(", ")], [pa.int32(), pa.int64(), pa.float64(), *[pa.list_(x) for x in DOC_TYPES], *[pa.binary()] * (len(AT) + 1)]
+    return pa.table({n: pa.array([v], ty) for n, v, ty in zip(names, [chunk, len(at["end"]), d, *docs, *packed], kinds, strict=True)})
+
+
+def start(chunk: int, t: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
+    """The chunk's scores with contexts of up to two words, and what longer ones can change."""
+    if not t.num_rows:
+        return pa.table({x.split()[0]: pa.array([], ty) for x, ty in zip(STATE.split(", "), [pa.int32(), pa.int64(), pa.float64(), *[pa.list_(x) for x in DOC_TYPES], *[pa.binary()] * (len(AT) + 1)], strict=True)})
+    k, root = Tokens(t), Root(answers)
+    count, name = known(k, answers, buckets)
+    c, h = count[k.id], name[k.id]
+    often = c >= MIN_COUNT
+    p, part, used = root.p(c), np.full(len(c), root.often), np.zeros(len(c), np.int64)
+    one = Paths(k, count, name, root).read(_of(answers, 3), buckets, len(c))
+    two = Paths(k, count, name, root, _two(k, one)).read(_of(answers, 5), buckets, len(c))
+    for level, x in ((1, one), (2, two)):  # the longer context last, on top of its suffix
+        at = np.flatnonzero(x[0] > 0)
+        _, of, seen, kinds, _, n, _ = x[:, at]
+        usual = _usual(n, root.d, kinds, p[at], part[at], of)
+        p[at] = np.where(often[at], usual, p[at] * (of - seen + 0.5) / (of + 1) / (1 - part[at]))
+        part[at] = (seen + 0.5) / (of + 1)
+        used[at] = level
+    repeats = (one[5] >= REPEATED) & np.concatenate(([False], one[5, :-1] >= REPEATED))  # the three words that end here
+    repeats = np.where(two[6] > 0, two[5] >= REPEATED, repeats) & (np.arange(len(c)) - k.first[:-1][k.own] >= 2)
+    bad = np.maximum.accumulate(np.where(repeats, -1, np.arange(len(c))))
+    at = np.flatnonzero(two[4] > 0)
+    at = at[repeats[at - 1]]
     per = lambda x: np.add.reduceat(x, k.first[:-1])
+    left = np.ones(len(p), bool)
+    left[at] = False
     base = np.log10((c + 1) / (root.n + 1.0 * (root.v + 1)))
-    n = np.diff(k.first)
-    cols = [t.column("doc_id"), t.column("held"), n, per((c > 0).astype(np.int64)), np.full(len(n), root.n, np.int64), per(base), per(np.log10(p)), per((used > 0).astype(np.int64))]
-    return pa.table(dict(zip(names, cols, strict=True)))
+    docs = [t.column("doc_id").to_pylist(), t.column("held").to_pylist(), np.diff(k.first), per((c > 0).astype(np.int64)), np.full(t.num_rows, root.n, np.int64), per(base), per(np.where(left, np.log10(p), 0)), per((left & (used > 0)).astype(np.int64))]
+    key = _pair(h[at - 2], h[at - 1])
+    values = {"end": at, "reach": at - bad[at - 1] + 1, "doc": k.own[at], "n": k.train[at].astype(np.int64), "word": np.where(often[at], h[at], 0).astype(np.int64), "used": used[at], "key": key, "p": p[at], "part": part[at]}
+    return _state(chunk, docs, values, h, root.d)
+
+
+class Open:
+    """The open tokens of a chunk's row, and the `width` words before their contexts of `length` words. Those with the same context, follower and words are one."""
+
+    def __init__(self, row: dict, length: int, width: int):
+        self.at = {c: _loads(row[c]) for c in AT}
+        self.at |= {"key": self.at["key"].view(np.uint64), "p": self.at["p"].view(np.float64), "part": self.at["part"].view(np.float64)}
+        self.tok = _loads(row["tok"])
+        a = self.at
+        key = _edge(a["key"], a["word"].view(np.uint64))
+        self.next = a["key"].copy()
+        for i in range(width):
+            w = self.words(a, length + i).view(np.uint64)
+            key = vec.mix(key * _K ^ w)
+            self.next = vec.mix(self.next * _K ^ w)
+        self.length, self.width = length, width
+        _, self.first, self.row = np.unique(key, return_index=True, return_inverse=True)
+
+    def words(self, a: dict, back: int) -> np.ndarray:
+        """The word that is so many words before a context's last one, or 0."""
+        return np.where(a["reach"] > back, self.tok[np.maximum(a["end"] - 1 - back, 0)], 0)
+
+    def dealt(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        key = self.at["key"][self.first]
+        return _deal(key, buckets, self.at["word"][self.first], key)
+
+
+def _loads(raw: bytes) -> np.ndarray:
+    return _unpack(pa.table({"x": pa.array([raw], pa.binary())}), "x")[0][0]
+
+
+def ask_open(row: dict, length: int, width: int, buckets: int) -> pa.Table:
+    o = Open(row, length, width)
+    order, at = o.dealt(buckets)
+    n = np.bincount(o.row, weights=o.at["n"], minlength=len(o.first)).astype(np.int64)
+    rows = []
+    for b, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)):
+        if hi > lo:
+            i = o.first[order[lo:hi]]
+            a = {c: x[i] for c, x in o.at.items()}
+            key, first, node = np.unique(a["key"], return_index=True, return_inverse=True)
+            info = np.stack([np.diff(key.view(np.int64), prepend=0), a["part"][first].view(np.int64)])
+            words = np.stack([o.words(a, length + x) for x in range(width)])
+            usual = a["word"] > 0
+            p = a["p"][usual]  # one for each (context, follower)
+            new = np.concatenate(([True], (node[usual][1:] != node[usual][:-1]) | (a["word"][usual][1:] != a["word"][usual][:-1])))[: len(p)]
+            rows.append((row["chunk"], b, 6, _pack(info), _pack(np.stack([np.diff(node, prepend=0), a["word"], n[order[lo:hi]]])), _pack(p[new].view(np.int64)), _pack(words), np.float64(row["d"]).tobytes(), b""))
+    return _table(rows)
+
+
+def answer_open(t: pa.Table, length: int, width: int) -> pa.Table:
+    """All states among the contexts that are up to `width` words longer. To each chunk, for its rows: the length of the longest state, whether it is open, and where there is a state the follower's probability (of a rare one, its factor), and the frequent ones' sum where it is open, too."""
+    d = float(np.frombuffer(t.column("e")[0].as_py(), np.float64)[0])
+    infos, rows, ps = _unpack(t, "a", 2), _unpack(t, "b", 3), _unpack(t, "c")
+    sizes = np.array([x.shape[1] for x in rows])
+    words = np.concatenate(_unpack(t, "d", width), axis=1)
+    keys, parts, p = [], [], []
+    for info, x, raw in zip(infos, rows, ps, strict=True):
+        node = x[0].cumsum()
+        keys.append(info[0].cumsum()[node])
+        parts.append(info[1][node].view(np.float64))
+        usual = x[1] > 0
+        new = np.concatenate(([True], (np.diff(node[usual]) != 0) | (np.diff(x[1][usual]) != 0)))[: usual.sum()]
+        mine = np.ones(len(node))
+        mine[usual] = raw[0].view(np.float64)[np.cumsum(new) - 1]
+        p.append(mine)
+    _, node = np.unique(np.concatenate(keys), return_inverse=True)
+    part, p = np.concatenate(parts), np.concatenate(p)
+    _, follower = np.unique(np.concatenate([x[1] for x in rows]), return_inverse=True)
+    usual = np.concatenate([x[1] for x in rows]) > 0
+    n = np.concatenate([x[2] for x in rows]).astype(np.float64)
+    used = np.zeros(len(n), np.int64)
+    here = np.arange(len(n))
+    most = int(follower.max()) + 1
+    for i in range(width):
+        here = here[words[i, here] > 0]
+        if not len(here):
+            break
+        _, w = np.unique(words[i, here], return_inverse=True)
+        _, first, ctx = np.unique(node[here] * (int(w.max()) + 1) + w, return_index=True, return_inverse=True)
+        node[here] = ctx
+        c = np.bincount(ctx, weights=n[here])
+        f = np.flatnonzero(usual[here])
+        edge, e_first, e_inv = np.unique(ctx[f] * most + follower[here[f]], return_index=True, return_inverse=True)
+        e_n = np.bincount(e_inv, weights=n[here[f]], minlength=len(edge))
+        e_ctx, before = ctx[f[e_first]], part[here[first]]
+        keep, seen, _, open_, q, after = judge(d, e_ctx, e_n, p[here[f[e_first]]], c, before)
+        p[here[f]] = q[e_inv]
+        r = np.flatnonzero(~usual[here] & keep[ctx])
+        x = ctx[r]
+        p[here[r]] *= (c[x] - seen[x] + 0.5) / (c[x] + 1) / (1 - before[x])
+        part[here] = after[ctx]
+        used[here[keep[ctx]]] = length + i + 1
+        here = here[open_[ctx]]
+    alive = np.zeros(len(n), np.int64)
+    alive[here] = 1
+    at = np.concatenate(([0], sizes.cumsum()))
+    out = []
+    for ch, b, lo, hi in zip(t.column("chunk"), t.column("bucket"), at[:-1], at[1:], strict=True):
+        s = used[lo:hi] > 0
+        out.append((ch.as_py(), b.as_py(), 7, b"", _pack(np.stack([used[lo:hi], alive[lo:hi]])), _pack(p[lo:hi][s].view(np.int64)), _pack(part[lo:hi][s & (alive[lo:hi] > 0)].view(np.int64)), b"", b""))
+    return _table(out)
+
+
+def take(row: dict, answers: pa.Table, length: int, width: int, buckets: int) -> pa.Table:
+    """The chunk's row after the answers."""
+    o = Open(row, length, width)
+    docs, a = [row[c] for c in DOCS], dict(o.at)
+    if answers.num_rows:
+        answers = answers.take(np.argsort(np.asarray(answers.column("bucket"))))
+        order, _ = o.dealt(buckets)
+        used, alive = np.concatenate(_unpack(answers, "b", 2), axis=1)
+        s = used > 0
+        p, part = np.ones(len(order)), np.zeros(len(order))
+        p[s] = np.concatenate([x[0] for x in _unpack(answers, "c")]).view(np.float64)
+        part[s & (alive > 0)] = np.concatenate([x[0] for x in _unpack(answers, "d")]).view(np.float64)
+        back = lambda x: (lambda y: (y.__setitem__(order, x), y)[1])(np.empty(len(order), x.dtype))[o.row]
+        used, alive, p, part = back(used), back(alive), back(p), back(part)
+        s = used > 0
+        a["p"] = np.where(s, np.where(a["word"] > 0, p, a["p"] * p), a["p"])
+        a["part"] = np.where(s, part, a["part"])
+        a["used"] = np.where(s, used, a["used"])
+        a["key"] = o.next
+        alive = (alive > 0) & (a["reach"] > length + width)
+        end = ~alive
+        size = len(docs[0])
+        docs[-2] = np.array(docs[-2]) + np.bincount(a["doc"][end], weights=np.log10(a["p"][end]), minlength=size)
+        docs[-1] = np.array(docs[-1]) + np.bincount(a["doc"][end], weights=a["used"][end] > 0, minlength=size).astype(np.int64)
+        a = {c: x[alive] for c, x in a.items()}
+    return _state(row["chunk"], docs, a, o.tok, row["d"])
 
 
 def scores(docs: DataFrame, chunks: int | None = None) -> DataFrame:
     """Scores of all rows of docs(doc_id, text, held), learning from those with held false."""
-    common.batches(docs.sparkSession)
+    spark = docs.sparkSession
+    common.batches(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("held", F.lit(False)).alias("held"))
     n = chunks or common.chunk_count(base, CHUNK)
     buckets = max(2, n // 3)
@@ -315,10 +517,31 @@ def scores(docs: DataFrame, chunks: int | None = None) -> DataFrame:
     total = told.where("kind = 4").agg(F.array(*(F.coalesce(F.sum(F.col("stat")[i]), F.lit(0)) for i in range(6))).alias("stat"))
     blank = [F.lit(None).cast("binary").alias(c) for c in "abcdef"]
     stats = total.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("chunk"), F.lit(-1).alias("bucket"), F.lit(4).alias("kind"), *blank, "stat")
-    vocab = told.where("kind = 1").unionAll(stats)
-    paths = dealt.groupBy("chunk").cogroup(vocab.groupBy("chunk")).applyInArrow(lambda key, t, a: ask_paths(key[0].as_py(), t, a, buckets), ROWS)
-    found = paths.groupBy("bucket").applyInArrow(lambda t: answer_paths(t), ROWS)
-    return dealt.groupBy("chunk").cogroup(vocab.unionAll(found).groupBy("chunk")).applyInArrow(lambda key, t, a: score(key[0].as_py(), t, a, buckets), SCHEMA)
+    known_ = told.where("kind = 1").unionAll(stats)
+    both = lambda f, schema: dealt.groupBy("chunk").cogroup(known_.groupBy("chunk")).applyInArrow(lambda key, t, a: f(key[0].as_py(), t, a, buckets), schema)
+    for ask in (ask_paths, ask_pairs):
+        known_ = known_.unionAll(both(ask, ROWS).groupBy("bucket").applyInArrow(lambda t: answer_paths(t), ROWS))
+    state, length = common.cut(both(start, STATE)), 2
+    while state.agg(F.sum("open")).first()[0]:
+        after = common.cut(longer(state, length, max(2, length), buckets))
+        common.remove(spark, state)
+        state, length = after, length + max(2, length)
+    return state.select(F.inline(F.arrays_zip(*DOCS)))
+
+
+def longer(state: DataFrame, length: int, width: int, buckets: int) -> DataFrame:
+    """The chunks' rows after contexts of up to `length` + `width` words."""
+
+    def ask(batches):
+        for x in batches:
+            for row in x.to_pylist():
+                yield from ask_open(row, length, width, buckets).to_batches()
+
+    def answered(key, t, a):
+        return take(t.to_pylist()[0], a, length, width, buckets)
+
+    found = state.where("open > 0").mapInArrow(ask, ROWS).groupBy("bucket").applyInArrow(lambda t: answer_open(t, length, width), ROWS)
+    return state.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(answered, STATE)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
