@@ -43,9 +43,10 @@ END = np.uint64(0x5EED0FE4D)
 CHUNK = 3 << 20
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_context long"
 DOCS = [x.split()[0] for x in SCHEMA.split(", ")]
-DOC_TYPES = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2, pa.int64()]
 AT = ["end", "reach", "doc", "n", "word", "used", "key", "p", "part"]
-STATE = ", ".join(["chunk int", "open long", "d double", *(f"{n} array<{t}>" for n, t in (x.split() for x in SCHEMA.split(", "))), *(f"{c} binary" for c in [*AT, "tok"])])
+_LISTS = [f"{n} array<{t}>" for n, t in (x.split() for x in SCHEMA.split(", "))]
+ONE = ", ".join(["chunk int", "d double", "often double", *_LISTS, "tok binary", "pairs binary", "words binary"])
+STATE = ", ".join(["chunk int", "open long", "d double", *_LISTS, *(f"{c} binary" for c in [*AT, "tok"])])
 ROWS = "chunk int, bucket int, kind int, a binary, b binary, c binary, d binary, e binary, f binary, stat array<bigint>"
 _COLS = [x.split()[0] for x in ROWS.split(", ")]
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -161,20 +162,17 @@ def _pair(before: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 class Paths:
-    """Contexts of one length at a chunk's tokens `at`: each one's row, and that of its (context, follower) pair. By default contexts of one word."""
+    """Contexts of one word at a chunk's tokens `at`: each one's row, and that of its (context, follower) pair."""
 
-    def __init__(self, k: Tokens, count: np.ndarray, name: np.ndarray, root: Root, at: np.ndarray | None = None):
+    def __init__(self, k: Tokens, count: np.ndarray, name: np.ndarray, root: Root):
         c, h = count[k.id], name[k.id]
         often = c >= MIN_COUNT
-        if at is None:
-            at = np.flatnonzero(k.own[1:] == k.own[:-1]) + 1
-            at = at[often[at - 1]]
-            before, ctx = np.zeros(len(at), np.uint64), h[at - 1]
-        else:
-            before, ctx = h[at - 2], _pair(h[at - 2], h[at - 1])
+        at = np.flatnonzero(k.own[1:] == k.own[:-1]) + 1
+        at = at[often[at - 1]]
         self.at = at
-        self.ctx, self.first, self.row = np.unique(ctx, return_index=True, return_inverse=True)
-        self.ctx_before, self.ctx_last = before[self.first], h[at - 1][self.first]
+        ctx = h[at - 1]
+        self.ctx, self.row = np.unique(ctx, return_inverse=True)
+        self.ctx_before, self.ctx_last = np.zeros(len(self.ctx), np.uint64), self.ctx
         train = k.train[at]
         self.ctx_n = np.bincount(self.row[train], minlength=len(self.ctx)).astype(np.int64)
         self.often = often[at]
@@ -182,7 +180,6 @@ class Paths:
         edge = _edge(ctx[f], h[at[f]])
         self.edge, first, self.edge_row = np.unique(edge, return_index=True, return_inverse=True)
         self.edge_at = f
-        self.edge_first = f[first]
         self.edge_ctx = self.row[f[first]]
         self.edge_word = h[at[f[first]]]
         self.edge_count = c[at[f[first]]]
@@ -211,11 +208,11 @@ class Paths:
         return out
 
 
-def _send(chunk: int, p: Paths, root: Root, buckets: int, below: np.ndarray | None = None) -> pa.Table:
-    """Counts of contexts and followers; `below` has the answers of the suffixes."""
+def _send(chunk: int, p: Paths | Pairs, head: list[float], buckets: int) -> pa.Table:
+    """Counts of contexts and followers; of pairs, with those of their suffixes."""
     order, at, e_order, e_ctx = p.dealt(buckets)
     e_at = np.searchsorted(e_ctx, at)
-    head = np.array([root.often, root.d, root.n]).tobytes()
+    head = np.array(head).tobytes()
     rows = []
     for b in range(buckets):
         lo, hi, i, j = at[b], at[b + 1], e_at[b], e_at[b + 1]
@@ -226,11 +223,11 @@ def _send(chunk: int, p: Paths, root: Root, buckets: int, below: np.ndarray | No
             words, first, at_word = np.unique(p.edge_word[e], return_index=True, return_inverse=True)
             words = np.stack([np.diff(words.view(np.int64), prepend=0), p.edge_count[e[first]]])
             tail, more = [at_word, p.edge_n[e]], b""
-            if below is not None:
+            if isinstance(p, Pairs):
                 last, first, inv = np.unique(names[0], return_index=True, return_inverse=True)
                 info[0] = np.diff(inv, prepend=0)
-                more = _pack(np.stack([np.diff(last, prepend=0), *below[:4, p.at[p.first[o[first]]]]]))
-                tail.append(below[5, p.at[p.edge_first[e]]])
+                more = _pack(np.stack([np.diff(last, prepend=0), *p.suffix[:, o[first]]]))
+                tail.append(p.suffix_n[e])
             rows.append((chunk, b, 2, more, _pack(np.stack(info)), _pack(np.diff(e_ctx[i:j] - lo, prepend=0)), _pack(words), head, _pack(np.stack(tail))))
     return _table(rows)
 
@@ -239,7 +236,7 @@ def ask_paths(chunk: int, t: pa.Table, answers: pa.Table, buckets: int) -> pa.Ta
     if not t.num_rows:
         return _table([])
     k, root = Tokens(t), Root(answers)
-    return _send(chunk, Paths(k, *known(k, answers, buckets), root), root, buckets)
+    return _send(chunk, Paths(k, *known(k, answers, buckets), root), [root.often, root.d, root.n], buckets)
 
 
 def _usual(n, d, kinds, q, part, c):
@@ -311,20 +308,91 @@ def _of(answers: pa.Table, kind: int) -> pa.Table:
     return answers.filter(pa.array(np.asarray(answers.column("kind")) == kind))
 
 
-def _two(k: Tokens, one: np.ndarray) -> np.ndarray:
-    """Tokens whose context of two words repeats and can be a state."""
-    at = np.flatnonzero(one[4] > 0)
-    at = at[at >= 2]
-    return at[(k.own[at - 2] == k.own[at]) & (one[6, at - 1] > 0) & (one[5, at - 1] >= REPEATED)]
+def _row(schema: str, values: list) -> pa.Table:
+    """A table of one row, or of none."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    cols = [x.split() for x in schema.split(", ")]
+    types = [pa.list_(kinds[t[6:-1]]) if t.startswith("array") else kinds[t] for _, t in cols]
+    return pa.table({n: pa.array([v] if values else [], t) for (n, _), v, t in zip(cols, values or [None] * len(cols), types, strict=True)})
 
 
-def ask_pairs(chunk: int, t: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
+def begin(chunk: int, t: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
+    """The chunk's scores with contexts of up to one word, but of frequent tokens that two could change; its tokens by numbers, 0 being a rare word, and what is known of its frequent words and of pairs."""
     if not t.num_rows:
-        return _table([])
+        return _row(ONE, [])
     k, root = Tokens(t), Root(answers)
-    names = known(k, answers, buckets)
-    one = Paths(k, *names, root).read(_of(answers, 3), buckets, len(k.h))
-    return _send(chunk, Paths(k, *names, root, _two(k, one)), root, buckets, one)
+    count, name = known(k, answers, buckets)
+    c = count[k.id]
+    often = c >= MIN_COUNT
+    one = Paths(k, count, name, root).read(_of(answers, 3), buckets, len(c))
+    p, used = root.p(c), one[0] > 0
+    keep, of, seen, kinds, open_, n, _ = one
+    x = np.flatnonzero(used)
+    usual = _usual(n[x], root.d, kinds[x], p[x], root.often, of[x])
+    p[x] = np.where(often[x], usual, p[x] * (of[x] - seen[x] + 0.5) / (of[x] + 1) / (1 - root.often))
+    words = np.flatnonzero(count >= MIN_COUNT)
+    words = words[np.argsort(name[words])]
+    number = np.zeros(len(count), np.int64)
+    number[words] = np.arange(1, len(words) + 1)
+    tok = number[k.id]
+    facts = np.zeros((4, len(words) + 1), np.int64)  # what follows a word, if it isn't always the end of the text
+    facts[:, tok[np.maximum(np.arange(len(tok)) - 1, 0)] * (one[6] > 0)] = [keep, seen, kinds, open_]
+    facts[:, 0] = 0
+    later = np.zeros(len(tok), bool)
+    later[two(tok, n, facts[3], k.first[:-1][k.own])] = True
+    per = lambda x: np.add.reduceat(x, k.first[:-1])
+    base = np.log10((c + 1) / (root.n + 1.0 * (root.v + 1)))
+    docs = [t.column("doc_id").to_pylist(), t.column("held").to_pylist(), np.diff(k.first), per((c > 0).astype(np.int64)), np.full(t.num_rows, root.n, np.int64), per(base), per(np.where(later & often, 0, np.log10(p))), per((~later & used).astype(np.int64))]
+    table = np.stack([np.diff(name[words].view(np.int64), prepend=0), count[words], *facts[:, 1:]])
+    return _row(ONE, [chunk, root.d, root.often, *docs, _pack(tok), _pack(n), _pack(table)])
+
+
+def two(tok: np.ndarray, n: np.ndarray, open_: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Tokens whose context of two words repeats and can be a state; n has the tokens of each word after the one before it."""
+    at = np.flatnonzero(np.arange(len(tok)) - first >= 2)
+    return at[(tok[at - 1] > 0) & (tok[at - 2] > 0) & (open_[tok[at - 1]] > 0) & (n[at - 1] >= REPEATED)]
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, row): where each value comes first, and each value's number, by first places."""
+    row = pa.array(x).dictionary_encode().indices.to_numpy()
+    first = np.empty(int(row.max()) + 1 if len(row) else 0, np.int64)
+    first[row[::-1]] = np.arange(len(row))[::-1]
+    return first, row
+
+
+class Pairs:
+    """Contexts of two words of a chunk's row, as Paths has those of one."""
+
+    def __init__(self, row: dict):
+        self.n_tokens = np.array(row["n_tokens"], np.int64)
+        self.tok, self.n = _loads(row["tok"]), _loads(row["pairs"])
+        self.own = np.repeat(np.arange(len(self.n_tokens)), self.n_tokens)
+        self.first = (np.cumsum(self.n_tokens) - self.n_tokens)[self.own]
+        table = _loads(row["words"]).reshape(6, -1)
+        names, count, *facts = np.concatenate([np.zeros((6, 1), np.int64), table], axis=1)
+        names = names.cumsum().view(np.uint64)
+        self.names, self.count, (keep, seen, kinds, self.open) = names, count, facts
+        at = self.at = two(self.tok, self.n, self.open, self.first)
+        last, word = self.tok[at - 1], self.tok[at]
+        first, self.row = _distinct(self.tok[at - 2] * len(names) + last)
+        self.ctx_before, self.ctx_last = names[self.tok[at - 2][first]], names[last[first]]
+        self.ctx = _pair(self.ctx_before, self.ctx_last)
+        self.train = ~np.array(row["held_out"], bool)[self.own[at]]
+        self.ctx_n = np.bincount(self.row[self.train], minlength=len(self.ctx)).astype(np.int64)
+        last = last[first]
+        self.suffix = np.stack([keep[last], count[last] * keep[last], seen[last], kinds[last]])
+        f = self.edge_at = np.flatnonzero(word > 0)
+        first, self.edge_row = _distinct(self.row[f].astype(np.int64) * len(names) + word[f])
+        self.edge_ctx, self.edge_word, self.edge_count = self.row[f[first]], names[word[f[first]]], count[word[f[first]]]
+        self.edge_n = np.bincount(self.edge_row[self.train[f]], minlength=len(first)).astype(np.int64)
+        self.suffix_n = self.n[at[f[first]]]
+
+    dealt, read = Paths.dealt, Paths.read
+
+
+def ask_pairs(row: dict, total: int, buckets: int) -> pa.Table:
+    return _send(row["chunk"], Pairs(row), [row["often"], row["d"], total], buckets)
 
 
 def _state(chunk: int, docs: list, at: dict[str, np.ndarray], tok: np.ndarray, d: float) -> pa.Table:
@@ -335,42 +403,40 @@ def _state(chunk: int, docs: list, at: dict[str, np.ndarray], tok: np.ndarray, d
     need = need.cumsum()[:-1] > 0
     place = np.concatenate(([0], need.cumsum()))
     at = at | {"end": place[at["end"]]}
-    packed = [_pack(at[c].view(np.int64)) for c in AT] + [_pack(tok[need].view(np.int64))]
-    names, kinds = [x.split()[0] for x in STATE.split(", ")], [pa.int32(), pa.int64(), pa.float64(), *[pa.list_(x) for x in DOC_TYPES], *[pa.binary()] * (len(AT) + 1)]
-    return pa.table({n: pa.array([v], ty) for n, v, ty in zip(names, [chunk, len(at["end"]), d, *docs, *packed], kinds, strict=True)})
+    return _row(STATE, [chunk, len(at["end"]), d, *docs, *(_pack(at[c].view(np.int64)) for c in AT), _pack(tok[need].view(np.int64))])
+
 
+def _settled(docs: list, a: dict, end: np.ndarray) -> list:
+    """The documents' columns with the tokens `end` in them."""
+    size = len(docs[0])
+    score = np.array(docs[-2]) + np.bincount(a["doc"][end], weights=np.log10(a["p"][end]), minlength=size)
+    return [*docs[:-2], score, np.array(docs[-1]) + np.bincount(a["doc"][end], weights=a["used"][end] > 0, minlength=size).astype(np.int64)]
 
-def start(chunk: int, t: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
+
+def start(row: dict, answers: pa.Table, total: int, buckets: int) -> pa.Table:
     """The chunk's scores with contexts of up to two words, and what longer ones can change."""
-    if not t.num_rows:
-        return pa.table({x.split()[0]: pa.array([], ty) for x, ty in zip(STATE.split(", "), [pa.int32(), pa.int64(), pa.float64(), *[pa.list_(x) for x in DOC_TYPES], *[pa.binary()] * (len(AT) + 1)], strict=True)})
-    k, root = Tokens(t), Root(answers)
-    count, name = known(k, answers, buckets)
-    c, h = count[k.id], name[k.id]
-    often = c >= MIN_COUNT
-    p, part, used = root.p(c), np.full(len(c), root.often), np.zeros(len(c), np.int64)
-    one = Paths(k, count, name, root).read(_of(answers, 3), buckets, len(c))
-    two = Paths(k, count, name, root, _two(k, one)).read(_of(answers, 5), buckets, len(c))
-    for level, x in ((1, one), (2, two)):  # the longer context last, on top of its suffix
-        at = np.flatnonzero(x[0] > 0)
-        _, of, seen, kinds, _, n, _ = x[:, at]
-        usual = _usual(n, root.d, kinds, p[at], part[at], of)
-        p[at] = np.where(often[at], usual, p[at] * (of - seen + 0.5) / (of + 1) / (1 - part[at]))
-        part[at] = (seen + 0.5) / (of + 1)
-        used[at] = level
-    repeats = (one[5] >= REPEATED) & np.concatenate(([False], one[5, :-1] >= REPEATED))  # the three words that end here
-    repeats = np.where(two[6] > 0, two[5] >= REPEATED, repeats) & (np.arange(len(c)) - k.first[:-1][k.own] >= 2)
-    bad = np.maximum.accumulate(np.where(repeats, -1, np.arange(len(c))))
-    at = np.flatnonzero(two[4] > 0)
-    at = at[repeats[at - 1]]
-    per = lambda x: np.add.reduceat(x, k.first[:-1])
-    left = np.ones(len(p), bool)
-    left[at] = False
-    base = np.log10((c + 1) / (root.n + 1.0 * (root.v + 1)))
-    docs = [t.column("doc_id").to_pylist(), t.column("held").to_pylist(), np.diff(k.first), per((c > 0).astype(np.int64)), np.full(t.num_rows, root.n, np.int64), per(base), per(np.where(left, np.log10(p), 0)), per((left & (used > 0)).astype(np.int64))]
-    key = _pair(h[at - 2], h[at - 1])
-    values = {"end": at, "reach": at - bad[at - 1] + 1, "doc": k.own[at], "n": k.train[at].astype(np.int64), "word": np.where(often[at], h[at], 0).astype(np.int64), "used": used[at], "key": key, "p": p[at], "part": part[at]}
-    return _state(chunk, docs, values, h, root.d)
+    q, d, often = Pairs(row), row["d"], row["often"]
+    x, at, tok = q.read(answers, buckets, len(q.tok)), q.at, q.tok
+    usual = tok[at] > 0
+    keep, of, seen, kinds = q.suffix[:, q.row]
+    p = (q.count[tok[at]] - d) / max(total, 1)
+    p = np.where(usual, np.where(keep > 0, _usual(q.n[at], d, kinds, p, often, of), p), 1.0)  # of a rare word a factor
+    part = np.where(keep > 0, (seen + 0.5) / (of + 1), often)
+    used = np.where(keep > 0, 1, 0)
+    i = np.flatnonzero(x[0, at] > 0)
+    _, of, seen, kinds, _, n, _ = x[:, at[i]]
+    p[i] = np.where(usual[i], _usual(n, d, kinds, p[i], part[i], of), (of - seen + 0.5) / (of + 1) / (1 - part[i]))
+    part[i] = (seen + 0.5) / (of + 1)
+    used[i] = 2
+    place = np.arange(len(tok))
+    repeats = (q.n >= REPEATED) & np.concatenate(([False], q.n[:-1] >= REPEATED))  # the three words that end here
+    repeats = np.where(x[6] > 0, x[5] >= REPEATED, repeats) & (place - q.first >= 2)
+    bad = np.maximum.accumulate(np.where(repeats, -1, place))
+    alive = (x[4, at] > 0) & repeats[at - 1]
+    h = q.names[tok]
+    values = {"end": at, "reach": at - bad[at - 1] + 1, "doc": q.own[at], "n": q.train.astype(np.int64), "word": h[at].view(np.int64), "used": used, "key": _pair(h[at - 2], h[at - 1]), "p": p, "part": part}
+    docs = _settled([row[c] for c in DOCS], values, ~alive)
+    return _state(row["chunk"], docs, {c: v[alive] for c, v in values.items()}, h, d)
 
 
 class Open:
@@ -496,10 +562,7 @@ def take(row: dict, answers: pa.Table, length: int, width: int, buckets: int) ->
         a["used"] = np.where(s, used, a["used"])
         a["key"] = o.next
         alive = (alive > 0) & (a["reach"] > length + width)
-        end = ~alive
-        size = len(docs[0])
-        docs[-2] = np.array(docs[-2]) + np.bincount(a["doc"][end], weights=np.log10(a["p"][end]), minlength=size)
-        docs[-1] = np.array(docs[-1]) + np.bincount(a["doc"][end], weights=a["used"][end] > 0, minlength=size).astype(np.int64)
+        docs = _settled(docs, a, ~alive)
         a = {c: x[alive] for c, x in a.items()}
     return _state(row["chunk"], docs, a, o.tok, row["d"])
 
@@ -517,31 +580,37 @@ def scores(docs: DataFrame, chunks: int | None = None) -> DataFrame:
     total = told.where("kind = 4").agg(F.array(*(F.coalesce(F.sum(F.col("stat")[i]), F.lit(0)) for i in range(6))).alias("stat"))
     blank = [F.lit(None).cast("binary").alias(c) for c in "abcdef"]
     stats = total.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("chunk"), F.lit(-1).alias("bucket"), F.lit(4).alias("kind"), *blank, "stat")
-    known_ = told.where("kind = 1").unionAll(stats)
-    both = lambda f, schema: dealt.groupBy("chunk").cogroup(known_.groupBy("chunk")).applyInArrow(lambda key, t, a: f(key[0].as_py(), t, a, buckets), schema)
-    for ask in (ask_paths, ask_pairs):
-        known_ = known_.unionAll(both(ask, ROWS).groupBy("bucket").applyInArrow(lambda t: answer_paths(t), ROWS))
-    state, length = common.cut(both(start, STATE)), 2
+    vocab = told.where("kind = 1").unionAll(stats)
+    paths = dealt.groupBy("chunk").cogroup(vocab.groupBy("chunk")).applyInArrow(lambda key, t, a: ask_paths(key[0].as_py(), t, a, buckets), ROWS)
+    found = paths.groupBy("bucket").applyInArrow(lambda t: answer_paths(t), ROWS)
+    one = common.cut(dealt.groupBy("chunk").cogroup(vocab.unionAll(found).groupBy("chunk")).applyInArrow(lambda key, t, a: begin(key[0].as_py(), t, a, buckets), ONE))
+    state, length = longer(one, buckets), 2
     while state.agg(F.sum("open")).first()[0]:
-        after = common.cut(longer(state, length, max(2, length), buckets))
-        common.remove(spark, state)
-        state, length = after, length + max(2, length)
+        state, length = longer(state, buckets, length, max(2, length)), length + max(2, length)
     return state.select(F.inline(F.arrays_zip(*DOCS)))
 
 
-def longer(state: DataFrame, length: int, width: int, buckets: int) -> DataFrame:
-    """The chunks' rows after contexts of up to `length` + `width` words."""
+def longer(state: DataFrame, buckets: int, length: int = 1, width: int = 1) -> DataFrame:
+    """The chunks' rows after contexts of up to `length` + `width` words. Each step's shuffle files go at its end."""
 
     def ask(batches):
         for x in batches:
             for row in x.to_pylist():
-                yield from ask_open(row, length, width, buckets).to_batches()
+                yield from (ask_open(row, length, width, buckets) if length > 1 else ask_pairs(row, row["train_tokens"][0], buckets)).to_batches()
 
-    def answered(key, t, a):
-        return take(t.to_pylist()[0], a, length, width, buckets)
+    def answer(t):
+        return answer_open(t, length, width) if length > 1 else answer_paths(t)
 
-    found = state.where("open > 0").mapInArrow(ask, ROWS).groupBy("bucket").applyInArrow(lambda t: answer_open(t, length, width), ROWS)
-    return state.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(answered, STATE)
+    def answered(key, t, a):
+        row = t.to_pylist()[0]
+        return take(row, a, length, width, buckets) if length > 1 else start(row, a, row["train_tokens"][0], buckets)
+
+    asking = state.where("open > 0") if length > 1 else state
+    found = common.cut(asking.mapInArrow(ask, ROWS).groupBy("bucket").applyInArrow(answer, ROWS))
+    after = common.cut(state.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(answered, STATE))
+    for x in (state, found):
+        common.remove(state.sparkSession, x)
+    return after
 
 
 def query(spark, sf_dir: str) -> DataFrame:
