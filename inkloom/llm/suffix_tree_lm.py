@@ -249,7 +249,7 @@ def judge(d: float, e_ctx: np.ndarray, n: np.ndarray, q: np.ndarray, c: np.ndarr
 
     Not open, which loses no state: what repeats no more but as a whole (a longer context with the same tokens gains
     less than its price), one follower (as its share grows with its tokens), and contexts of which no selection of
-    tokens could gain enough were all of its followers certain.
+    tokens could gain enough (`most`).
     """
     seen = np.bincount(e_ctx, weights=n, minlength=len(c)).astype(np.float64)
     kinds = np.bincount(e_ctx, weights=n > 0, minlength=len(c)).astype(np.float64)
@@ -261,11 +261,44 @@ def judge(d: float, e_ctx: np.ndarray, n: np.ndarray, q: np.ndarray, c: np.ndarr
         sane = (part > 0) & (part < 1)
         keep = sane & (c >= REPEATED) & (gain > GAIN + kinds)
         q, part = np.where(keep[e_ctx], p, q), np.where(keep, (seen + 0.5) / (c + 1), part)
-        most = np.bincount(e_ctx, weights=np.maximum(-n * np.log(q) - 1, 0), minlength=len(c)) + np.where(rest > 0, -rest * np.log(1 - part), 0)
-        open_ = sane & (c > REPEATED) & (kinds + (rest > 0) > 1) & (most > GAIN)
+        open_ = sane & (c > REPEATED) & (kinds + (rest > 0) > 1)
+    at = np.flatnonzero(open_)
+    place = np.zeros(len(c), np.int64)
+    place[at] = np.arange(len(at))
+    e = np.flatnonzero(open_[e_ctx] & (n > 0))
+    open_[at] = most(place[e_ctx[e]], n[e], q[e], c[at], rest[at], part[at]) > GAIN - 1e-6
     return keep, seen, kinds, open_, q, part
 
 
+def most(e_ctx: np.ndarray, n: np.ndarray, q: np.ndarray, c: np.ndarray, rest: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """A bound of what any selection of the contexts' tokens gains, less 1 for each frequent follower in it.
+
+    By Gibbs' inequality no distribution gains more than the shares themselves, sum n log(n / q) - N log N. This is convex
+    in the counts, so the best selection takes followers as a whole. The one with most tokens is tried in and out; for
+    the others -N log N is replaced by tangents, which lie above it, at a few places M.
+    """
+    top = np.zeros(len(c))
+    np.maximum.at(top, e_ctx, n)
+    lead = np.full(len(c), -1)
+    first = np.flatnonzero(n == top[e_ctx])
+    lead[e_ctx[first]] = first
+    with np.errstate(divide="ignore", invalid="ignore"):
+        own = n * np.log(n / q)
+        rest_own = np.where(rest > 0, rest * np.log(rest / (1 - part)), 0)
+        other = lead[e_ctx] != np.arange(len(n))
+        x, n_x, own_x = e_ctx[other], n[other], own[other] - 1
+        has = lead >= 0
+        led = np.where(has, own[lead] - 1, 0) if len(n) else np.zeros(len(c))
+
+        def tangent(m: np.ndarray) -> np.ndarray:
+            slope = np.log(m) + 1
+            return m + np.bincount(x, weights=np.maximum(own_x - n_x * slope[x], 0), minlength=len(c)) + np.maximum(rest_own - rest * slope, 0)
+
+        without = np.min([tangent(np.maximum(c - top, 0.5) * f) for f in (1, 0.6, 0.37, 0.15, 0.05)], axis=0)
+        having = np.min([tangent(m) + led - top * (np.log(m) + 1) for m in (np.maximum(top + (c - top) * f, 0.5) for f in (0, 0.2, 0.5, 1))], axis=0)
+    return np.maximum(without, np.where(has, having, without))
+
+
 def answer_paths(t: pa.Table) -> pa.Table:
     """To each chunk, for its contexts: retained, tokens, those with a frequent follower, frequent followers (zeros where it isn't retained), and open; for its followers: tokens, zero where that is neither of a retained context nor repeats."""
     info = _unpack(t, "b", 3)

@@ -1,7 +1,9 @@
 import collections
+import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 
 from inkloom.llm import suffix_tree_lm
@@ -68,3 +70,19 @@ def test_contexts_of_any_length(spark, kind):
         assert got.keys() == {i for i, _ in rows}
         for i, t in rows:
             assert math.isclose(got[i], tree.score(t), rel_tol=1e-9), (chunks, i)
+
+
+def test_the_bound_is_above_each_selection():
+    r = np.random.default_rng(1)
+    for _ in range(500):
+        k = r.integers(1, 7)
+        n, rest = r.integers(1, r.choice([3, 10, 60]), k).astype(float), float(r.integers(0, 5))
+        q = r.dirichlet(np.full(k + 2, 0.5))[:k] + 1e-7
+        q /= max(1, q.sum() * 1.01)
+        part = min(q.sum(), 0.999999)
+        bound = suffix_tree_lm.most(np.zeros(k, int), n, q, np.array([n.sum() + rest]), np.array([rest]), np.array([part]))[0]
+        for *some, all_rest in itertools.product([False, True], repeat=k + 1):
+            a, rare = np.array(some), rest * all_rest
+            if total := n[a].sum() + rare:
+                gain = (n[a] * np.log(n[a] / q[a])).sum() - total * np.log(total) + (rare * np.log(rare / (1 - part)) if rare else 0)
+                assert gain - a.sum() <= bound + 1e-9
