@@ -36,6 +36,8 @@ FILE_BYTES, LENGTH, BATCH = 24 << 20, 1024, 256
 CACHE_WORDS = 300_000
 #: Longer words aren't kept.
 LONG = 64
+#: Text whose distinct words are looked up together.
+SLICE_BYTES = 8 << 20
 MANIFEST = "part int, path string, n_docs long, n_tokens long, n_sequences long"
 
 
@@ -66,39 +68,43 @@ class WordEncoder:
 
     def _lookup(self, words: list[str]) -> list[bytes]:
         """The ids of distinct words."""
-        long = [w for w in words if len(w) > LONG]
-        extra = dict(zip(long, self._each(long), strict=True))
-        new = [(w, self._cut(w)) for w in self.memo.lack(set(words).difference(long) if long else set(words))]
-        parts = list(self.parts.lack({x for _, cut in new for x in cut}))
+        return self.memo.values(words, self._fresh, LONG)
+
+    def _fresh(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, of at most two parts each: letters and the marks after them are always separate for the library; ASCII letters count as their lower case."""
+        heads, tails = [], []
+        for w in words:
+            core = w.rstrip(".,;:!?")
+            if core.isalpha():
+                heads.append(core.lower() if core.isascii() else core)
+                tails.append(w[len(core) :])
+            else:
+                heads.append(w)
+                tails.append("")
+        parts = list({*heads, *tails})
+        part = dict(zip(parts, self.parts.values(parts, self._parts, LONG), strict=True))
+        return [part[h] + part[t] if t else part[h] for h, t in zip(heads, tails, strict=True)]
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
         plain = [x for x in parts if x.isalpha() and "\u0130" not in x]
-        self.parts.new.update(zip(plain, self._joined(plain), strict=True))
-        rest = [x for x in parts if not x.isalpha() or "\u0130" in x]
-        self.parts.new.update(zip(rest, self._each(rest), strict=True))
-        part = self.parts.new
-        self.memo.new.update((w, part[c[0]] if len(c) == 1 else part[c[0]] + part[c[1]]) for w, c in new)
-        get = self.memo.new
-        return [extra[w] if w in extra else get[w] for w in words] if long else list(map(get.__getitem__, words))
-
-    @staticmethod
-    def _cut(word: str) -> tuple[str, ...]:
-        """Letters and the marks after them are always separate for the library; ASCII letters count as their lower case."""
-        core = word.rstrip(".,;:!?")
-        if not core.isalpha():
-            return (word,)
-        low = core.lower() if core.isascii() else core
-        return (low,) if len(core) == len(word) else (low, word[len(core) :])
+        got = dict(zip(plain, self._joined(plain), strict=True))
+        rest = [x for x in parts if x not in got]
+        got.update(zip(rest, self._each(rest), strict=True))
+        return [got[x] for x in parts]
 
     def _joined(self, words: list[str]) -> Iterator[bytes]:
         """Words of letters alone are one piece each for the library, whose last id has the mark of a word's end: many go into one text, whose ids are cut there."""
-        for at in range(0, len(words), 2000):
-            some = words[at : at + 2000]
-            ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, self.type)
-            stop = np.flatnonzero(self.ends[ids]) + 1
-            if len(stop) != len(some):
-                yield from self._each(some)
-                continue
-            raw, cut = ids.tobytes(), (stop * self.type.itemsize).tolist()
-            yield from (raw[i:j] for i, j in zip([0, *cut], cut, strict=False))
+        groups = [words[at : at + 2000] for at in range(0, len(words), 2000)]
+        for at in range(0, len(groups), 16):
+            texts = self.tok.encode_batch_fast([" ".join(g) for g in groups[at : at + 16]], add_special_tokens=False)
+            for some, e in zip(groups[at : at + 16], texts, strict=True):
+                ids = np.array(e.ids, self.type)
+                stop = np.flatnonzero(self.ends[ids]) + 1
+                if len(stop) != len(some):
+                    yield from self._each(some)
+                    continue
+                raw, cut = ids.tobytes(), (stop * self.type.itemsize).tolist()
+                yield from (raw[i:j] for i, j in zip([0, *cut], cut, strict=False))
 
     def _each(self, words: list[str]) -> Iterator[bytes]:
         for at in range(0, len(words), 10_000):
@@ -206,7 +212,7 @@ def write(docs: DataFrame, path: str, end_id: int, target: str, length: int = LE
         name = f"{target}/part-{part:06d}"
         fs, base = filesystem(name)
         for record in it:
-            for piece in vec.slices(record):
+            for piece in vec.slices(record, SLICE_BYTES):
                 if not writer:
                     fs.create_dir(base.rpartition("/")[0], recursive=True)
                     sinks = [fs.open_output_stream(f"{base}.{kind}.{attempt}") for kind in ("arrow", "docs")]

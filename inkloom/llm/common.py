@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -104,3 +104,22 @@ class Memo:
             else:
                 self.new[k] = got
         return out
+
+    def values(self, keys: list[str], make: Callable[[list[str]], list], longest: int) -> list:
+        """The values of distinct keys; make() gives those that aren't there, of which keys beyond `longest` aren't kept."""
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        out = list(map(self.new.get, keys))
+        lack = [i for i, x in enumerate(out) if x is None]
+        if not lack:
+            return out
+        want = [keys[i] for i in lack]
+        got = list(map(self.old.get, want))
+        if fresh := [k for k, x in zip(want, got, strict=True) if x is None]:
+            made = iter(make(fresh))
+            got = [next(made) if x is None else x for x in got]
+        for i, k, x in zip(lack, want, got, strict=True):
+            out[i] = x
+            if len(k) <= longest:
+                self.new[k] = x
+        return out

@@ -7,6 +7,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from inkloom.llm import arrow_tokens as m
+from inkloom.llm import common
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -73,3 +74,12 @@ def test_views_share_memory(tmp_path):
 def test_empty(spark, tmp_path):
     assert m.write(spark.createDataFrame([], "doc_id long, text string"), PATH, 1, f"file://{tmp_path}/e") == []
     assert m.read(spark, []).count() == 0
+
+
+def test_kept_values_come_in_the_order_of_the_keys_and_are_made_once():
+    made = []
+    memo = common.Memo(4)
+    make = lambda keys: made.extend(keys) or [k.encode() for k in keys]
+    for keys in (["b", "a"], ["a", "c", "longer", "b"], ["longer", "d", "c"], ["e", "a", ""], ["", "b", "d"]):
+        assert memo.values(keys, make, 3) == [k.encode() for k in keys]
+    assert made == ["b", "a", "c", "longer", "longer", "d", "e", ""]
