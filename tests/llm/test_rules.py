@@ -1,3 +1,5 @@
+import random
+import pyarrow as pa
 import collections
 import re
 
@@ -76,3 +78,21 @@ def test_layout_frame(spark):
     df = spark.createDataFrame([(1, "<p>a"), (1, "<p>a"), (2, None), (None, "x" * 100_000)], "page_id long, html string").selectExpr("*", "1 AS text")
     assert sorted((r.page_id or 0, len(r.text)) for r in html_layout.extract(df).collect()) == [(0, 100_000), (1, 1), (1, 1), (2, 0)]
     assert html_layout.extract(df.limit(0)).count() == 0
+
+
+def test_lines_are_alike_if_their_words_are():
+    r = random.Random(3)
+    kinds = ["a", "A", "b", "É", "é", "word", " ", "  ", "\t", "\r", "\n", "\n"]
+    texts = ["".join(r.choice(kinds) for _ in range(r.randint(0, 40))) for _ in range(500)] + ["", None, "\n\na\n", "a", "A \n a", "w" * 500 + " x", "\n"]
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    want = [(i, k, tuple(w)) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n")) if (w := re.findall("[^\x20\x09-\x0D]+", x.translate(low)))]
+    own, number, line, words = (x.tolist() for x in quality_lines.split_lines(pa.array(texts)))
+    assert list(zip(own, number, words, strict=True)) == [(i, k, len(w)) for i, k, w in want]
+    assert len(set(line)) == len({w for _, _, w in want}) == len(set(zip(line, (w for _, _, w in want), strict=True)))
+
+
+def test_lines_are_not_split_by_the_jvm(spark):
+    df = spark.createDataFrame([(1, "a\nb", "h")], "doc_id long, text string, source string")
+    lines, _ = quality_lines.frequent_lines(quality_lines.prepare(df), 5, 0.1)
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
