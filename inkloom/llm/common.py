@@ -68,8 +68,12 @@ def cut(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
 def remove(spark: SparkSession, df: DataFrame) -> None:
     """Deletes a table that cut() wrote."""
     for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        remove_folder(spark, f)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def batches(spark: SparkSession) -> None:

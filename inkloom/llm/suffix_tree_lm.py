@@ -19,7 +19,8 @@ context, which test it and answer with counts, from which the chunk computes
 probabilities: first contexts of one word, then those of two that repeat. What
 is open after that, contexts that longer ones could tell apart (`judge`), goes
 to buckets with the words before it, twice as many each round, and a bucket
-walks down them; rounds end when nothing is open. Only buckets that a chunk has
+walks down them; rounds end when nothing is open. Between rounds each chunk's
+row is in a file of its own in the shared folder. Only buckets that a chunk has
 words for get a row of it. The buckets' statistics are summed and one row goes
 to each chunk. No model is gathered in one place.
 
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, vec
+from . import arrow_tokens, common, vec
 
 MIN_COUNT, REPEATED, GAIN = 8, 2, 10.0
 P_PAIR = 0.0  #: No share of the tokens is asked of a context's words.
@@ -43,11 +44,12 @@ END = np.uint64(0x5EED0FE4D)
 CHUNK = 3 << 20
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_context long"
 DOCS = [x.split()[0] for x in SCHEMA.split(", ")]
-AT = ["end", "reach", "doc", "n", "word", "used", "key", "p", "part"]
+AT = ["end", "reach", "doc", "n", "used", "p", "part"]
 _LISTS = [f"{n} array<{t}>" for n, t in (x.split() for x in SCHEMA.split(", "))]
 ONE = ", ".join(["chunk int", "d double", "often double", *_LISTS, "tok binary", "pairs binary", "words binary"])
 STATE = ", ".join(["chunk int", "open long", "d double", *_LISTS, *(f"{c} binary" for c in [*AT, "tok"])])
 ROWS = "chunk int, bucket int, kind int, a binary, b binary, c binary, d binary, e binary, f binary, stat array<bigint>"
+DONE = "chunk int, open long"
 _COLS = [x.split()[0] for x in ROWS.split(", ")]
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -60,18 +62,28 @@ def _table(rows: list[tuple]) -> pa.Table:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Integers by planes of bytes, compressed; their number comes first."""
-    planes = np.ascontiguousarray(x.ravel().astype(np.int64, copy=False).view(np.uint8).reshape(-1, 8).T)
-    return np.int64(x.size).tobytes() + (pa.compress(planes, codec="zstd", asbytes=True) if x.size else b"")
+    """Integers by planes of bytes, as many as the largest needs, compressed; their number and that of the planes come first."""
+    x = np.ascontiguousarray(x, np.int64).ravel()
+    if not x.size:
+        return np.zeros(2, np.int64).tobytes()
+    k = (max(1, int(x.max()).bit_length()) + 7) // 8 if x.min() >= 0 else 8
+    by, planes = x.view(np.uint8).reshape(-1, 8), np.empty((k, x.size), np.uint8)
+    for i in range(k):
+        planes[i] = by[:, i]
+    return np.array([x.size, k], np.int64).tobytes() + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def _unpack(t: pa.Table, column: str, rows: int = 1) -> list[np.ndarray]:
     out = []
     for x in t.column(column):
         raw = x.as_py()
-        size = 8 * int(np.frombuffer(raw, np.int64, 1)[0])
-        planes = np.frombuffer(pa.decompress(raw[8:], size, codec="zstd") if size else b"", np.uint8).reshape(8, -1)
-        out.append(np.ascontiguousarray(planes.T).view(np.int64).reshape(rows, -1))
+        size, k = np.frombuffer(raw, np.int64, 2).tolist()
+        x = np.zeros(size, np.int64)
+        if size:
+            by = x.view(np.uint8).reshape(-1, 8)
+            for i, plane in enumerate(np.frombuffer(pa.decompress(memoryview(raw)[16:], size * k, codec="zstd"), np.uint8).reshape(k, -1)):
+                by[:, i] = plane
+        out.append(x.reshape(rows, -1))
     return out
 
 
@@ -80,6 +92,32 @@ def _keys(t: pa.Table, column: str) -> list[np.ndarray]:
     return [x[0].cumsum().view(np.uint64) for x in _unpack(t, column)]
 
 
+def _ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, ascending, and each one's place in them; by a hash table, for many equal values."""
+    e = pa.array(x).dictionary_encode()
+    values = e.dictionary.to_numpy(zero_copy_only=False)
+    order = np.argsort(values)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return values[order], place[e.indices.to_numpy()]
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, row) of numbers from 0 on: where each value comes first, and each value's place among the distinct ones, ascending."""
+    if not len(x):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bits = len(x).bit_length()
+    if int(x.max()).bit_length() + bits > 63:
+        _, first, row = np.unique(x, return_index=True, return_inverse=True)
+        return first, row
+    both = np.sort(x.astype(np.int64) << bits | np.arange(len(x)))  # much faster than sorting indices
+    at, x = both & ((1 << bits) - 1), both >> bits
+    new = np.concatenate(([True], x[1:] != x[:-1]))
+    row = np.empty(len(x), np.int64)
+    row[at] = new.cumsum() - 1
+    return at[new], row
+
+
 def _edge(ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Keys of (context, follower)."""
     return vec.mix(vec.mix(ctx ^ _K) + vec.mix(word))
@@ -98,7 +136,7 @@ class Tokens:
         self.h[np.arange(len(h)) + vec.owner(first)] = h
         self.own = vec.owner(self.first)
         self.train = ~np.asarray(t.column("held"))[self.own]
-        self.words, self.id = np.unique(self.h, return_inverse=True)
+        self.words, self.id = _ranked(self.h)
 
 
 def _deal(key: np.ndarray, buckets: int, *by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,25 +203,29 @@ class Paths:
     """Contexts of one word at a chunk's tokens `at`: each one's row, and that of its (context, follower) pair."""
 
     def __init__(self, k: Tokens, count: np.ndarray, name: np.ndarray, root: Root):
-        c, h = count[k.id], name[k.id]
-        often = c >= MIN_COUNT
+        often = (count >= MIN_COUNT)[k.id]
         at = np.flatnonzero(k.own[1:] == k.own[:-1]) + 1
         at = at[often[at - 1]]
         self.at = at
-        ctx = h[at - 1]
-        self.ctx, self.row = np.unique(ctx, return_inverse=True)
+        words = np.flatnonzero(count >= MIN_COUNT)
+        words = words[np.argsort(name[words])]
+        self.names, self.count = name[words], count[words]
+        number = np.zeros(len(count), np.int64)
+        number[words] = np.arange(len(words))
+        tok = number[k.id]
+        self.ctx_num = np.flatnonzero(np.bincount(tok[at - 1], minlength=len(words)))
+        number[self.ctx_num] = np.arange(len(self.ctx_num))  # from here on of contexts
+        self.row = number[tok[at - 1]]
+        self.ctx = self.names[self.ctx_num]
         self.ctx_before, self.ctx_last = np.zeros(len(self.ctx), np.uint64), self.ctx
         train = k.train[at]
         self.ctx_n = np.bincount(self.row[train], minlength=len(self.ctx)).astype(np.int64)
-        self.often = often[at]
-        f = np.flatnonzero(self.often)
-        edge = _edge(ctx[f], h[at[f]])
-        self.edge, first, self.edge_row = np.unique(edge, return_index=True, return_inverse=True)
-        self.edge_at = f
-        self.edge_ctx = self.row[f[first]]
-        self.edge_word = h[at[f[first]]]
-        self.edge_count = c[at[f[first]]]
-        self.edge_n = np.bincount(self.edge_row[train[f]], minlength=len(self.edge)).astype(np.int64)
+        f = self.edge_at = np.flatnonzero(often[at])
+        edge = self.row[f] * len(words) + tok[at[f]]
+        first, self.edge_row = _distinct(edge)
+        self.edge = edge[first]
+        self.edge_ctx, self.edge_num = np.divmod(self.edge, max(1, len(words)))
+        self.edge_n = np.bincount(self.edge_row[train[f]], minlength=len(first)).astype(np.int64)
 
     def dealt(self, buckets: int) -> tuple[np.ndarray, ...]:
         """Contexts by bucket, the bounds, the followers' order and each one's context in it."""
@@ -208,6 +250,12 @@ class Paths:
         return out
 
 
+def _numbers(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """As _ranked, of numbers below `most`."""
+    there = np.bincount(x, minlength=most) > 0
+    return np.flatnonzero(there), (there.cumsum() - 1)[x]
+
+
 def _send(chunk: int, p: Paths | Pairs, head: list[float], buckets: int) -> pa.Table:
     """Counts of contexts and followers; of pairs, with those of their suffixes."""
     order, at, e_order, e_ctx = p.dealt(buckets)
@@ -218,17 +266,17 @@ def _send(chunk: int, p: Paths | Pairs, head: list[float], buckets: int) -> pa.T
         lo, hi, i, j = at[b], at[b + 1], e_at[b], e_at[b + 1]
         if hi > lo:
             o, e = order[lo:hi], e_order[i:j]
-            names = p.ctx_last[o].view(np.int64), p.ctx_before[o].view(np.int64)
-            info = [*(np.diff(x, prepend=0) for x in names), p.ctx_n[o]]
-            words, first, at_word = np.unique(p.edge_word[e], return_index=True, return_inverse=True)
-            words = np.stack([np.diff(words.view(np.int64), prepend=0), p.edge_count[e[first]]])
-            tail, more = [at_word, p.edge_n[e]], b""
+            info = [np.diff(p.ctx_last[o].view(np.int64), prepend=0), np.diff(p.ctx_before[o].view(np.int64), prepend=0), p.ctx_n[o]]
+            words, at_word = _numbers(p.edge_num[e], len(p.names))
+            table = np.stack([np.diff(p.names[words].view(np.int64), prepend=0), p.count[words]])
+            tail, more = [p.edge_n[e]], b""
             if isinstance(p, Pairs):
-                last, first, inv = np.unique(names[0], return_index=True, return_inverse=True)
+                last, inv = _numbers(p.ctx_num[o], len(p.names))
                 info[0] = np.diff(inv, prepend=0)
-                more = _pack(np.stack([np.diff(last, prepend=0), *p.suffix[:, o[first]]]))
+                more = _pack(np.stack([np.diff(p.names[last].view(np.int64), prepend=0), *p.suffix[:, last]]))
                 tail.append(p.suffix_n[e])
-            rows.append((chunk, b, 2, more, _pack(np.stack(info)), _pack(np.diff(e_ctx[i:j] - lo, prepend=0)), _pack(words), head, _pack(np.stack(tail))))
+            steps = np.diff((e_ctx[i:j] - lo) * len(words) + at_word, prepend=0)  # followers ascend in each context
+            rows.append((chunk, b, 2, more, _pack(np.stack(info)), _pack(steps), _pack(table), head, _pack(np.stack(tail))))
     return _table(rows)
 
 
@@ -312,20 +360,26 @@ def answer_paths(t: pa.Table) -> pa.Table:
         for x, i in zip(lasts, info, strict=True):
             i[0] = x[0].cumsum()[i[0]]
     keys = [_pair(x[1].view(np.uint64), x[0].view(np.uint64)) if pairs else x[0].view(np.uint64) for x in info]
-    lists = [x[0].cumsum() for x in _unpack(t, "c")]
-    edges, words = _unpack(t, "f", 3 if pairs else 2), _unpack(t, "d", 2)
+    lists, tails, words = [x[0].cumsum() for x in _unpack(t, "c")], _unpack(t, "f", 2 if pairs else 1), _unpack(t, "d", 2)
     ctx, first, inv = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     c = np.bincount(inv, weights=np.concatenate([x[2] for x in info]), minlength=len(ctx)).astype(np.float64)
     base = np.concatenate(([0], np.cumsum([len(x) for x in keys])))
-    e_ctx = np.concatenate([inv[x + b] for x, b in zip(lists, base[:-1], strict=True)])
-    word = np.concatenate([w[0].cumsum()[x[0]] for w, x in zip(words, edges, strict=True)]).view(np.uint64)
-    edge, e_first, e_inv = np.unique(_edge(ctx[e_ctx], word), return_index=True, return_inverse=True)
-    q = (np.concatenate([w[1][x[0]] for w, x in zip(words, edges, strict=True)])[e_first] - d) / max(total, 1)
-    n = np.bincount(e_inv, weights=np.concatenate([x[1] for x in edges]), minlength=len(edge)).astype(np.float64)
-    e_ctx, part = e_ctx[e_first], np.full(len(ctx), often)
+    _, w_first, word = np.unique(np.concatenate([w[0].cumsum() for w in words]), return_index=True, return_inverse=True)
+    w_base = np.cumsum([w.shape[1] for w in words]) - [w.shape[1] for w in words]
+    edge = np.empty(sum(map(len, lists)), np.int64)
+    at = 0
+    for x, w, b, wb in zip(lists, words, base[:-1], w_base, strict=True):
+        of, follower = np.divmod(x, max(1, w.shape[1]))
+        edge[at : at + len(x)] = inv[b + of] * len(w_first) + word[wb + follower]
+        at += len(x)
+    e_first, e_inv = _distinct(edge)
+    e_ctx, word = np.divmod(edge[e_first], max(1, len(w_first)))
+    q = (np.concatenate([w[1] for w in words])[w_first][word] - d) / max(total, 1)
+    n = np.bincount(e_inv, weights=np.concatenate([x[0] for x in tails]), minlength=len(e_first)).astype(np.float64)
+    part = np.full(len(ctx), often)
     if pairs:
         had, of, seen, kinds = below[:, first]
-        n1 = np.concatenate([x[2] for x in edges])[e_first]
+        n1 = np.concatenate([x[1] for x in tails])[e_first]
         q = np.where(had[e_ctx] > 0, _usual(n1, d, kinds[e_ctx], q, often, of[e_ctx]), q)
         part = np.where(had > 0, (seen + 0.5) / (of + 1), often)
     keep, seen, kinds, open_, _, _ = judge(d, e_ctx, n, q, c, part)
@@ -341,6 +395,27 @@ def _of(answers: pa.Table, kind: int) -> pa.Table:
     return answers.filter(pa.array(np.asarray(answers.column("kind")) == kind))
 
 
+def _keep(folder: str, t: pa.Table, open_: int) -> pa.Table:
+    """Writes a chunk's row to a file of its own, so that it isn't shuffled; the table has its number, and how much is open in it."""
+    from pyspark import TaskContext
+
+    if t.num_rows:
+        fs, path = arrow_tokens.filesystem(f"{folder}/{t.column('chunk')[0].as_py():06d}")
+        fs.create_dir(path.rpartition("/")[0], recursive=True)
+        own = f"{path}.{TaskContext.get().taskAttemptId()}"
+        with fs.open_output_stream(own) as f, pa.ipc.new_file(f, t.schema) as out:
+            out.write_table(t)
+        fs.move(own, path)
+    return pa.table({"chunk": t.column("chunk"), "open": pa.array([open_] * t.num_rows, pa.int64())})
+
+
+def _kept(folder: str, chunk: int, columns: list[str] | None = None) -> pa.Table:
+    fs, path = arrow_tokens.filesystem(f"{folder}/{chunk:06d}")
+    with fs.open_input_file(path) as f:
+        t = pa.ipc.open_file(f).read_all()
+    return t.select(columns) if columns else t
+
+
 def _row(schema: str, values: list) -> pa.Table:
     """A table of one row, or of none."""
     kinds = {"int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
@@ -386,14 +461,6 @@ def two(tok: np.ndarray, n: np.ndarray, open_: np.ndarray, first: np.ndarray) ->
     return at[(tok[at - 1] > 0) & (tok[at - 2] > 0) & (open_[tok[at - 1]] > 0) & (n[at - 1] >= REPEATED)]
 
 
-def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first, row): where each value comes first, and each value's number, by first places."""
-    row = pa.array(x).dictionary_encode().indices.to_numpy()
-    first = np.empty(int(row.max()) + 1 if len(row) else 0, np.int64)
-    first[row[::-1]] = np.arange(len(row))[::-1]
-    return first, row
-
-
 class Pairs:
     """Contexts of two words of a chunk's row, as Paths has those of one."""
 
@@ -413,11 +480,12 @@ class Pairs:
         self.ctx = _pair(self.ctx_before, self.ctx_last)
         self.train = ~np.array(row["held_out"], bool)[self.own[at]]
         self.ctx_n = np.bincount(self.row[self.train], minlength=len(self.ctx)).astype(np.int64)
-        last = last[first]
-        self.suffix = np.stack([keep[last], count[last] * keep[last], seen[last], kinds[last]])
+        self.ctx_num = last[first]
+        self.suffix = np.stack([keep, count * keep, seen, kinds])
         f = self.edge_at = np.flatnonzero(word > 0)
-        first, self.edge_row = _distinct(self.row[f].astype(np.int64) * len(names) + word[f])
-        self.edge_ctx, self.edge_word, self.edge_count = self.row[f[first]], names[word[f[first]]], count[word[f[first]]]
+        edge = self.row[f] * len(names) + word[f]
+        first, self.edge_row = _distinct(edge)
+        self.edge_ctx, self.edge_num = np.divmod(edge[first], len(names))
         self.edge_n = np.bincount(self.edge_row[self.train[f]], minlength=len(first)).astype(np.int64)
         self.suffix_n = self.n[at[f[first]]]
 
@@ -430,13 +498,12 @@ def ask_pairs(row: dict, total: int, buckets: int) -> pa.Table:
 
 def _state(chunk: int, docs: list, at: dict[str, np.ndarray], tok: np.ndarray, d: float) -> pa.Table:
     """A row of a chunk: its documents' columns, and the tokens whose longest state isn't known yet with the words before them."""
-    need = np.zeros(len(tok) + 1, np.int64)
-    np.add.at(need, at["end"] - at["reach"], 1)
-    np.add.at(need, at["end"], -1)
+    need = np.bincount(at["end"] - at["reach"], minlength=len(tok) + 1) - np.bincount(at["end"] + 1, minlength=len(tok) + 1)
     need = need.cumsum()[:-1] > 0
     place = np.concatenate(([0], need.cumsum()))
-    at = at | {"end": place[at["end"]]}
-    return _row(STATE, [chunk, len(at["end"]), d, *docs, *(_pack(at[c].view(np.int64)) for c in AT), _pack(tok[need].view(np.int64))])
+    at = at | {"end": place[at["end"]], "reach": place[at["end"]] - at["reach"]}  # where it begins
+    at |= {c: np.diff(at[c], prepend=0) for c in ("end", "reach", "doc")}
+    return _row(STATE, [chunk, len(at["end"]), d, *docs, *(_pack(at[c]) for c in AT[:-2]), *(_pack_equal(at[c]) for c in AT[-2:]), _pack(tok[need].view(np.int64))])
 
 
 def _settled(docs: list, a: dict, end: np.ndarray) -> list:
@@ -451,7 +518,7 @@ def start(row: dict, answers: pa.Table, total: int, buckets: int) -> pa.Table:
     q, d, often = Pairs(row), row["d"], row["often"]
     x, at, tok = q.read(answers, buckets, len(q.tok)), q.at, q.tok
     usual = tok[at] > 0
-    keep, of, seen, kinds = q.suffix[:, q.row]
+    keep, of, seen, kinds = q.suffix[:, tok[at - 1]]
     p = (q.count[tok[at]] - d) / max(total, 1)
     p = np.where(usual, np.where(keep > 0, _usual(q.n[at], d, kinds, p, often, of), p), 1.0)  # of a rare word a factor
     part = np.where(keep > 0, (seen + 0.5) / (of + 1), often)
@@ -467,7 +534,7 @@ def start(row: dict, answers: pa.Table, total: int, buckets: int) -> pa.Table:
     bad = np.maximum.accumulate(np.where(repeats, -1, place))
     alive = (x[4, at] > 0) & repeats[at - 1]
     h = q.names[tok]
-    values = {"end": at, "reach": at - bad[at - 1] + 1, "doc": q.own[at], "n": q.train.astype(np.int64), "word": h[at].view(np.int64), "used": used, "key": _pair(h[at - 2], h[at - 1]), "p": p, "part": part}
+    values = {"end": at, "reach": at - bad[at - 1] + 1, "doc": q.own[at], "n": q.train.astype(np.int64), "used": used, "p": p, "part": part}
     docs = _settled([row[c] for c in DOCS], values, ~alive)
     return _state(row["chunk"], docs, {c: v[alive] for c, v in values.items()}, h, d)
 
@@ -476,16 +543,17 @@ class Open:
     """The open tokens of a chunk's row, and the `width` words before their contexts of `length` words. Those with the same context, follower and words are one."""
 
     def __init__(self, row: dict, length: int, width: int):
-        self.at = {c: _loads(row[c]) for c in AT}
-        self.at |= {"key": self.at["key"].view(np.uint64), "p": self.at["p"].view(np.float64), "part": self.at["part"].view(np.float64)}
+        a = self.at = {c: _loads(row[c]) for c in AT[:-2]} | {c: _loads_equal(row[c]) for c in AT[-2:]}
+        a |= {c: a[c].cumsum() for c in ("end", "reach", "doc")}
+        a["reach"] = a["end"] - a["reach"]
         self.tok = _loads(row["tok"])
-        a = self.at
+        a["word"] = self.tok[a["end"]]
+        a["key"] = _pair(self.words(a, 1).view(np.uint64), self.words(a, 0).view(np.uint64))
+        for i in range(2, length):
+            a["key"] = vec.mix(a["key"] * _K ^ self.words(a, i).view(np.uint64))
         key = _edge(a["key"], a["word"].view(np.uint64))
-        self.next = a["key"].copy()
         for i in range(width):
-            w = self.words(a, length + i).view(np.uint64)
-            key = vec.mix(key * _K ^ w)
-            self.next = vec.mix(self.next * _K ^ w)
+            key = vec.mix(key * _K ^ self.words(a, length + i).view(np.uint64))
         self.length, self.width = length, width
         _, self.first, self.row = np.unique(key, return_index=True, return_inverse=True)
 
@@ -502,6 +570,18 @@ def _loads(raw: bytes) -> np.ndarray:
     return _unpack(pa.table({"x": pa.array([raw], pa.binary())}), "x")[0][0]
 
 
+def _pack_equal(x: np.ndarray) -> bytes:
+    """Floats of which many are equal: the distinct ones, and places in them."""
+    e = pa.array(x.view(np.int64)).dictionary_encode()
+    values = _pack(e.dictionary.to_numpy(zero_copy_only=False))
+    return np.int64(len(values)).tobytes() + values + _pack(e.indices.to_numpy())
+
+
+def _loads_equal(raw: bytes) -> np.ndarray:
+    size = int(np.frombuffer(raw, np.int64, 1)[0])
+    return _loads(raw[8 : 8 + size])[_loads(raw[8 + size :])].view(np.float64)
+
+
 def ask_open(row: dict, length: int, width: int, buckets: int) -> pa.Table:
     o = Open(row, length, width)
     order, at = o.dealt(buckets)
@@ -593,7 +673,6 @@ def take(row: dict, answers: pa.Table, length: int, width: int, buckets: int) ->
         a["p"] = np.where(s, np.where(a["word"] > 0, p, a["p"] * p), a["p"])
         a["part"] = np.where(s, part, a["part"])
         a["used"] = np.where(s, used, a["used"])
-        a["key"] = o.next
         alive = (alive > 0) & (a["reach"] > length + width)
         docs = _settled(docs, a, ~alive)
         a = {c: x[alive] for c, x in a.items()}
@@ -616,34 +695,52 @@ def scores(docs: DataFrame, chunks: int | None = None) -> DataFrame:
     vocab = told.where("kind = 1").unionAll(stats)
     paths = dealt.groupBy("chunk").cogroup(vocab.groupBy("chunk")).applyInArrow(lambda key, t, a: ask_paths(key[0].as_py(), t, a, buckets), ROWS)
     found = paths.groupBy("bucket").applyInArrow(lambda t: answer_paths(t), ROWS)
-    one = common.cut(dealt.groupBy("chunk").cogroup(vocab.unionAll(found).groupBy("chunk")).applyInArrow(lambda key, t, a: begin(key[0].as_py(), t, a, buckets), ONE))
-    state, length = longer(one, buckets), 2
-    while state.agg(F.sum("open")).first()[0]:
-        state, length = longer(state, buckets, length, max(2, length)), length + max(2, length)
-    return state.select(F.inline(F.arrays_zip(*DOCS)))
+    folder, parts = common.shared_dir(spark), max(1, min(n, max(12, n // 3)))
+
+    def first(key, t, a):
+        return _keep(folder, begin(key[0].as_py(), t, a, buckets), 1)
+
+    done = common.cut(dealt.groupBy("chunk").cogroup(vocab.unionAll(found).groupBy("chunk")).applyInArrow(first, DONE))
+    length, width = 1, 1
+    while done.agg(F.sum("open")).first()[0]:
+        done, folder = longer(done, folder, parts, buckets, length, width)
+        length += width
+        width = max(2, length)
+
+    def rows(batches):
+        for x in batches:
+            for chunk in x.column(0).to_pylist():
+                yield from pa.table(dict(zip(DOCS, (c.combine_chunks().flatten() for c in _kept(last, chunk, DOCS).columns), strict=True))).to_batches()
+
+    last = folder
+    return done.repartition(parts, "chunk").mapInArrow(rows, SCHEMA)
 
 
-def longer(state: DataFrame, buckets: int, length: int = 1, width: int = 1) -> DataFrame:
-    """The chunks' rows after contexts of up to `length` + `width` words. Each step's shuffle files go at its end."""
+def longer(done: DataFrame, folder: str, parts: int, buckets: int, length: int, width: int) -> tuple[DataFrame, str]:
+    """The chunks after contexts of up to `length` + `width` words, and the new folder of their rows. Each step's shuffle files go at its end."""
+    spark = done.sparkSession
+    new = common.shared_dir(spark)
 
     def ask(batches):
         for x in batches:
-            for row in x.to_pylist():
+            for chunk in x.column(0).to_pylist():
+                row = _kept(folder, chunk).to_pylist()[0]
                 yield from (ask_open(row, length, width, buckets) if length > 1 else ask_pairs(row, row["train_tokens"][0], buckets)).to_batches()
 
     def answer(t):
         return answer_open(t, length, width) if length > 1 else answer_paths(t)
 
     def answered(key, t, a):
-        row = t.to_pylist()[0]
-        return take(row, a, length, width, buckets) if length > 1 else start(row, a, row["train_tokens"][0], buckets)
-
-    asking = state.where("open > 0") if length > 1 else state
-    found = common.cut(asking.mapInArrow(ask, ROWS).groupBy("bucket").applyInArrow(answer, ROWS))
-    after = common.cut(state.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(answered, STATE))
-    for x in (state, found):
-        common.remove(state.sparkSession, x)
-    return after
+        row = _kept(folder, key[0].as_py()).to_pylist()[0]
+        after = take(row, a, length, width, buckets) if length > 1 else start(row, a, row["train_tokens"][0], buckets)
+        return _keep(new, after, after.column("open")[0].as_py())
+
+    found = common.cut(done.where("open > 0").repartition(parts, "chunk").mapInArrow(ask, ROWS).groupBy("bucket").applyInArrow(answer, ROWS))
+    after = common.cut(done.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(answered, DONE))
+    for x in (done, found):
+        common.remove(spark, x)
+    common.remove_folder(spark, folder)
+    return after, new
 
 
 def query(spark, sf_dir: str) -> DataFrame:
