@@ -19,11 +19,12 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,36 +42,112 @@ SLICE_BYTES = 8 << 20
 MANIFEST = "part int, path string, n_docs long, n_tokens long, n_sequences long"
 
 
+def _offsets(x: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(x)))
+
+
+def _gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return flat[vec.ranges(begin, size)]
+
+
+class Kept:
+    """Ids of strings in arrays: those of the last call, then what is left of earlier ones, up to `most`."""
+
+    def __init__(self, most: int, dtype: np.dtype):
+        self.most = most
+        self.values, self.flat = pa.array([], pa.large_string()), np.zeros(0, dtype)
+        self.begin = self.size = np.zeros(0, np.int64)
+
+    def get(self, keys: pa.LargeStringArray, make: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begin, size) of distinct strings; make() gives the ids and sizes of those that aren't there, of which strings beyond LONG bytes aren't kept."""
+        at = pc.index_in(keys, value_set=self.values).fill_null(-1).to_numpy(zero_copy_only=False)
+        lack = np.flatnonzero(at < 0)
+        begin, size = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        there = at >= 0
+        begin[there], size[there] = self.begin[at[there]], self.size[at[there]]
+        flat = self.flat
+        if len(lack):
+            more, n = make(keys.take(pa.array(lack)))
+            begin[lack], size[lack] = len(flat) + np.cumsum(n) - n, n
+            flat = np.concatenate([flat, more])
+        short = np.flatnonzero(pc.binary_length(keys).to_numpy(zero_copy_only=False) <= LONG)[: self.most]
+        left = np.ones(len(self.values), bool)
+        left[at[there]] = False
+        left = np.flatnonzero(left)[: self.most - len(short)]
+        self.values = pa.concat_arrays([keys.take(pa.array(short)), self.values.take(pa.array(left))])
+        b, n = np.concatenate([begin[short], self.begin[left]]), np.concatenate([size[short], self.size[left]])
+        self.flat, self.begin, self.size = _gather(flat, b, n), np.cumsum(n) - n, n
+        return flat, begin, size
+
+
 class WordEncoder:
-    """The library's encoding, kept by word. White space is dropped before anything else looks at it, so texts can be cut at it; each distinct word of a slice is looked up once."""
+    """The library's encoding, kept by word. White space is dropped before anything else looks at it, so texts can be cut at it; each distinct word of a slice is looked up once.
+
+    Words of ASCII letters with marks after them, which most are, are taken apart by Arrow and go to the library's model
+    without its normalizer and pattern, which change and cut nothing in lower-case letters between spaces.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tok = Tokenizer.from_file(path)
+        self.tok, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         n = self.tok.get_vocab_size()
         self.type = np.dtype("<u2" if n <= 1 << 16 else "<u4")
-        self.memo, self.parts = common.Memo(CACHE_WORDS), common.Memo(CACHE_WORDS)
+        self.words, self.heads, self.parts = Kept(CACHE_WORDS, self.type), Kept(CACHE_WORDS, self.type), common.Memo(CACHE_WORDS)
         self.ends = np.array([(self.tok.id_to_token(i) or "").endswith("</w>") for i in range(n)], bool)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of the texts in them)"""
         raw, off = vec.buffers(texts)
         starts, ends, first = vec.words(raw, off)
-        at = np.concatenate(([0], np.cumsum(ends - starts)))
+        at = _offsets(ends - starts)
         words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(raw[vec.NON_SPACE[raw]].tobytes())).dictionary_encode()
-        got = self._lookup(words.dictionary.to_pylist())
-        size = np.fromiter(map(len, got), np.int64, len(got)) // self.type.itemsize
-        begin, of = np.cumsum(size) - size, words.indices.to_numpy()
-        flat = np.frombuffer(b"".join(got), self.type)[vec.ranges(begin[of], size[of])]
-        return flat, np.concatenate(([0], np.cumsum(size[of])))[first]
-
-    def _lookup(self, words: list[str]) -> list[bytes]:
-        """The ids of distinct words."""
-        return self.memo.values(words, self._fresh, LONG)
-
-    def _fresh(self, words: list[str]) -> list[bytes]:
+        flat, begin, size = self.words.get(words.dictionary, self._fresh)
+        of = words.indices.to_numpy()
+        size = size[of]
+        return _gather(flat, begin[of], size), _offsets(size)[first]
+
+    def _fresh(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids and sizes of distinct words."""
+        core = pc.ascii_rtrim(words, ".,;:!?")
+        plain = pc.ascii_is_alpha(core).to_numpy(zero_copy_only=False)
+        some, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
+        slow = self._apart(words.take(pa.array(rest)).to_pylist())
+        core = core.take(pa.array(some))
+        heads = pc.ascii_lower(core).dictionary_encode()
+        raw, off = vec.buffers(words)
+        n = pc.binary_length(core).to_numpy(zero_copy_only=False)
+        start, size = off[some] + n, off[some + 1] - off[some] - n
+        tails = pa.LargeStringArray.from_buffers(len(some), pa.py_buffer(_offsets(size)), pa.py_buffer(_gather(raw, start, size).tobytes())).dictionary_encode()
+        marks = self.parts.values(tails.dictionary.to_pylist(), self._parts, LONG)
+        flat, begin, size = self.heads.get(heads.dictionary, self._letters)
+        more = [len(x) // self.type.itemsize for x in marks], [len(x) // self.type.itemsize for x in slow]
+        begin, size = np.concatenate([begin, len(flat) + _offsets(np.concatenate(more))[:-1]]).astype(np.int64), np.concatenate([size, *more]).astype(np.int64)
+        flat = np.concatenate([flat, np.frombuffer(b"".join([*marks, *slow]), self.type)])
+        k = len(heads.dictionary)
+        which = np.full((len(words), 2), len(size))  # of each word: a head and its marks, or all of it
+        which[some, 0], which[some, 1] = heads.indices.to_numpy(), k + tails.indices.to_numpy()
+        which[rest, 0] = k + len(marks) + np.arange(len(rest))
+        begin, size = np.append(begin, 0), np.append(size, 0)
+        return _gather(flat, begin[which].ravel(), size[which].ravel()), size[which].sum(axis=1)
+
+    def _letters(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids and sizes of words of lower-case ASCII letters: each one's last id has the mark of a word's end."""
+        words, ids = words.to_pylist(), [np.zeros(0, self.type)]
+        groups = [" ".join(words[at : at + 2000]) for at in range(0, len(words), 2000)]
+        for at in range(0, len(groups), 16):
+            ids += [np.array(e.ids, self.type) for e in self.bare.encode_batch_fast(groups[at : at + 16], add_special_tokens=False)]
+        flat = np.concatenate(ids)
+        stop = np.flatnonzero(self.ends[flat]) + 1
+        if len(stop) != len(words):
+            each = list(self._each(words))
+            return np.frombuffer(b"".join(each), self.type), np.array([len(x) // self.type.itemsize for x in each], np.int64)
+        return flat, np.diff(stop, prepend=0)
+
+    def _apart(self, words: list[str]) -> list[bytes]:
         """The ids of distinct words, of at most two parts each: letters and the marks after them are always separate for the library; ASCII letters count as their lower case."""
         heads, tails = [], []
         for w in words:
