@@ -17,7 +17,6 @@ ids; repeated rows give a row each; other columns of the input are kept.
 from __future__ import annotations
 
 import base64
-import re
 import struct
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
@@ -30,13 +29,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common, vec
+from .arrow_tokens import Kept
 from .common import Memo
 
 #: Distinct pieces in a generation of a worker's cache; a bound of memory, without effect on results.
 CACHE_PIECES = 100_000
+#: Parts of texts in its arrays.
+CACHE_PARTS = 200_000
+#: Text that is encoded at once.
+SLICE_BYTES = 3 << 19
 #: Bytes up to which a part is encoded by plain merging instead of being halved.
 LEAF_BYTES = 16
 _NONE = 1 << 60
+#: Last bytes of white space, or of characters some of which are white space.
+_SPACE_END = vec.table([*range(0x09, 0x0E), *range(0x1C, 0x21), *range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF])
 
 
 def _merge(ranks: dict[bytes, int], data: bytes) -> list[bytes]:
@@ -170,15 +176,14 @@ class Leaves:
 class Codec:
     """Texts to ids as little-endian 32-bit integers, and back.
 
-    A text is cut before each single space that follows no white space: there
-    the pattern always ends a match and starts another. So the ids of a space
-    and what follows up to the next are kept, besides those of single matches.
+    A text is cut before each space that follows no white space: there the
+    pattern always ends a match and starts another. So the ids of such a part
+    are kept, in arrays, besides those of matches of parts with several.
     """
 
     def __init__(self, path: str, pattern: str):
         self.ranks = read_ranks(path)
         self.find = regex.compile(pattern).findall
-        self.wide = re.compile(r"\s ").search
         self.monoid = Monoid(self.ranks)
         self.forget()
         by_id = [b""] * (max(self.ranks.values()) + 1)
@@ -194,51 +199,60 @@ class Codec:
 
     def forget(self) -> None:
         """Drops what is kept of texts, so that an idle worker holds little."""
-        self.pieces, self.parts = Memo(CACHE_PIECES), Memo(CACHE_PIECES)
+        self.pieces, self.parts = Memo(CACHE_PIECES), Kept(CACHE_PARTS, np.dtype("<i4"))
         self.monoid.pairs.clear()
 
-    def _fill(self, pieces: set[str]) -> None:
-        """Encodes the distinct pieces that aren't kept: short ones together, others each by the tree."""
-        short = []
-        for x in self.pieces.lack(pieces):
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of matches: of short ones together, of others each by the tree."""
+        out, short = [], []
+        for i, x in enumerate(pieces):
             b = x.encode()
             r = self.ranks.get(b)
             if r is not None:
-                self.pieces.new[x] = struct.pack("<i", r)
+                out.append(struct.pack("<i", r))
             elif len(b) <= self.monoid.leaf:
-                short.append((x, b))
+                out.append(b)
+                short.append(i)
             else:
                 ids = [self.ranks[t] for t in self.monoid.encode(b)]
-                self.pieces.new[x] = struct.pack(f"<{len(ids)}i", *ids)
+                out.append(struct.pack(f"<{len(ids)}i", *ids))
         if short:
-            self.pieces.new.update(zip((x for x, _ in short), self.leaves.encode([b for _, b in short]), strict=True))
-
-    def _cut(self, part: str) -> list[str]:
-        return [part] if part[1:].isalpha() else self.find(part)
+            for i, x in zip(short, self.leaves.encode([out[i] for i in short]), strict=True):
+                out[i] = x
+        return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = []  # of each text: the matches up to its first part, and its parts
-        for t in texts:
-            if not t:
-                split.append(((), ()))
-            elif self.wide(t):
-                split.append((self.find(t), ()))
-            else:
-                first, *rest = t.split(" ")
-                split.append((self.find(first), rest))
-        parts: set[str] = set()
+    def _fresh(self, parts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids and sizes of distinct parts. Letters are one match, with a space before them or not."""
+        parts = parts.to_pylist()
+        cut = [None if x[1:].isalpha() and (x[0] == " " or x[0].isalpha()) else self.find(x) for x in parts]
         pieces: set[str] = set()
-        for a, b in split:
-            pieces.update(a)
-            parts.update(b)
-        new = [(p, self._cut(" " + p)) for p in self.parts.lack(parts)]
-        for _, x in new:
-            pieces.update(x)
-        self._fill(pieces)
+        for x in cut:
+            if x:
+                pieces.update(x)
+        lack = self.pieces.lack(pieces)
+        self.pieces.new.update(zip(lack, self._ids(lack), strict=True))
         get = self.pieces.new.__getitem__
-        self.parts.new.update((p, b"".join(map(get, x))) for p, x in new)
-        part = self.parts.new.__getitem__
-        return [b"".join(map(get, a)) + b"".join(map(part, b)) for a, b in split]
+        alone = iter(self._ids([x for x, c in zip(parts, cut, strict=True) if c is None]))
+        ids = [next(alone) if x is None else b"".join(map(get, x)) for x in cut]
+        return np.frombuffer(b"".join(ids), "<i4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets of the texts in them)"""
+        raw, off = vec.buffers(texts)
+        start = np.zeros(len(raw) + 1, bool)
+        start[1:-1] = (raw[1:] == 0x20) & ~_SPACE_END[raw[:-1]]
+        start[off] = True
+        start = np.flatnonzero(start)  # the last one is the end
+        parts = pa.LargeStringArray.from_buffers(len(start) - 1, pa.py_buffer(start), pa.py_buffer(raw)).dictionary_encode()
+        flat, begin, size = self.parts.get(parts.dictionary, self._fresh)
+        of = parts.indices.to_numpy()
+        size = size[of]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        return flat[vec.ranges(begin[of], size)], ends[np.searchsorted(start, off)]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        ids, off = self.encode_column(pa.array(texts, pa.large_string()))
+        return [ids[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         n = self.sizes[ids]
@@ -250,11 +264,10 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encode_texts(texts: list[str | None], c: Codec) -> pa.Array:
+def encode_texts(texts: pa.Array, c: Codec) -> pa.Array:
     """A list<int32> array of ids."""
-    parts = c.encode(texts)
-    off = np.concatenate(([0], np.cumsum([len(x) // 4 for x in parts])))
-    return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+    ids, off = c.encode_column(texts)
+    return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()))
 
 
 def decode_ids(ids: pa.ListArray, c: Codec) -> pa.Array:
@@ -267,14 +280,21 @@ def decode_ids(ids: pa.ListArray, c: Codec) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(size[off - off[0]].astype(np.int32).tobytes()), pa.py_buffer(c.decode(flat).tobytes())])
 
 
-def _map(df: DataFrame, source: str, column: str, kind: T.DataType, f, end=lambda: None) -> DataFrame:
+def _rows(batch: pa.RecordBatch, source: str) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, 500) for at in range(0, batch.num_rows, 500))
+
+
+def _bytes(batch: pa.RecordBatch, source: str) -> Iterator[pa.RecordBatch]:
+    return vec.slices(batch, SLICE_BYTES, source)
+
+
+def _map(df: DataFrame, source: str, column: str, kind: T.DataType, f, pieces=_rows, end=lambda: None) -> DataFrame:
     """The frame with one more column, made of `source` batch by batch."""
     common.batches(df.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in pieces(batch, source):
                 yield pa.RecordBatch.from_arrays([*part.columns, f(part.column(part.schema.get_field_index(source)))], names=[*part.schema.names, column])
         end()
 
@@ -283,7 +303,7 @@ def _map(df: DataFrame, source: str, column: str, kind: T.DataType, f, end=lambd
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds the column `ids` (array of int); a column of that name is replaced."""
-    return _map(df.drop(ids), text, ids, T.ArrayType(T.IntegerType()), lambda col: encode_texts(col.to_pylist(), codec(path, pattern)), lambda: codec(path, pattern).forget())
+    return _map(df.drop(ids), text, ids, T.ArrayType(T.IntegerType()), lambda col: encode_texts(col, codec(path, pattern)), _bytes, lambda: codec(path, pattern).forget())
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
