@@ -12,7 +12,8 @@ frequent and rare followers, gives what is discounted from frequent ones back
 in proportion to the suffix, and shares rare ones out like the suffix. A token
 is scored in the longest suffix of its history that is retained.
 
-Texts are dealt out once to chunks. Chunks send their distinct words with
+Texts are dealt out once to chunks, whose tokens then lie in a file of each chunk's own
+in the shared folder, by numbers. Chunks send their distinct words with
 counts to buckets, which answer with the corpus counts and parts of the corpus
 statistics; then they send counts of contexts and followers to buckets by the
 context, which test it and answer with counts, from which the chunk computes
@@ -48,6 +49,7 @@ AT = ["end", "reach", "doc", "n", "used", "p", "part"]
 _LISTS = [f"{n} array<{t}>" for n, t in (x.split() for x in SCHEMA.split(", "))]
 ONE = ", ".join(["chunk int", "d double", "often double", *_LISTS, "tok binary", "pairs binary", "words binary"])
 STATE = ", ".join(["chunk int", "open long", "d double", *_LISTS, *(f"{c} binary" for c in [*AT, "tok"])])
+KEPT = "chunk int, doc_id array<bigint>, held array<boolean>, first binary, id binary, words binary"
 ROWS = "chunk int, bucket int, kind int, a binary, b binary, c binary, d binary, e binary, f binary, stat array<bigint>"
 DONE = "chunk int, open long"
 _COLS = [x.split()[0] for x in ROWS.split(", ")]
@@ -102,6 +104,14 @@ def _ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[order], place[e.indices.to_numpy()]
 
 
+def _first(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _ranked, with the place where each value comes first in the middle."""
+    values, place = _ranked(x)
+    first = np.empty(len(values), np.int64)
+    first[place[::-1]] = np.arange(len(x))[::-1]
+    return values, first, place
+
+
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first, row) of numbers from 0 on: where each value comes first, and each value's place among the distinct ones, ascending."""
     if not len(x):
@@ -124,19 +134,28 @@ def _edge(ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 class Tokens:
-    """A chunk's tokens: hashes with the end of each text, and whether they are for training."""
+    """A chunk's tokens: hashes with the end of each text, and whether they are for training; of texts, or of a row that row() made."""
 
     def __init__(self, t: pa.Table):
-        raw, off = vec.buffers(t.column("text"))
-        starts, ends, first = vec.words(raw, off, vec.NON_SPACE)
-        h = vec.span_hashes(vec.lower(raw), starts, ends)
-        docs = len(off) - 1
-        self.first = first + np.arange(docs + 1)
-        self.h = np.full(len(h) + docs, END, np.uint64)
-        self.h[np.arange(len(h)) + vec.owner(first)] = h
+        if "text" in t.column_names:
+            self.doc_id, self.held = t.column("doc_id").to_pylist(), t.column("held").to_pylist()
+            raw, off = vec.buffers(t.column("text"))
+            starts, ends, first = vec.words(raw, off, vec.NON_SPACE)
+            h = vec.span_hashes(vec.lower(raw), starts, ends)
+            docs = len(off) - 1
+            self.first = first + np.arange(docs + 1)
+            self.h = np.full(len(h) + docs, END, np.uint64)
+            self.h[np.arange(len(h)) + vec.owner(first)] = h
+            self.words, self.id = _ranked(self.h)
+        else:
+            self.doc_id, self.held = (t.column(c)[0].as_py() for c in ("doc_id", "held"))
+            self.first, self.id, self.words = (_unpack(t, c)[0][0] for c in ("first", "id", "words"))
+            self.first, self.words = self.first.cumsum(), self.words.cumsum().view(np.uint64)
         self.own = vec.owner(self.first)
-        self.train = ~np.asarray(t.column("held"))[self.own]
-        self.words, self.id = _ranked(self.h)
+        self.train = ~np.array(self.held, bool)[self.own]
+
+    def row(self, chunk: int) -> pa.Table:
+        return _row(KEPT, [chunk, self.doc_id, self.held, _pack(np.diff(self.first, prepend=0)), _pack(self.id), _pack(np.diff(self.words.view(np.int64), prepend=0))])
 
 
 def _deal(key: np.ndarray, buckets: int, *by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,8 +165,8 @@ def _deal(key: np.ndarray, buckets: int, *by: np.ndarray) -> tuple[np.ndarray, n
     return order, np.searchsorted(b[order], np.arange(buckets + 1))
 
 
-def ask_words(chunk: int, t: pa.Table, buckets: int) -> pa.Table:
-    k = Tokens(t)
+def ask_words(chunk: int, t: pa.Table | Tokens, buckets: int) -> pa.Table:
+    k = t if isinstance(t, Tokens) else Tokens(t)
     n = np.bincount(k.id[k.train], minlength=len(k.words)).astype(np.int64)
     order, at = _deal(k.words, buckets)
     w, n = k.words[order], n[order]
@@ -157,7 +176,7 @@ def ask_words(chunk: int, t: pa.Table, buckets: int) -> pa.Table:
 def answer_words(t: pa.Table) -> pa.Table:
     """To each chunk: the counts of its words and the frequent ones' numbers in the bucket; and to no chunk, statistics of the bucket: tokens and types, those of frequent words, types seen once and twice."""
     keys, counts = _keys(t, "a"), [x[0] for x in _unpack(t, "b")]
-    values, inv = np.unique(np.concatenate(keys), return_inverse=True)
+    values, inv = _ranked(np.concatenate(keys))
     total = np.bincount(inv, weights=np.concatenate(counts), minlength=len(values)).astype(np.int64)
     often = total >= MIN_COUNT
     top = total[often]
@@ -209,7 +228,7 @@ class Paths:
         self.at = at
         words = np.flatnonzero(count >= MIN_COUNT)
         words = words[np.argsort(name[words])]
-        self.names, self.count = name[words], count[words]
+        self.words, self.names, self.count = words, name[words], count[words]
         number = np.zeros(len(count), np.int64)
         number[words] = np.arange(len(words))
         tok = number[k.id]
@@ -217,7 +236,7 @@ class Paths:
         number[self.ctx_num] = np.arange(len(self.ctx_num))  # from here on of contexts
         self.row = number[tok[at - 1]]
         self.ctx = self.names[self.ctx_num]
-        self.ctx_before, self.ctx_last = np.zeros(len(self.ctx), np.uint64), self.ctx
+        self.before_num, self.ctx_before, self.ctx_last = np.zeros(len(self.ctx), np.int64), np.zeros(len(self.ctx), np.uint64), self.ctx
         train = k.train[at]
         self.ctx_n = np.bincount(self.row[train], minlength=len(self.ctx)).astype(np.int64)
         f = self.edge_at = np.flatnonzero(often[at])
@@ -229,25 +248,25 @@ class Paths:
 
     def dealt(self, buckets: int) -> tuple[np.ndarray, ...]:
         """Contexts by bucket, the bounds, the followers' order and each one's context in it."""
-        order, at = _deal(self.ctx, buckets, self.ctx_before, self.ctx_last)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        e_order = np.argsort(place[self.edge_ctx], kind="stable")
-        return order, at, e_order, place[self.edge_ctx[e_order]]
-
-    def read(self, found: pa.Table, buckets: int, size: int) -> np.ndarray:
-        """The answers of all `size` tokens: retained, tokens of the context, those with a frequent follower, frequent followers, open, tokens of the follower, and whether it was asked for."""
+        most = len(self.names)
+        b = (vec.mix(self.ctx ^ _K) % np.uint64(buckets)).astype(np.int64)
+        if buckets * most**2 < 1 << 62:
+            order = np.argsort((b * most + self.ctx_num) * most + self.before_num)
+        else:
+            order = np.lexsort((self.before_num, self.ctx_num, b))
+        size = np.bincount(self.edge_ctx, minlength=len(order))  # followers are sorted by context
+        e_order = vec.ranges((np.cumsum(size) - size)[order], size[order])
+        return order, np.searchsorted(b[order], np.arange(buckets + 1)), e_order, np.repeat(np.arange(len(order)), size[order])
+
+    def read(self, found: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """The answers: for each context whether it is retained, its tokens, those with a frequent follower, frequent followers, open; for each follower its tokens."""
         found = found.take(np.argsort(np.asarray(found.column("bucket"))))
         order, _, e_order, _ = self.dealt(buckets)
-        out = np.zeros((7, size), np.int64)
-        out[6, self.at] = 1
+        facts, n = np.zeros((5, len(order)), np.int64), np.zeros(len(e_order), np.int64)
         if found.num_rows:
-            facts, n = np.empty((5, len(order)), np.int64), np.empty(len(e_order), np.int64)
             facts[:, order] = np.concatenate(_unpack(found, "b", 5), axis=1)
             n[e_order] = np.concatenate(_unpack(found, "d"), axis=1)[0]
-            out[:5, self.at] = facts[:, self.row]
-            out[5, self.at[self.edge_at]] = n[self.edge_row]
-        return out
+        return facts, n
 
 
 def _numbers(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -361,10 +380,10 @@ def answer_paths(t: pa.Table) -> pa.Table:
             i[0] = x[0].cumsum()[i[0]]
     keys = [_pair(x[1].view(np.uint64), x[0].view(np.uint64)) if pairs else x[0].view(np.uint64) for x in info]
     lists, tails, words = [x[0].cumsum() for x in _unpack(t, "c")], _unpack(t, "f", 2 if pairs else 1), _unpack(t, "d", 2)
-    ctx, first, inv = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    ctx, first, inv = _first(np.concatenate(keys))
     c = np.bincount(inv, weights=np.concatenate([x[2] for x in info]), minlength=len(ctx)).astype(np.float64)
     base = np.concatenate(([0], np.cumsum([len(x) for x in keys])))
-    _, w_first, word = np.unique(np.concatenate([w[0].cumsum() for w in words]), return_index=True, return_inverse=True)
+    _, w_first, word = _first(np.concatenate([w[0].cumsum() for w in words]))
     w_base = np.cumsum([w.shape[1] for w in words]) - [w.shape[1] for w in words]
     edge = np.empty(sum(map(len, lists)), np.int64)
     at = 0
@@ -430,35 +449,40 @@ def begin(chunk: int, t: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
         return _row(ONE, [])
     k, root = Tokens(t), Root(answers)
     count, name = known(k, answers, buckets)
-    c = count[k.id]
-    often = c >= MIN_COUNT
-    one = Paths(k, count, name, root).read(_of(answers, 3), buckets, len(c))
-    p, used = root.p(c), one[0] > 0
-    keep, of, seen, kinds, open_, n, _ = one
-    x = np.flatnonzero(used)
-    usual = _usual(n[x], root.d, kinds[x], p[x], root.often, of[x])
-    p[x] = np.where(often[x], usual, p[x] * (of[x] - seen[x] + 0.5) / (of[x] + 1) / (1 - root.often))
-    words = np.flatnonzero(count >= MIN_COUNT)
-    words = words[np.argsort(name[words])]
-    number = np.zeros(len(count), np.int64)
-    number[words] = np.arange(1, len(words) + 1)
-    tok = number[k.id]
-    facts = np.zeros((4, len(words) + 1), np.int64)  # what follows a word, if it isn't always the end of the text
-    facts[:, tok[np.maximum(np.arange(len(tok)) - 1, 0)] * (one[6] > 0)] = [keep, seen, kinds, open_]
-    facts[:, 0] = 0
+    q = Paths(k, count, name, root)
+    facts, n_edge = q.read(_of(answers, 3), buckets)
+    keep, of, seen, kinds, open_ = facts
+    number, chance = np.zeros(len(count), np.int64), root.p(count)
+    number[q.words] = np.arange(1, len(q.words) + 1)
+    tok, p, n = number[k.id], chance[k.id], np.zeros(len(k.id), np.int64)
+    used = np.zeros(len(tok), bool)
+    used[q.at] = keep[q.row] > 0
+    x, before = q.edge_ctx, chance[q.words][q.edge_num]
+    usual = np.where(keep[x] > 0, _usual(n_edge, root.d, kinds[x], before, root.often, of[x]), before)
+    edges = q.at[q.edge_at]
+    p[edges], n[edges] = usual[q.edge_row], n_edge[q.edge_row]
+    rare = np.ones(len(q.at), bool)
+    rare[q.edge_at] = False
+    rare &= used[q.at]
+    x, rare = q.row[rare], q.at[rare]
+    p[rare] = p[rare] * (of[x] - seen[x] + 0.5) / (of[x] + 1) / (1 - root.often)
+    facts = np.zeros((4, len(q.words) + 1), np.int64)  # what follows a word, if it isn't always the end of the text
+    facts[:, q.ctx_num + 1] = [keep, seen, kinds, open_]
     later = np.zeros(len(tok), bool)
     later[two(tok, n, facts[3], k.first[:-1][k.own])] = True
     per = lambda x: np.add.reduceat(x, k.first[:-1])
-    base = np.log10((c + 1) / (root.n + 1.0 * (root.v + 1)))
-    docs = [t.column("doc_id").to_pylist(), t.column("held").to_pylist(), np.diff(k.first), per((c > 0).astype(np.int64)), np.full(t.num_rows, root.n, np.int64), per(base), per(np.where(later & often, 0, np.log10(p))), per((~later & used).astype(np.int64))]
-    table = np.stack([np.diff(name[words].view(np.int64), prepend=0), count[words], *facts[:, 1:]])
+    base = np.log10((count + 1) / (root.n + 1.0 * (root.v + 1)))[k.id]
+    docs = [k.doc_id, k.held, np.diff(k.first), per((count > 0).astype(np.int64)[k.id]), np.full(len(k.doc_id), root.n, np.int64), per(base), per(np.where(later & (tok > 0), 0, np.log10(p))), per((~later & used).astype(np.int64))]
+    table = np.stack([np.diff(q.names.view(np.int64), prepend=0), q.count, *facts[:, 1:]])
     return _row(ONE, [chunk, root.d, root.often, *docs, _pack(tok), _pack(n), _pack(table)])
 
 
 def two(tok: np.ndarray, n: np.ndarray, open_: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Tokens whose context of two words repeats and can be a state; n has the tokens of each word after the one before it."""
-    at = np.flatnonzero(np.arange(len(tok)) - first >= 2)
-    return at[(tok[at - 1] > 0) & (tok[at - 2] > 0) & (open_[tok[at - 1]] > 0) & (n[at - 1] >= REPEATED)]
+    usual = tok > 0
+    ok = np.zeros(len(tok), bool)
+    ok[2:] = (usual & (open_ > 0)[tok] & (n >= REPEATED))[1:-1] & usual[:-2]
+    return np.flatnonzero(ok & (np.arange(len(tok)) - first >= 2))
 
 
 class Pairs:
@@ -476,7 +500,8 @@ class Pairs:
         at = self.at = two(self.tok, self.n, self.open, self.first)
         last, word = self.tok[at - 1], self.tok[at]
         first, self.row = _distinct(self.tok[at - 2] * len(names) + last)
-        self.ctx_before, self.ctx_last = names[self.tok[at - 2][first]], names[last[first]]
+        self.before_num = self.tok[at - 2][first]
+        self.ctx_before, self.ctx_last = names[self.before_num], names[last[first]]
         self.ctx = _pair(self.ctx_before, self.ctx_last)
         self.train = ~np.array(row["held_out"], bool)[self.own[at]]
         self.ctx_n = np.bincount(self.row[self.train], minlength=len(self.ctx)).astype(np.int64)
@@ -516,27 +541,32 @@ def _settled(docs: list, a: dict, end: np.ndarray) -> list:
 def start(row: dict, answers: pa.Table, total: int, buckets: int) -> pa.Table:
     """The chunk's scores with contexts of up to two words, and what longer ones can change."""
     q, d, often = Pairs(row), row["d"], row["often"]
-    x, at, tok = q.read(answers, buckets, len(q.tok)), q.at, q.tok
-    usual = tok[at] > 0
-    keep, of, seen, kinds = q.suffix[:, tok[at - 1]]
-    p = (q.count[tok[at]] - d) / max(total, 1)
-    p = np.where(usual, np.where(keep > 0, _usual(q.n[at], d, kinds, p, often, of), p), 1.0)  # of a rare word a factor
+    (keep2, of2, seen2, kinds2, open2), n2 = q.read(answers, buckets)
+    at, tok, keep2 = q.at, q.tok, keep2 > 0
+    keep, of, seen, kinds = q.suffix[:, q.ctx_num]
     part = np.where(keep > 0, (seen + 0.5) / (of + 1), often)
-    used = np.where(keep > 0, 1, 0)
-    i = np.flatnonzero(x[0, at] > 0)
-    _, of, seen, kinds, _, n, _ = x[:, at[i]]
-    p[i] = np.where(usual[i], _usual(n, d, kinds, p[i], part[i], of), (of - seen + 0.5) / (of + 1) / (1 - part[i]))
-    part[i] = (seen + 0.5) / (of + 1)
-    used[i] = 2
+    x = q.edge_ctx
+    p = (q.count[q.edge_num] - d) / max(total, 1)
+    p = np.where(keep[x] > 0, _usual(q.suffix_n, d, kinds[x], p, often, of[x]), p)
+    p = np.where(keep2[x], _usual(n2, d, kinds2[x], p, part[x], of2[x]), p)
+    own = np.where(keep2, (of2 - seen2 + 0.5) / (of2 + 1) / (1 - part), 1.0)  # of a rare word a factor
+    chance = own[q.row]
+    chance[q.edge_at] = p[q.edge_row]
+    part = np.where(keep2, (seen2 + 0.5) / (of2 + 1), part)
+    used = np.where(keep2, 2, np.where(keep > 0, 1, 0))
     place = np.arange(len(tok))
     repeats = (q.n >= REPEATED) & np.concatenate(([False], q.n[:-1] >= REPEATED))  # the three words that end here
-    repeats = np.where(x[6] > 0, x[5] >= REPEATED, repeats) & (place - q.first >= 2)
+    repeats[at] = False
+    repeats[at[q.edge_at]] = (n2 >= REPEATED)[q.edge_row]
+    repeats &= place - q.first >= 2
     bad = np.maximum.accumulate(np.where(repeats, -1, place))
-    alive = (x[4, at] > 0) & repeats[at - 1]
+    alive = (open2 > 0)[q.row] & repeats[at - 1]
     h = q.names[tok]
-    values = {"end": at, "reach": at - bad[at - 1] + 1, "doc": q.own[at], "n": q.train.astype(np.int64), "used": used, "p": p, "part": part}
+    values = {"doc": q.own[at], "used": used[q.row], "p": chance}
     docs = _settled([row[c] for c in DOCS], values, ~alive)
-    return _state(row["chunk"], docs, {c: v[alive] for c, v in values.items()}, h, d)
+    at, i = at[alive], q.row[alive]
+    values = {c: v[alive] for c, v in values.items()} | {"end": at, "reach": at - bad[at - 1] + 1, "n": q.train[alive].astype(np.int64), "part": part[i]}
+    return _state(row["chunk"], docs, values, h, d)
 
 
 class Open:
@@ -548,24 +578,52 @@ class Open:
         a["reach"] = a["end"] - a["reach"]
         self.tok = _loads(row["tok"])
         a["word"] = self.tok[a["end"]]
-        a["key"] = _pair(self.words(a, 1).view(np.uint64), self.words(a, 0).view(np.uint64))
-        for i in range(2, length):
-            a["key"] = vec.mix(a["key"] * _K ^ self.words(a, i).view(np.uint64))
+        levels = self.levels(max(length, width))
+        a["key"] = self.runs(levels, a["end"] - 1, np.full(len(a["end"]), length))
+        wide = np.minimum(a["reach"] - length, width)
         key = _edge(a["key"], a["word"].view(np.uint64))
-        for i in range(width):
-            key = vec.mix(key * _K ^ self.words(a, length + i).view(np.uint64))
+        key = vec.mix(key * _K ^ self.runs(levels, a["end"] - 1 - length, wide))
         self.length, self.width = length, width
-        _, self.first, self.row = np.unique(key, return_index=True, return_inverse=True)
+        self.first, self.row = _same(key)
+
+    def levels(self, most: int) -> list[np.ndarray]:
+        """Hashes of the 1, 2, 4, ... words, up to `most`, that end at each place."""
+        out, k = [vec.mix(self.tok.view(np.uint64))], 1
+        while 2 * k <= most:
+            x = out[-1]
+            out.append(vec.mix(x * _K ^ np.concatenate((x[:k], x[:-k]))))
+            k *= 2
+        return out
+
+    @staticmethod
+    def runs(levels: list[np.ndarray], end: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """A hash of the `size` words that end at each of the places, from the hashes of powers of two."""
+        out, end = size.astype(np.uint64), end.copy()
+        for k in range(len(levels) - 1, -1, -1):
+            i = np.flatnonzero(size >> k & 1)
+            if len(i):
+                out[i] = vec.mix(out[i] * _K ^ levels[k][end[i]])
+                end[i] -= 1 << k
+        return out
 
-    def words(self, a: dict, back: int) -> np.ndarray:
-        """The word that is so many words before a context's last one, or 0."""
-        return np.where(a["reach"] > back, self.tok[np.maximum(a["end"] - 1 - back, 0)], 0)
+    def words(self, i: np.ndarray) -> np.ndarray:
+        """The words before the contexts of the open tokens `i`, nearest first, in `width` rows; 0 is none."""
+        end, reach = self.at["end"][i], self.at["reach"][i]
+        back = np.arange(self.length, self.length + self.width)[:, None]
+        return np.where(reach > back, self.tok[np.maximum(end - 1 - back, 0)], 0)
 
     def dealt(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         key = self.at["key"][self.first]
         return _deal(key, buckets, self.at["word"][self.first], key)
 
 
+def _same(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, row): where each value comes first, in that order, and each value's place among these."""
+    row = pa.array(x).dictionary_encode().indices.to_numpy().astype(np.int64)
+    most = np.maximum.accumulate(row) if len(row) else row
+    return np.flatnonzero(np.diff(most, prepend=-1)), row
+
+
 def _loads(raw: bytes) -> np.ndarray:
     return _unpack(pa.table({"x": pa.array([raw], pa.binary())}), "x")[0][0]
 
@@ -593,7 +651,7 @@ def ask_open(row: dict, length: int, width: int, buckets: int) -> pa.Table:
             a = {c: x[i] for c, x in o.at.items()}
             key, first, node = np.unique(a["key"], return_index=True, return_inverse=True)
             info = np.stack([np.diff(key.view(np.int64), prepend=0), a["part"][first].view(np.int64)])
-            words = np.stack([o.words(a, length + x) for x in range(width)])
+            words = o.words(i)
             usual = a["word"] > 0
             p = a["p"][usual]  # one for each (context, follower)
             new = np.concatenate(([True], (node[usual][1:] != node[usual][:-1]) | (a["word"][usual][1:] != a["word"][usual][:-1])))[: len(p)]
@@ -601,6 +659,19 @@ def ask_open(row: dict, length: int, width: int, buckets: int) -> pa.Table:
     return _table(rows)
 
 
+def _parted(word: np.ndarray, node: np.ndarray, here: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows whose nodes all have one word before them, and the others.
+
+    What `judge` says of a node with the same tokens doesn't change: where it wasn't retained, nothing it is judged by
+    does, and where it was, a longer one gains min(d, 1) * kinds + 0.5 at most, less than its price.
+    """
+    parted = np.zeros(len(node), bool)
+    w = word[here]
+    parted[node[here[(w != word[node[here]]) | (w == 0)]]] = True
+    parted = parted[node[here]]
+    return here[~parted], here[parted]
+
+
 def answer_open(t: pa.Table, length: int, width: int) -> pa.Table:
     """All states among the contexts that are up to `width` words longer. To each chunk, for its rows: the length of the longest state, whether it is open, and where there is a state the follower's probability (of a rare one, its factor), and the frequent ones' sum where it is open, too."""
     d = float(np.frombuffer(t.column("e")[0].as_py(), np.float64)[0])
@@ -623,15 +694,19 @@ def answer_open(t: pa.Table, length: int, width: int) -> pa.Table:
     usual = np.concatenate([x[1] for x in rows]) > 0
     n = np.concatenate([x[2] for x in rows]).astype(np.float64)
     used = np.zeros(len(n), np.int64)
-    here = np.arange(len(n))
     most = int(follower.max()) + 1
+    same, here = np.zeros(0, np.int64), np.arange(len(n))
     for i in range(width):
+        if i:  # nodes that go on with all of their tokens stay as they were judged; a node is known by one of its rows
+            same, here = _parted(words[i], node, np.concatenate((same, here)))
         here = here[words[i, here] > 0]
         if not len(here):
-            break
+            if not len(same):
+                break
+            continue
         _, w = np.unique(words[i, here], return_inverse=True)
         _, first, ctx = np.unique(node[here] * (int(w.max()) + 1) + w, return_index=True, return_inverse=True)
-        node[here] = ctx
+        node[here] = here[first][ctx]
         c = np.bincount(ctx, weights=n[here])
         f = np.flatnonzero(usual[here])
         edge, e_first, e_inv = np.unique(ctx[f] * most + follower[here[f]], return_index=True, return_inverse=True)
@@ -645,6 +720,7 @@ def answer_open(t: pa.Table, length: int, width: int) -> pa.Table:
         part[here] = after[ctx]
         used[here[keep[ctx]]] = length + i + 1
         here = here[open_[ctx]]
+    here = np.concatenate((same, here))
     alive = np.zeros(len(n), np.int64)
     alive[here] = 1
     at = np.concatenate(([0], sizes.cumsum()))
@@ -687,20 +763,30 @@ def scores(docs: DataFrame, chunks: int | None = None) -> DataFrame:
     n = chunks or common.chunk_count(base, CHUNK)
     buckets = max(2, n // 3)
     dealt = common.chunked(base, n, "text", "held")
-    asked = dealt.groupBy("chunk").applyInArrow(lambda key, t: ask_words(key[0].as_py(), t, buckets), ROWS)
-    told = asked.groupBy("bucket").applyInArrow(lambda t: answer_words(t), ROWS)
+    kept, folder, parts = common.shared_dir(spark), common.shared_dir(spark), max(1, min(n, max(12, n // 3)))
+
+    def ask(key, t):
+        chunk, k = key[0].as_py(), Tokens(t)
+        _keep(kept, k.row(chunk), 1)
+        return ask_words(chunk, k, buckets)
+
+    told = common.cut(dealt.groupBy("chunk").applyInArrow(ask, ROWS).groupBy("bucket").applyInArrow(lambda t: answer_words(t), ROWS))
     total = told.where("kind = 4").agg(F.array(*(F.coalesce(F.sum(F.col("stat")[i]), F.lit(0)) for i in range(6))).alias("stat"))
     blank = [F.lit(None).cast("binary").alias(c) for c in "abcdef"]
     stats = total.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("chunk"), F.lit(-1).alias("bucket"), F.lit(4).alias("kind"), *blank, "stat")
     vocab = told.where("kind = 1").unionAll(stats)
-    paths = dealt.groupBy("chunk").cogroup(vocab.groupBy("chunk")).applyInArrow(lambda key, t, a: ask_paths(key[0].as_py(), t, a, buckets), ROWS)
-    found = paths.groupBy("bucket").applyInArrow(lambda t: answer_paths(t), ROWS)
-    folder, parts = common.shared_dir(spark), max(1, min(n, max(12, n // 3)))
 
-    def first(key, t, a):
-        return _keep(folder, begin(key[0].as_py(), t, a, buckets), 1)
+    def second(key, a):
+        there = _of(a, 1).num_rows  # a chunk has a text at least, and that an end
+        return ask_paths(key[0].as_py(), _kept(kept, key[0].as_py()), a, buckets) if there else _table([])
+
+    def first(key, a):
+        return _keep(folder, begin(key[0].as_py(), _kept(kept, key[0].as_py()), a, buckets), 1) if _of(a, 1).num_rows else pa.table({"chunk": pa.array([], pa.int32()), "open": pa.array([], pa.int64())})
 
-    done = common.cut(dealt.groupBy("chunk").cogroup(vocab.unionAll(found).groupBy("chunk")).applyInArrow(first, DONE))
+    found = vocab.repartition(parts, "chunk").groupBy("chunk").applyInArrow(second, ROWS).groupBy("bucket").applyInArrow(lambda t: answer_paths(t), ROWS)
+    done = common.cut(vocab.unionAll(found).repartition(parts, "chunk").groupBy("chunk").applyInArrow(first, DONE))
+    common.remove(spark, told)
+    common.remove_folder(spark, kept)
     length, width = 1, 1
     while done.agg(F.sum("open")).first()[0]:
         done, folder = longer(done, folder, parts, buckets, length, width)
@@ -731,7 +817,10 @@ def longer(done: DataFrame, folder: str, parts: int, buckets: int, length: int,
         return answer_open(t, length, width) if length > 1 else answer_paths(t)
 
     def answered(key, t, a):
-        row = _kept(folder, key[0].as_py()).to_pylist()[0]
+        row = _kept(folder, key[0].as_py())
+        if length > 1 and not row.column("open")[0].as_py():
+            return _keep(new, row, 0)
+        row = row.to_pylist()[0]
         after = take(row, a, length, width, buckets) if length > 1 else start(row, a, row["train_tokens"][0], buckets)
         return _keep(new, after, after.column("open")[0].as_py())
 

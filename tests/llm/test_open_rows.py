@@ -30,3 +30,20 @@ def test_distinct_numbers_like_numpy():
         assert got[0].tolist() == first.tolist() and got[1].tolist() == row.tolist()
         for y in (x, x << 1, -x):
             assert m._unpack(pa.table({"x": [m._pack(y)]}), "x")[0][0].tolist() == y.tolist()
+
+
+def test_passages_that_do_not_part_are_judged_once(monkeypatch):
+    shared, judged = " ".join(f"v{(k * k + 3 * k) % 41}" for k in range(300)), []
+    texts = [f"{'a b'[i % 3 :: 2]} {shared} {'x y'[i % 2 :: 2]}" for i in range(60)]
+    t = pa.table({"doc_id": list(range(60)), "text": texts, "held": [i % 7 == 2 for i in range(60)]})
+    words = m.answer_words(m.ask_words(0, t, 1))
+    kept = m.Tokens(t).row(0)  # from here on without texts
+    one = m.begin(0, kept, pa.concat_tables([words, m.answer_paths(m.ask_paths(0, kept, words, 1))]), 1).to_pylist()[0]
+    assert one == m.begin(0, t, pa.concat_tables([words, m.answer_paths(m.ask_paths(0, t, words, 1))]), 1).to_pylist()[0]
+    total = one["train_tokens"][0]
+    row = m.start(one, m.answer_paths(m.ask_pairs(one, total, 1)), total, 1).to_pylist()[0]
+    assert row["open"] > 50
+    judge = m.judge
+    monkeypatch.setattr(m, "judge", lambda *a: (judged.append(1), judge(*a))[1])
+    m.answer_open(m.ask_open(row, 2, 256, 1), 2, 256)
+    assert 1 <= len(judged) < 20  # one for each of 256 words before
