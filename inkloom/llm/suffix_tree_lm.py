@@ -271,6 +271,8 @@ class Paths:
 
 def _numbers(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """As _ranked, of numbers below `most`."""
+    if len(x) < most >> 3:  # of a bucket of many
+        return np.unique(x, return_inverse=True)
     there = np.bincount(x, minlength=most) > 0
     return np.flatnonzero(there), (there.cumsum() - 1)[x]
 
